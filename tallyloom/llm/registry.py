@@ -6,16 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import secrets, sentencepieces, url_filter, warc
+from . import bm25, decontaminate, html_extract, language_id, ngram_jaccard, pii, secrets, sentencepieces, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": url_filter.op1_url_filters,
+    "op2_language_id": language_id.op2_language_id,
     "op3_secrets": secrets.op3_secrets,
+    "op4_html": html_extract.op4_html,
     "op5_warc": warc.op5_warc,
+    "op6_decontamination": decontaminate.op6_decontamination,
     "op7_sentencepiece": sentencepieces.op7_sentencepiece,
+    "op8_pii": pii.op8_pii,
+    "op9_bm25": bm25.op9_bm25,
+    "op10_ngram_jaccard": ngram_jaccard.op10_ngram_jaccard,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filters": url_filter.SQL,
     "op5_warc": warc.SQL,
+    "op6_decontamination": decontaminate.SQL,
 }

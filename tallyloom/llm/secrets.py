@@ -108,7 +108,7 @@ def written(spans: Column) -> Column:
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository: str = "source", owner: str = "source") -> DataFrame:
     """``docs`` with every span replaced: ``<secret>`` where its value looks live, else ``<example-secret>``.
-    Rows without spans pass as they are; overlapping spans are one replacement, live if either is."""
+    Rows without spans pass as they are; of others a column ``n_chars`` is counted anew; overlapping spans are one replacement, live if either is."""
     spans = scan(docs, id_col, text_col, repository, owner).where("size(spans) > 0").groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h")).agg(F.first("spans").alias("__spans"), F.first("live").alias("__live"))
     text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     joined = docs.join(spans, F.col(id_col).eqNullSafe(F.col("__id")) & (text_hash == F.col("__h")), "left")
@@ -119,7 +119,10 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo
           'out', if(s.start < a.at, a.out, concat(a.out, substring({text_col}, a.at + 1, s.start - a.at), if(exists(__live, l -> l.start < s.end and s.start < l.end), '<secret>', '<example-secret>'))),
           'live', false)),
         a -> concat(a.out, substring({text_col}, a.at + 1)))""")
-    return joined.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(cut)).select(*docs.columns)
+    done = joined.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(cut))
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length(text_col).cast(docs.schema["n_chars"].dataType)))
+    return done.select(*docs.columns)
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

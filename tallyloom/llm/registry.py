@@ -23,6 +23,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filters": url_filter.SQL,
+    "op3_secrets": secrets.SQL,
     "op5_warc": warc.SQL,
     "op6_decontamination": decontaminate.SQL,
+    "op9_bm25": bm25.SQL,
+    "op10_ngram_jaccard": ngram_jaccard.SQL,
 }

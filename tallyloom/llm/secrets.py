@@ -129,3 +129,41 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), F.size("live").cast("bigint").alias("n_live"))
+
+
+def _sql_matches(kind: str, pattern: str, group: int, least: int, rank: int) -> str:
+    p = "'" + pattern.replace("'", "''") + "'"
+    return f"""
+  SELECT doc_id, {rank} AS rank, '{kind}' AS kind, v,
+         sum(length(g)) OVER w + coalesce(sum(length(m)) OVER (PARTITION BY doc_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a, length(m) AS l, {least} AS least
+  FROM (
+    SELECT doc_id, unnest(range(len(ms))) AS nth, unnest(ms) AS m, unnest(vs) AS v, unnest(gs[1 : len(ms)]) AS g
+    FROM (SELECT doc_id, regexp_extract_all(t, {p}, 0) AS ms, regexp_extract_all(t, {p}, {group}) AS vs, string_split_regex(t, {p}) AS gs FROM d)
+  ) WINDOW w AS (PARTITION BY doc_id ORDER BY nth ROWS UNBOUNDED PRECEDING)"""
+
+
+SQL = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents
+), m AS ({" UNION ALL ".join(_sql_matches(*b, i) for i, b in enumerate([*BASE, ("owned", CANDIDATE, 0, 20)]))}
+), s AS (
+  SELECT doc_id, rank, kind, CAST(a AS BIGINT) AS a, CAST(a + l AS BIGINT) AS z, v FROM m WHERE length(v) >= least
+), base AS (
+  SELECT * FROM s WHERE rank < {len(BASE)}
+), extra AS (
+  SELECT * FROM s WHERE rank = {len(BASE)} AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]')
+    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = s.doc_id AND b.a < s.z AND s.a < b.z)
+), both_ AS (
+  SELECT * FROM base UNION ALL SELECT * FROM extra
+), o AS (
+  SELECT v, count(DISTINCT source) <= {min(MAX_OWNERS, MAX_REPOSITORIES)} AS live FROM both_ JOIN d USING (doc_id) GROUP BY v
+), j AS (
+  SELECT doc_id, rank, kind, a, z, live, kind || ':' || a || ':' || z AS w FROM both_ JOIN o USING (v)
+), g AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (live) AS n_live,
+         string_agg(w, ',' ORDER BY a, rank) FILTER (kind <> 'owned') AS base, string_agg(w, ',' ORDER BY a, rank) FILTER (kind <> 'owned' OR live) AS spans
+  FROM j GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live
+FROM d LEFT JOIN g USING (doc_id)
+"""

@@ -17,7 +17,7 @@ def upsert(stored: DataFrame, changes: DataFrame, keys: list[str], order: list[s
     return joined.select(*keys, *[F.when(F.col("changed"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in values])
 
 
-@query("""SELECT user_id, event_type, last_value(event_id ORDER BY ts, event_id) AS event_id, count(*) AS n_writes, round(max(value), 6) AS top FROM events GROUP BY 1, 2""")
+@query("""SELECT user_id, event_type, last(event_id ORDER BY ts, event_id) AS event_id, count(*) AS n_writes, round(max(value), 6) AS top FROM events GROUP BY 1, 2""")
 def upsert_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.groupBy("user_id", "event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.count("*").alias("n_writes"), F.round(F.max("value"), 6).alias("top"))

@@ -8,8 +8,11 @@ signatures allow enough overlap, and is linked if an intersection of the sorted
 falls on it.  Where two signatures differ, at least one element is in one set only, so the count of
 differing bits bounds the overlap from above.  A longer signature folds to the length of a shorter.
 
-*Tiles*: with shingles in one global order (their hashes'), linked sets share one of the first
-``n - ceil(t n) + 1``.  A tile holds the classes that have the same shingle among those.
+*Tiles*: with shingles in one global order, linked sets share one of the first ``n - ceil(t n) + 1``.
+A tile holds the classes that have the same shingle among those.  The order is that of the hashes, but
+shingles that many texts share come last, so a common passage seldom makes a tile.  They are found by
+counting within batches and summing up; a bit map of fixed size marks them, and as any order gives the
+same links, neither a shingle missed nor one marked by chance matters to the result.
 1. In each tile, every class is compared with the tile's smallest id.  The links give components.
 2. In tiles of at most ``LIGHT`` classes that still hold several components, all pairs of classes of
    different components are compared.
@@ -36,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bitmaps import bit_map
+from .bitmaps import BitMap, bit_map
 from .shared import stage, table
 from .shingles import WordHashes, shingle_set, spaced_words
 
@@ -86,19 +89,47 @@ def part_hashes(shingles: np.ndarray, num: int = NUM, den: int = DEN) -> list[tu
     return out
 
 
-def sign(docs: DataFrame, id_type: str, size: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
-    """doc_id, text_hash, n, digest (of the set), prefix, bits of every row."""
+def common(docs: DataFrame, size: int = SHINGLE, light: int = LIGHT) -> BitMap:
+    """Marks the shingles that more than ``light`` different texts share, as far as two of a batch do."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = WordHashes()
+        for b in batches:
+            texts = b["text"][~b["text_hash"].duplicated()]
+            whole = np.sort(np.concatenate([np.zeros(0, np.uint64), *[shingle_set(known.of(spaced_words(t)), size) for t in texts]]))
+            starts = np.flatnonzero(np.r_[True, whole[1:] != whole[:-1]]) if len(whole) else np.zeros(0, np.int64)
+            n = np.diff(np.r_[starts, len(whole)])
+            yield pd.DataFrame({"shingle": whole[starts[n > 1]].view(np.int64), "n": n[n > 1]})
+
+    counts = docs.select("text_hash", "text").mapInPandas(count, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
+    return bit_map(counts.where(F.col("n") > light).select("shingle"))
+
+
+def sign(docs: DataFrame, id_type: str, late: BitMap, size: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
+    """doc_id, text_hash, n, digest (of the set), prefix, bits of every row; shingles marked in ``late`` come last."""
+    shared = docs.sparkSession.sparkContext.broadcast(late)  # one MB
 
     def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
+
+        def one(text: str | None) -> tuple:
+            s = shingle_set(known.of(spaced_words(text)), size)
+            first = np.zeros(0, np.uint64)
+            if len(s):
+                last = np.zeros(len(s), bool)
+                last[shared.value.hits(s)] = True
+                first = np.r_[s[~last], s[last]][: len(s) - -(-num * len(s) // den) + 1]
+            return len(s), xxhash.xxh3_128_digest(s.tobytes()), first.view(np.int64), signature(s)
+
         for b in batches:
-            n, digest, prefix, bits = [], [], [], []
-            for text in b["text"]:
-                s = shingle_set(known.of(spaced_words(text)), size)
-                n.append(len(s))
-                digest.append(xxhash.xxh3_128_digest(s.tobytes()))
-                prefix.append(s[: len(s) - -(-num * len(s) // den) + 1].view(np.int64) if len(s) else s.view(np.int64))
-                bits.append(signature(s))
+            done: dict[int, tuple[str | None, tuple]] = {}
+            rows = []
+            for text_hash, text in zip(b["text_hash"], b["text"]):
+                held = done.get(text_hash)
+                if held is None or held[0] != text:
+                    held = done[text_hash] = (text, one(text))
+                rows.append(held[1])
+            n, digest, prefix, bits = zip(*rows) if rows else ((), (), (), ())
             yield pd.DataFrame({"doc_id": b["doc_id"], "text_hash": b["text_hash"], "n": n, "digest": digest, "prefix": prefix, "bits": bits})
 
     return docs.mapInPandas(per_batch, f"doc_id {id_type}, text_hash bigint, n int, digest binary, prefix array<bigint>, bits array<bigint>")
@@ -197,7 +228,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     id_type = dict(docs.dtypes)[id_col]
     text = F.col(text_col).cast("string")
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text"))
-    signed = stage(sign(narrow, id_type, size, num, den), "signed")
+    signed = stage(sign(narrow, id_type, common(narrow, size, light), size, num, den), "signed")
 
     # classes of equal sets
     first = stage(signed.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("s")).select("digest", F.col("s.doc_id").alias("cls"), F.col("s.text_hash").alias("text_hash")), "classes")
@@ -206,7 +237,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     rows = members.select("cls", F.explode("prefix").alias("key"))
 
     # tiles of two classes at least, with their leaders
-    tiles = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("cls").alias("leader"), F.max("cls").alias("other")).where("leader != other").select("key", "size", "leader")
+    tiles = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("cls").alias("leader")).where("size > 1")
     shared = stage(rows.join(tiles, "key").select("key", "cls", "size", "leader"), "tiles")
 
     stars = shared.where("cls != leader").select(F.col("leader").alias("a"), F.col("cls").alias("b")).distinct()

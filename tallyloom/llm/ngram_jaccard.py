@@ -14,8 +14,8 @@ shingles that many texts share come last, so a common passage seldom makes a til
 counting within batches and summing up; a bit map of fixed size marks them, and as any order gives the
 same links, neither a shingle missed nor one marked by chance matters to the result.
 1. In each tile, every class is compared with the tile's smallest id.  The links give components.
-2. In tiles of at most ``LIGHT`` classes that still hold several components, all pairs of classes of
-   different components are compared.
+2. In tiles of at most ``LIGHT`` classes that still hold several components, the classes of different
+   components are compared, if the places of the shingle leave room for the overlap wanted.
 3. A larger tile with several components comes from a passage that many different documents share.
    Its classes are tiled anew, by size bands: linked sets of a band and the one below differ in at most
    d elements, so if the hashes are dealt into more than d parts, they agree in one whole part.  A tile
@@ -47,6 +47,8 @@ SHINGLE = 5
 #: A pair is linked from this share of the union on: NUM / DEN.
 NUM, DEN = 80, 100
 LIGHT = 64
+#: A shingle counted more often than this within batches comes late in the order; bits of the map that marks them.
+COMMON, COMMON_BITS = 16, 26
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -89,8 +91,8 @@ def part_hashes(shingles: np.ndarray, num: int = NUM, den: int = DEN) -> list[tu
     return out
 
 
-def common(docs: DataFrame, size: int = SHINGLE, light: int = LIGHT) -> BitMap:
-    """Marks the shingles that more than ``light`` different texts share, as far as two of a batch do."""
+def common(docs: DataFrame, size: int = SHINGLE) -> BitMap:
+    """Marks the shingles that more than ``COMMON`` different texts share, as far as two of a batch do."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
@@ -102,12 +104,12 @@ def common(docs: DataFrame, size: int = SHINGLE, light: int = LIGHT) -> BitMap:
             yield pd.DataFrame({"shingle": whole[starts[n > 1]].view(np.int64), "n": n[n > 1]})
 
     counts = docs.select("text_hash", "text").mapInPandas(count, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
-    return bit_map(counts.where(F.col("n") > light).select("shingle"))
+    return bit_map(counts.where(F.col("n") > COMMON).select("shingle"), COMMON_BITS)
 
 
 def sign(docs: DataFrame, id_type: str, late: BitMap, size: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
     """doc_id, text_hash, n, digest (of the set), prefix, bits of every row; shingles marked in ``late`` come last."""
-    shared = docs.sparkSession.sparkContext.broadcast(late)  # one MB
+    shared = docs.sparkSession.sparkContext.broadcast(late)  # eight MB
 
     def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
@@ -213,14 +215,21 @@ def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
     return members.join(roots.withColumnsRenamed({"node": "cls", "root": "__root"}), "cls", "left").withColumn("root", F.coalesce("__root", "cls")).drop("__root")
 
 
-def _open_pairs(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of different components within the tiles of ``members`` (key, cls)."""
+def _open_pairs(members: DataFrame, roots: DataFrame, fit: str = "true") -> DataFrame:
+    """Pairs of different components within the tiles of ``members`` (key, cls, span) that ``fit``."""
     rooted = stage(_rooted(members, roots), "rooted")
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
     open_ = stage(rooted.join(mixed, "key"), "open")
-    a = open_.select("key", F.col("cls").alias("a"), F.col("root").alias("root_a"))
-    b = open_.select("key", F.col("cls").alias("b"), F.col("root").alias("root_b"))
-    return a.join(b, "key").where("a < b and root_a != root_b").select("a", "b").distinct()
+    side = lambda x: open_.select("key", F.col("cls").alias(x), F.col("root").alias(f"root_{x}"), F.col("span").alias(f"span_{x}"))
+    return side("a").join(side("b"), "key").where(f"a < b and root_a != root_b and {fit}").select("a", "b").distinct()
+
+
+def places_fit(num: int = NUM, den: int = DEN) -> str:
+    """If this is the first shingle, in order, that two classes share, what follows must hold the rest of
+    the overlap.  A span is a set's size, shifted, and the shingle's place."""
+    n = lambda x: f"shiftright(span_{x}, 32)"
+    rest = lambda x: f"({n(x)} - (span_{x} & 4294967295))"
+    return f"least({rest('a')}, {rest('b')}) * {num + den} >= {num} * ({n('a')} + {n('b')})"
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, num: int = NUM, den: int = DEN, light: int = LIGHT) -> DataFrame:
@@ -228,30 +237,30 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     id_type = dict(docs.dtypes)[id_col]
     text = F.col(text_col).cast("string")
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text"))
-    signed = stage(sign(narrow, id_type, common(narrow, size, light), size, num, den), "signed")
+    signed = stage(sign(narrow, id_type, common(narrow, size), size, num, den), "signed")
 
     # classes of equal sets
     first = stage(signed.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("s")).select("digest", F.col("s.doc_id").alias("cls"), F.col("s.text_hash").alias("text_hash")), "classes")
     members = signed.join(first.withColumnsRenamed({"digest": "__d", "text_hash": "__h"}), (F.col("digest") == F.col("__d")) & (F.col("doc_id") == F.col("cls")) & (F.col("text_hash") == F.col("__h")))
     classes = stage(members.select("cls", "text_hash", "n", "bits").dropDuplicates(["cls"]), "class-bits")
-    rows = members.select("cls", F.explode("prefix").alias("key"))
+    rows = members.select("cls", "n", F.posexplode("prefix").alias("place", "key")).select("key", "cls", (F.shiftleft(F.col("n").cast("bigint"), 32) + F.col("place")).alias("span"))
 
     # tiles of two classes at least, with their leaders
     tiles = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("cls").alias("leader")).where("size > 1")
-    shared = stage(rows.join(tiles, "key").select("key", "cls", "size", "leader"), "tiles")
+    shared = stage(rows.join(tiles, "key").select("key", "cls", "span", "size", "leader"), "tiles")
 
     stars = shared.where("cls != leader").select(F.col("leader").alias("a"), F.col("cls").alias("b")).distinct()
     links = _linked(stars, narrow, classes, size, num, den)
     roots = components(links)
 
-    more = _linked(_open_pairs(shared.where(F.col("size") <= light).select("key", "cls"), roots), narrow, classes, size, num, den)
+    more = _linked(_open_pairs(shared.where(F.col("size") <= light).select("key", "cls", "span"), roots, places_fit(num, den)), narrow, classes, size, num, den)
     roots = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(more))
 
     heavy = _rooted(shared.where(F.col("size") > light).select("key", "cls"), roots)
     mixed = heavy.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
     crowd = stage(heavy.join(mixed, "key").select("cls").distinct().join(classes.select("cls", "text_hash"), "cls"), "crowd")
     if not crowd.isEmpty():
-        links = _linked(_open_pairs(_parts(_texts(narrow, crowd), id_type, size, num, den), roots), narrow, classes, size, num, den)
+        links = _linked(_open_pairs(_parts(_texts(narrow, crowd), id_type, size, num, den).withColumn("span", F.lit(0)), roots), narrow, classes, size, num, den)
         roots = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(links))
 
     named = _rooted(first.select("digest", "cls"), roots).select(F.col("digest").alias("__d"), "root")

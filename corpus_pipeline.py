@@ -20,8 +20,8 @@ MIN_LANGUAGE_SCORE = 0.3
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language can be told."""
-    found = language_id.identify(docs, language_id.train(docs))
-    return found.where((found["lang_pred"] != language_id.UNDETERMINED) & (found["score"] >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    found = language_id.identify(docs, language_id.train(docs), lang="__lang", score="__score")
+    return found.where((found["__lang"] != language_id.UNDETERMINED) & (found["__score"] >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

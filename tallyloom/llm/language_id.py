@@ -162,8 +162,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     return ByteNet(classes).train(x, np.array([classes.index(r["label"]) for r in rows]))
 
 
-def identify(docs: DataFrame, net: ByteNet | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score."""
+def identify(docs: DataFrame, net: ByteNet | None, text_col: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``docs`` with the columns ``lang`` and ``score``, in place of such as are there."""
     shared = docs.sparkSession.sparkContext.broadcast(net)  # some thousand numbers
 
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -177,7 +177,7 @@ def identify(docs: DataFrame, net: ByteNet | None, text_col: str = "text") -> Da
 
     udf = F.pandas_udf(predict, "lang_pred string, score double")
     predicted = docs.withColumn("__p", udf(F.col(text_col).cast("string")))
-    return predicted.select(*[F.col(c) for c in docs.columns], F.col("__p.lang_pred").alias("lang_pred"), F.col("__p.score").alias("score"))
+    return predicted.select(*[F.col(c) for c in docs.columns if c not in (lang, score)], F.col("__p.lang_pred").alias(lang), F.col("__p.score").alias(score))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -210,7 +210,7 @@ class Pseudonyms:
 
 
 def pseudonymize(docs: DataFrame, text_col: str = "text", key: bytes = EXAMPLE_KEY) -> DataFrame:
-    """``docs`` with the text rewritten and ``pii``, a struct of counts by kind."""
+    """``docs`` with the text rewritten and ``pii``, a struct of counts by kind, in place of any such column."""
     schema = "text string, pii struct<" + ", ".join(f"{k}:bigint" for k in KINDS) + ">"
 
     def rewrite(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -220,7 +220,7 @@ def pseudonymize(docs: DataFrame, text_col: str = "text", key: bytes = EXAMPLE_K
             yield pd.DataFrame({"text": pd.Series([d[0] for d in done], dtype=object), "pii": pd.Series([d[1] for d in done], dtype=object)})
 
     new = docs.withColumn("__new", F.pandas_udf(rewrite, schema)(F.col(text_col).cast("string")))
-    return new.select(*[F.col("__new.text").alias(c) if c == text_col else F.col(c) for c in docs.columns], F.col("__new.pii").alias("pii"))
+    return new.select(*[F.col("__new.text").alias(c) if c == text_col else F.col(c) for c in docs.columns if c != "pii"], F.col("__new.pii").alias("pii"))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

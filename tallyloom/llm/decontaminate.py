@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bitmaps import BitMap, bit_map
-from .shared import stage, table
+from .shared import small_batches, stage, table
 from .shingles import WordHashes, plain_words, shingles
 
 WINDOW, SHINGLE = 13, 5
@@ -106,6 +106,7 @@ def _scan(docs: DataFrame, sizes: list[int], marked: BitMap, id_type: str) -> Da
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, text_hash, n_words, n_hit, n_items, items (sorted as strings), contaminated."""
+    small_batches(docs.sparkSession)
     id_type = dict(docs.dtypes)[id_col]
     text = F.col(text_col).cast("string")
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text"))

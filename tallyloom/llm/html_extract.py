@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import small_batches, table
 
 CHUNK = 1 << 16
 SIGMA, REACH = 1.0, 2
@@ -179,6 +179,7 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id, url, text, n_chars of every row."""
 
+    small_batches(pages.sparkSession)
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for pages_ in batches:
             yield pages_.map(main_text, na_action=None)

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import small_batches, table
 
 WINDOW = 256
 WIDTHS, FILTERS, EMBEDDING = (2, 3, 4), 8, 8
@@ -164,6 +164,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
 
 def identify(docs: DataFrame, net: ByteNet | None, text_col: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
     """``docs`` with the columns ``lang`` and ``score``, in place of such as are there."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)  # some thousand numbers
 
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -11,7 +11,7 @@ differing bits bounds the overlap from above.  A longer signature folds to the l
 *Tiles*: with shingles in one global order, linked sets share one of the first ``n - ceil(t n) + 1``.
 A tile holds the classes that have the same shingle among those.  The order is that of the hashes, but
 shingles that many texts share come last, so a common passage seldom makes a tile.  They are found by
-counting within batches and summing up; a bit map of fixed size marks them, and as any order gives the
+counting some thousand texts at a time and summing up; a bit map of fixed size marks them, and as any order gives the
 same links, neither a shingle missed nor one marked by chance matters to the result.
 1. In each tile, every class is compared with the tile's smallest id.  The links give components.
 2. In tiles of at most ``LIGHT`` classes that still hold several components, the classes of different
@@ -40,15 +40,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bitmaps import BitMap, bit_map
-from .shared import stage, table
+from .shared import small_batches, stage, table
 from .shingles import WordHashes, shingle_set, spaced_words
 
 SHINGLE = 5
 #: A pair is linked from this share of the union on: NUM / DEN.
 NUM, DEN = 80, 100
 LIGHT = 64
-#: A shingle counted more often than this within batches comes late in the order; bits of the map that marks them.
-COMMON, COMMON_BITS = 16, 26
+#: A shingle counted more often than this comes late in the order; bits of the map that marks them; how many
+#: shingles are counted at once.
+COMMON, COMMON_BITS, COUNTED_AT_ONCE = 16, 26, 4_000_000
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -92,16 +93,29 @@ def part_hashes(shingles: np.ndarray, num: int = NUM, den: int = DEN) -> list[tu
 
 
 def common(docs: DataFrame, size: int = SHINGLE) -> BitMap:
-    """Marks the shingles that more than ``COMMON`` different texts share, as far as two of a batch do."""
+    """Marks the shingles that more than ``COMMON`` different texts share, as far as two are counted at once."""
+
+    def shared(sets: list[np.ndarray]) -> pd.DataFrame:
+        whole = np.concatenate([np.zeros(0, np.uint64), *sets])
+        whole.sort()
+        starts = np.flatnonzero(np.r_[True, whole[1:] != whole[:-1]]) if len(whole) else np.zeros(0, np.int64)
+        n = np.diff(np.r_[starts, len(whole)])
+        return pd.DataFrame({"shingle": whole[starts[n > 1]].view(np.int64), "n": n[n > 1]})
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
+        seen, sets, held = set(), [], 0
         for b in batches:
-            texts = b["text"][~b["text_hash"].duplicated()]
-            whole = np.sort(np.concatenate([np.zeros(0, np.uint64), *[shingle_set(known.of(spaced_words(t)), size) for t in texts]]))
-            starts = np.flatnonzero(np.r_[True, whole[1:] != whole[:-1]]) if len(whole) else np.zeros(0, np.int64)
-            n = np.diff(np.r_[starts, len(whole)])
-            yield pd.DataFrame({"shingle": whole[starts[n > 1]].view(np.int64), "n": n[n > 1]})
+            for text_hash, text in zip(b["text_hash"], b["text"]):
+                if text_hash in seen:
+                    continue
+                seen.add(text_hash)
+                sets.append(shingle_set(known.of(spaced_words(text)), size))
+                held += len(sets[-1])
+                if held >= COUNTED_AT_ONCE:
+                    yield shared(sets)
+                    seen, sets, held = set(), [], 0
+        yield shared(sets)
 
     counts = docs.select("text_hash", "text").mapInPandas(count, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
     return bit_map(counts.where(F.col("n") > COMMON).select("shingle"), COMMON_BITS)
@@ -234,6 +248,7 @@ def places_fit(num: int = NUM, den: int = DEN) -> str:
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, num: int = NUM, den: int = DEN, light: int = LIGHT) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id of every row."""
+    small_batches(docs.sparkSession)
     id_type = dict(docs.dtypes)[id_col]
     text = F.col(text_col).cast("string")
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text"))

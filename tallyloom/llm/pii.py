@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import small_batches, table
 
 ROUNDS = 8
 #: For tests and examples.  In production pass a key that is kept elsewhere.
@@ -211,6 +211,7 @@ class Pseudonyms:
 
 def pseudonymize(docs: DataFrame, text_col: str = "text", key: bytes = EXAMPLE_KEY) -> DataFrame:
     """``docs`` with the text rewritten and ``pii``, a struct of counts by kind, in place of any such column."""
+    small_batches(docs.sparkSession)
     schema = "text string, pii struct<" + ", ".join(f"{k}:bigint" for k in KINDS) + ">"
 
     def rewrite(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

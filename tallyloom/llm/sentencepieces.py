@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import small_batches, table
 
 MARK = "▁"
 #: Most words and most token pairs that a worker remembers.
@@ -236,6 +236,7 @@ def default_model_path() -> str:
 
 def tokenize(docs: DataFrame, model_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """id, n_tokens, ids_sha256, decoded_sha256 and, ``with_ids``, ids and decoded text of every row."""
+    small_batches(docs.sparkSession)
     path = model_path or default_model_path()
     kind = dict(docs.dtypes)[id_col]
 

@@ -13,7 +13,8 @@ A tile holds the classes that have the same shingle among those.  The order is t
 shingles that many texts share come last, so a common passage seldom makes a tile.  They are found by
 counting some thousand texts at a time and summing up; a bit map of fixed size marks them, and as any order gives the
 same links, neither a shingle missed nor one marked by chance matters to the result.
-1. In each tile, every class is compared with the tile's smallest id.  The links give components.
+1. Every class is compared with the smallest id of all its tiles; then with that of each tile, where it is
+   still of another component.  The links give components.
 2. In tiles of at most ``LIGHT`` classes that still hold several components, the classes of different
    components are compared, if the places of the shingle leave room for the overlap wanted.
 3. A larger tile with several components comes from a passage that many different documents share.
@@ -80,7 +81,8 @@ def part_hashes(shingles: np.ndarray, num: int = NUM, den: int = DEN) -> list[tu
     for band in (own, own + 1):
         largest = edges[band + 1] - 1
         most_apart = 2 * largest * (den - num) // (den + num)
-        parts = most_apart * 115 // 100 + 1
+        # some parts to spare, so that few sets lack most_apart + 1 parts with anything in them
+        parts = most_apart + 1 + max(most_apart * 15 // 100, min(most_apart, 4))
         part = ((shingles >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         names, starts = np.unique(part[order], return_index=True)
@@ -264,9 +266,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     tiles = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("cls").alias("leader")).where("size > 1")
     shared = stage(rows.join(tiles, "key").select("key", "cls", "span", "size", "leader"), "tiles")
 
-    stars = shared.where("cls != leader").select(F.col("leader").alias("a"), F.col("cls").alias("b")).distinct()
-    links = _linked(stars, narrow, classes, size, num, den)
-    roots = components(links)
+    # with the smallest leader first: copies are then one component, and need no other leader
+    stars = shared.where("cls != leader").select(F.col("leader").alias("a"), F.col("cls").alias("b"))
+    roots = components(_linked(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), narrow, classes, size, num, den))
+    ends = _rooted(stars.distinct().withColumnRenamed("b", "cls"), roots).select(F.col("root").alias("root_b"), F.col("cls").alias("b"), F.col("a").alias("cls"))
+    apart = _rooted(ends, roots).where("root != root_b").select(F.col("cls").alias("a"), "b")
+    roots = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(_linked(stage(apart, "stars"), narrow, classes, size, num, den)))
 
     more = _linked(_open_pairs(shared.where(F.col("size") <= light).select("key", "cls", "span"), roots, places_fit(num, den)), narrow, classes, size, num, den)
     roots = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(more))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -146,20 +148,26 @@ def align_three_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def claim_budget(claims: DataFrame) -> DataFrame:
     """Greedy one-to-one assignment within each group, in order of ``rank``: a row is taken if neither its
-    ``left`` nor its ``right`` is.  Order decides, so a group is a sequential fold; groups must be small."""
+    ``left`` nor its ``right`` is.  Order decides, so this is a fold over sorted rows; a task holds the taken
+    ends of one group at a time."""
     import pandas as pd
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right, keep = set(), set(), []
-        for row in pdf.sort_values(["rank", "left", "right"]).itertuples():
-            if row.left not in left and row.right not in right:
-                left.add(row.left)
-                right.add(row.right)
-                keep.append((row.group, row.left, row.right))
-        return pd.DataFrame(keep, columns=["group", "left", "right"])
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, lefts, rights = None, set(), set()
+        for b in batches:
+            keep = []
+            for g, left, right in zip(b["group"], b["left"], b["right"]):
+                if g != group:
+                    group, lefts, rights = g, set(), set()
+                keep.append(left not in lefts and right not in rights)
+                if keep[-1]:
+                    lefts.add(left)
+                    rights.add(right)
+            yield b.loc[pd.Series(keep, index=b.index, dtype=bool), ["group", "left", "right"]]
 
     types = dict(claims.dtypes)
-    return claims.select("group", "left", "right", "rank").groupBy("group").applyInPandas(fold, f"group {types['group']}, left {types['left']}, right {types['right']}")
+    ordered = claims.select("group", "left", "right", "rank").repartition("group").sortWithinPartitions("group", "rank", "left", "right")
+    return ordered.mapInPandas(fold, f"group {types['group']}, left {types['left']}, right {types['right']}")
 
 
 @query()

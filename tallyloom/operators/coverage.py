@@ -19,7 +19,7 @@ def required_clauses(n: Column, least_tokens: Column) -> Column:
     return F.when((n >= 2) & (least_tokens <= 2), n).otherwise(F.ceil(n / 2))
 
 
-_TOKENS = "list_filter(string_split(regexp_replace(lower(strip_accents({0})), '[^a-z0-9]+', ' ', 'g'), ' '), x -> length(x) >= 4 AND NOT regexp_full_match(x, '[0-9]+'))"
+_TOKENS = "list_filter(string_split(regexp_replace(lower(strip_accents({0})), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: length(x) >= 4 AND NOT regexp_full_match(x, '[0-9]+'))"
 
 
 @query(f"""WITH b AS (SELECT DISTINCT unnest({_TOKENS.format("text")}) AS tok FROM benchmark),

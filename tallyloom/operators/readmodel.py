@@ -26,14 +26,25 @@ def counts_read_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.join(by_nation, n["n_nationkey"] == by_nation["c_nationkey"], "left").select("n_name", *[F.coalesce(x, F.lit(0)).cast("bigint").alias(x) for x in ("trips", "legs", "stays", "items")])
 
 
+def closed_counts(events: DataFrame, by: str) -> DataFrame:
+    """``by``, event_type, n with zeros.  The domain is a pivot's columns."""
+    types = [r[0] for r in events.select("event_type").distinct().orderBy("event_type").collect()]  # a closed, small domain
+    p = events.groupBy(by).pivot("event_type", types).count()
+    return p.select(by, F.explode(F.map_from_arrays(F.array(*[F.lit(t) for t in types]), F.array(*[F.coalesce(F.col(f"`{t}`"), F.lit(0)) for t in types]))).alias("event_type", "n"))
+
+
 @query("""WITH t AS (SELECT DISTINCT event_type FROM events), u AS (SELECT DISTINCT user_id % 16 AS bucket FROM events)
 SELECT bucket, event_type, count(event_id) AS n FROM u CROSS JOIN t LEFT JOIN events e USING (event_type) WHERE e.user_id % 16 = bucket OR e.user_id IS NULL GROUP BY ALL
 UNION ALL SELECT bucket, event_type, 0 FROM u CROSS JOIN t WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.event_type = t.event_type AND e.user_id % 16 = bucket)""")
 def counts_closed_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events by bucket of users and every known type, with zeros.  The domain is a pivot's columns."""
-    types = [r[0] for r in table(spark, sf_dir, "events").select("event_type").distinct().orderBy("event_type").collect()]  # a closed, small domain
-    p = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 16).alias("bucket")).pivot("event_type", types).count()
-    return p.select("bucket", F.explode(F.map_from_arrays(F.array(*[F.lit(t) for t in types]), F.array(*[F.coalesce(F.col(f"`{t}`"), F.lit(0)) for t in types]))).alias("event_type", "n"))
+    """Events by bucket of users and every known type, with zeros.  For users see ``counts_closed_users``."""
+    return closed_counts(table(spark, sf_dir, "events").withColumn("bucket", F.col("user_id") % 16), "bucket")
+
+
+@query("""SELECT user_id, event_type, count(event_id) AS n FROM (SELECT DISTINCT user_id FROM events) CROSS JOIN (SELECT DISTINCT event_type FROM events) LEFT JOIN events USING (user_id, event_type) GROUP BY ALL""")
+def counts_closed_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by user and every known type, with zeros."""
+    return closed_counts(table(spark, sf_dir, "events"), "user_id")
 
 
 @query("""WITH x AS (SELECT o_custkey, p_type, min((o_orderdate, o_orderkey)) AS first, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey GROUP BY ALL)
@@ -49,18 +60,32 @@ def mode_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT o_custkey AS trip, CAST(l_shipdate AS DATE) AS day, l_partkey % 20 AS kind, count(*) AS n, count(DISTINCT l_suppkey) AS n_suppliers FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL HAVING count(*) > 1""")
 def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items of a trip that repeat in day and kind."""
+    """Items of a trip that repeat in day and kind, a bucket of parts.  For parts see ``duplicate_parts``."""
     return items(spark, sf_dir).groupBy("trip", "day", (F.col("l_partkey") % 20).alias("kind")).agg(F.count("*").alias("n"), F.count_distinct("l_suppkey").alias("n_suppliers")).where("n > 1")
 
 
 @query("""SELECT o_custkey AS trip, l_partkey % 20 AS kind, count(*) AS n, count(DISTINCT CAST(l_shipdate AS DATE)) AS n_days FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL
 HAVING count(*) > 1 AND count(DISTINCT CAST(l_shipdate AS DATE)) < count(*)""")
 def duplicate_with_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same by kind alone, without those whose days all differ."""
+    """The same by kind alone, without those whose days all differ.  For parts see ``duplicate_parts_with_repeats``."""
     g = items(spark, sf_dir).groupBy("trip", (F.col("l_partkey") % 20).alias("kind")).agg(F.count("*").alias("n"), F.count_distinct("day").alias("n_days"))
     return g.where("n > 1 and n_days < n")
 
 
+@query("""SELECT o_custkey AS trip, CAST(l_shipdate AS DATE) AS day, l_partkey AS part, count(*) AS n, count(DISTINCT l_suppkey) AS n_suppliers FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL HAVING count(*) > 1""")
+def duplicate_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of a trip that repeat in day and part."""
+    return items(spark, sf_dir).groupBy("trip", "day", F.col("l_partkey").alias("part")).agg(F.count("*").alias("n"), F.count_distinct("l_suppkey").alias("n_suppliers")).where("n > 1")
+
+
+@query("""SELECT o_custkey AS trip, l_partkey AS part, count(*) AS n, count(DISTINCT CAST(l_shipdate AS DATE)) AS n_days FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL
+HAVING count(*) > 1 AND count(DISTINCT CAST(l_shipdate AS DATE)) < count(*)""")
+def duplicate_parts_with_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by part alone, without those whose days all differ."""
+    g = items(spark, sf_dir).groupBy("trip", F.col("l_partkey").alias("part")).agg(F.count("*").alias("n"), F.count_distinct("day").alias("n_days"))
+    return g.where("n > 1 and n_days < n")
+
+
 @query("""SELECT user_id, event_type, event_id, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1""")
 def latest_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest event of each user and type, by an aggregate that combines before the shuffle."""

@@ -61,19 +61,36 @@ c AS (SELECT node, min(root) AS root FROM r GROUP BY node)
 SELECT root, count(*) AS n FROM c GROUP BY root"""
 
 
-@query(_COMPONENTS_SQL)
-def components_shared_member(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers of a nation that share a part of large shipments, by component.  A part's suppliers are
-    linked to its smallest one: the same components as from all pairs, in as many links as suppliers."""
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    li = table(spark, sf_dir, "lineitem").where("l_quantity >= 48 and l_partkey % 5 = 0").select((F.col("l_partkey") % 50).alias("part"), "l_suppkey")
-    m = li.join(s, li["l_suppkey"] == s["s_suppkey"]).select("part", "s_nationkey", "s_suppkey").distinct()
+def shared_components(suppliers: DataFrame, shipments: DataFrame) -> DataFrame:
+    """root, n of suppliers (s_suppkey, s_nationkey) of a nation that share a part of shipments (part, l_suppkey),
+    by component.  A part's suppliers are linked to its smallest one: the same components as from all pairs, in
+    as many links as suppliers."""
+    m = shipments.join(suppliers, shipments["l_suppkey"] == suppliers["s_suppkey"]).select("part", "s_nationkey", "s_suppkey").distinct()
     low = m.groupBy("part", "s_nationkey").agg(F.min("s_suppkey").alias("a"))
     roots = connected(m.join(low, ["part", "s_nationkey"]).select("a", F.col("s_suppkey").alias("b")))
-    named = s.join(roots, s["s_suppkey"] == roots["node"], "left").select(F.coalesce("root", "s_suppkey").alias("root"))
+    named = suppliers.join(roots, suppliers["s_suppkey"] == roots["node"], "left").select(F.coalesce("root", "s_suppkey").alias("root"))
     return named.groupBy("root").agg(F.count("*").alias("n"))
 
 
+@query(_COMPONENTS_SQL)
+def components_shared_member(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As its SQL: only large shipments of every fifth part, and parts in 50 buckets.  For all of them see
+    ``components_shared_part``."""
+    li = table(spark, sf_dir, "lineitem").where("l_quantity >= 48 and l_partkey % 5 = 0").select((F.col("l_partkey") % 50).alias("part"), "l_suppkey")
+    return shared_components(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), li)
+
+
+@query("""WITH RECURSIVE s AS (SELECT s_suppkey, s_nationkey FROM supplier), m AS (SELECT DISTINCT l_partkey AS part, s_suppkey, s_nationkey FROM lineitem JOIN s ON s_suppkey = l_suppkey),
+e AS (SELECT DISTINCT a.s_suppkey AS a, b.s_suppkey AS b FROM m a JOIN m b ON a.part = b.part AND a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey),
+r(node, root) AS (SELECT s_suppkey, s_suppkey FROM s UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node),
+c AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+SELECT root, count(*) AS n FROM c GROUP BY root""")
+def components_shared_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers of a nation that share a part, over all lines, by component."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("part"), "l_suppkey")
+    return shared_components(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), li)
+
+
 @query("""SELECT l_orderkey, l_returnflag, w[1] AS quantity, round(w[2], 2) AS price, w[3] AS part, CASE WHEN n_q = 1 THEN 'quantity' ELSE 'price' END AS rung FROM (
   SELECT l_orderkey, l_returnflag, max((l_quantity, l_extendedprice, l_partkey)) AS w, count(*) FILTER (l_quantity = mq) AS n_q
   FROM (SELECT *, max(l_quantity) OVER (PARTITION BY l_orderkey, l_returnflag) AS mq FROM lineitem) GROUP BY ALL)""")

@@ -34,9 +34,16 @@ def text_distinctive_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""SELECT doc_id, array_to_string(list_filter(string_split({NORMAL_SQL.format("substr(text, 1, 200)")}, ' '), lambda x: x <> '' AND NOT list_contains({_AUDIT}, x)), ' ') AS identity FROM documents""")
 def text_audit_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each text's first 200 characters, as its SQL.  For whole texts see ``text_audit_hash``."""
     return table(spark, sf_dir, "documents").select("doc_id", T.audit_identity(F.substring("text", 1, 200)).alias("identity"))
 
 
+@query(f"""SELECT doc_id, sha256(array_to_string(list_filter(string_split({NORMAL_SQL.format("text")}, ' '), lambda x: x <> '' AND NOT list_contains({_AUDIT}, x)), ' ')) AS identity_sha FROM documents""")
+def text_audit_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hash of each whole text's audit identity."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.audit_identity(F.col("text")), 256).alias("identity_sha"))
+
+
 _BOILER_SQL = " OR ".join(f"regexp_matches(trim(line), '{p}')" for p in T.BOILERPLATE)
 _COST_SQL = " OR ".join("regexp_matches(trim(line), '{}')".format(p.replace("'", "''")) for p in T.PLANNING_COST)
 
@@ -61,6 +68,8 @@ def text_boilerplate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT DISTINCT a.r_name AS a, b.n_name AS b, levenshtein(a.r_name, b.n_name) = 1 AS one_edit FROM region a, nation b WHERE b.n_regionkey = a.r_regionkey
 UNION SELECT p1, p2, levenshtein(p1, p2) = 1 FROM (SELECT DISTINCT p_brand AS p1, 'x' AS k FROM part) x JOIN (SELECT DISTINCT p_brand AS p2, left(p_brand, 7) AS k FROM part) y ON left(p1, 7) = y.k""")
 def text_one_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations with their region, and brands with the same first 7 characters, as its SQL.  For all brands one
+    edit apart see ``text_one_edit_brands``."""
     r, n = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
     names = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(F.col("r_name").alias("a"), F.col("n_name").alias("b"))
     brands = table(spark, sf_dir, "part").select(F.col("p_brand").alias("a"), F.left("p_brand", F.lit(7)).alias("k")).distinct()
@@ -68,6 +77,21 @@ def text_one_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.union(pairs).distinct().select("a", "b", F.coalesce(T.one_edit(F.col("a"), F.col("b")), F.lit(False)).alias("one_edit"))
 
 
+def one_edit_pairs(names: DataFrame) -> DataFrame:
+    """a, b: all ordered pairs of ``name`` one edit apart.  Such names share a variant, which is a name or a name
+    without one of its characters, so only names of a variant are compared."""
+    variants = F.expr("array_distinct(transform(sequence(0, length(name)), i -> if(i = 0, name, concat(left(name, i - 1), substring(name, i + 1)))))")
+    v = names.select("name").where("name is not null").distinct().select("name", F.explode(variants).alias("variant"))
+    pairs = v.withColumnRenamed("name", "a").join(v.withColumnRenamed("name", "b"), "variant").where("a != b").select("a", "b").distinct()
+    return pairs.where(F.coalesce(T.one_edit(F.col("a"), F.col("b")), F.lit(False)))
+
+
+@query("""SELECT a.p_brand AS a, b.p_brand AS b FROM (SELECT DISTINCT p_brand FROM part) a JOIN (SELECT DISTINCT p_brand FROM part) b ON levenshtein(a.p_brand, b.p_brand) = 1""")
+def text_one_edit_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of brands one edit apart."""
+    return one_edit_pairs(table(spark, sf_dir, "part").select(F.col("p_brand").alias("name")))
+
+
 @query("""WITH t AS (SELECT event_id, CAST(event_id % 30 AS VARCHAR) AS h, lpad(CAST(event_id % 70 AS VARCHAR), 2, '0') AS m, event_id % 4 AS k FROM events),
 u AS (SELECT event_id, CASE k WHEN 0 THEN h || ':' || m WHEN 1 THEN 'at ' || h || ' pm' WHEN 2 THEN h || '.' || m || ' AM' ELSE h END AS raw, CAST(h AS INT) AS h, CAST(m AS INT) AS m, k FROM t)
 SELECT event_id, raw, CASE

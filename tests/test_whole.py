@@ -1,6 +1,7 @@
 """Queries over whole tables against brute force on small ones."""
 
 import datetime
+import hashlib
 from collections import Counter, defaultdict
 
 import pytest
@@ -57,3 +58,24 @@ def test_users_are_counted_one_by_one(spark, write):
         n[user, kind] += 1
     sf_dir = write("events", events, "event_id long, user_id long, event_type string")
     assert rows("counts_closed_users", spark, sf_dir) == sorted((u, t, n[u, t]) for u in (1, 17, 33) for t in "ab")
+
+
+def test_words_after_200_characters_tell_texts_apart(spark, write):
+    texts = ["word " * 60 + "one", "word " * 60 + "two", "word " * 60 + "a guided one tour", None]
+    sf_dir = write("documents", list(enumerate(texts)), "doc_id long, text string")
+    a, b, c, none = (h for _, h in rows("text_audit_hash", spark, sf_dir))
+    assert a == c != b and none == hashlib.sha256(b"").hexdigest()
+
+
+def test_all_brands_one_edit_apart_are_paired(spark, write):
+    names = ["Brand#1", "Brand#2", "Brand#11", "Brand#21", "Brand#12", "rand#1", "Brand#111", "xBrand#21", "", "x", "é"]
+    sf_dir = write("part", [(i, n) for i, n in enumerate([*names, "x", None])], "p_partkey long, p_brand string")
+
+    def one_edit(a, b):
+        if len(a) > len(b):
+            a, b = b, a
+        shorter = any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+        return shorter if len(a) < len(b) else sum(x != y for x, y in zip(a, b)) == 1
+
+    assert one_edit("Brand#1", "Brand#2") and one_edit("Brand#11", "Brand#21")
+    assert rows("text_one_edit_brands", spark, sf_dir) == sorted((a, b) for a in names for b in names if one_edit(a, b))

@@ -147,8 +147,8 @@ SELECT b.item_id, CASE WHEN e.n = 1 THEN 'exact' WHEN e.n > 1 THEN 'unresolved'
   CASE WHEN e.n = 1 THEN e.at[1] WHEN e.n IS NULL AND tok.n = 1 THEN tok.at[1] END AS doc_id
 FROM b LEFT JOIN exact e USING (item_id) LEFT JOIN tok USING (item_id)""")
 def align_three_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where each item stands in the documents: the one line with its opening, else the one line with most
-    of its distinctive tokens, half at least; several are left unresolved."""
+    """As its SQL: the one line with an item's opening, else the one line with most of its distinctive tokens, half
+    at least; several are left unresolved.  For whole clauses and sections see ``align_in_sections``."""
     head = lambda c: T.normalize(F.substring(c, 1, 40))
     tok = lambda c: F.array_distinct(T.distinctive_tokens(F.col(c)))
     b = table(spark, sf_dir, "benchmark").select("item_id", head("text").alias("head"), tok("text").alias("t"))
@@ -163,6 +163,48 @@ def align_three_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("item_id", outcome.alias("outcome"), F.expr("case when e_n = 1 then e_at when e_n is null and t_n = 1 then t_at end").alias("doc_id"))
 
 
+def align(candidates: DataFrame, spans: DataFrame) -> DataFrame:
+    """id, method, span, n_plausible of candidates (id, evidence, title, description, section) among spans (span,
+    clause, section): the span whose clause is the evidence; else that in a compatible section whose clause is the
+    title; else that in a compatible section with the largest share of its distinctive tokens, half at least, in
+    title and description, then with most of them.  The first tier with any span decides, and several spans are
+    left unresolved.  Sections are compatible if one's label is part of the other's."""
+    tok = lambda c: F.array_distinct(T.distinctive_tokens(c))
+    c = candidates.select("id", T.normalize(F.col("evidence")).alias("evidence"), T.normalize(F.col("title")).alias("title"), T.normalize(F.col("section")).alias("c_section"), tok(F.concat_ws(" ", "title", "description")).alias("c_tok"))
+    s = spans.select("span", T.normalize(F.col("clause")).alias("clause"), T.normalize(F.col("section")).alias("s_section"), tok(F.col("clause")).alias("s_tok"))
+    labels = c.select("c_section").where("c_section != ''").distinct().crossJoin(s.select("s_section").where("s_section != ''").distinct())  # labels are few
+    labels = labels.where(F.col("s_section").contains(F.col("c_section")) | F.col("c_section").contains(F.col("s_section")))
+    one = lambda tier: [F.count("*").alias(f"{tier}_n"), F.min("span").alias(f"{tier}_at")]
+
+    exact = c.where("evidence != ''").join(s, F.col("evidence") == F.col("clause")).groupBy("id").agg(*one("e"))
+    inside = c.join(exact.select("id"), "id", "left_anti").join(labels, "c_section")
+    named = inside.where("title != ''").withColumn("clause", F.col("title")).join(s, ["s_section", "clause"]).groupBy("id").agg(*one("s"))
+    tokens = inside.join(named.select("id"), "id", "left_anti").select("id", "s_section", F.explode("c_tok").alias("tok"))
+    scored = tokens.join(s.select("span", "s_section", F.size("s_tok").alias("n_tok"), F.explode("s_tok").alias("tok")), ["s_section", "tok"])
+    scored = scored.groupBy("id", "span", "n_tok").agg(F.count("*").alias("matched")).where("2 * matched >= n_tok")
+    top = scored.groupBy("id", (F.col("matched") / F.col("n_tok")).alias("ratio"), "matched").agg(*one("t")).groupBy("id").agg(F.max(F.struct("ratio", "matched", "t_n", "t_at")).alias("m"))
+    found = c.select("id").join(exact, "id", "left").join(named, "id", "left").join(top.select("id", "m.t_n", "m.t_at"), "id", "left")
+    n, at = F.coalesce("e_n", "s_n", "t_n", F.lit(0)), F.coalesce("e_at", "s_at", "t_at")
+    method = F.expr("case when e_n = 1 then 'exact_evidence' when e_n is null and s_n = 1 then 'exact_title_in_section' when e_n is null and s_n is null and t_n = 1 then 'source_block_tokens' end")
+    return found.select("id", method.alias("method"), F.when(n == 1, at).alias("span"), n.alias("n_plausible"))
+
+
+@query()
+def align_in_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each clause of an item stands among the documents' clauses, in three tiers.  A document's section is
+    its source; an item's is the one source that holds whole clauses of it, and an item with none or several of
+    those has no section.  The title is the item's first clause."""
+    split = lambda df, *c: df.select(*c, F.posexplode(F.split("text", r"[,;.\n]")).alias("pos", "clause")).where("trim(clause) != ''")
+    b = split(table(spark, sf_dir, "benchmark"), "item_id").withColumn("k", T.normalize(F.col("clause")))
+    d = split(table(spark, sf_dir, "documents"), "doc_id", "source")
+    held = d.select(T.normalize(F.col("clause")).alias("k"), "source").where("k != ''").distinct().join(b.select("k", "item_id").distinct(), "k")
+    section = held.groupBy("item_id").agg(F.min("source").alias("lo"), F.max("source").alias("hi")).select("item_id", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("section"))
+    title = b.groupBy("item_id").agg(F.min_by("clause", "pos").alias("title"))
+    candidates = b.join(title, "item_id").join(section, "item_id", "left").select(F.struct("item_id", "pos").alias("id"), F.col("clause").alias("evidence"), "title", F.col("clause").alias("description"), "section")
+    found = align(candidates, d.select(F.struct("doc_id", "pos").alias("span"), "clause", F.col("source").alias("section")))
+    return found.select("id.item_id", F.col("id.pos").alias("pos"), "method", F.col("span.doc_id").alias("doc_id"), F.col("span.pos").alias("doc_pos"), "n_plausible")
+
+
 def claim_budget(claims: DataFrame) -> DataFrame:
     """Greedy one-to-one assignment within each group, in order of ``rank``: a row is taken if neither its
     ``left`` nor its ``right`` is.  Order decides, so this is a fold over sorted rows; a task holds the taken

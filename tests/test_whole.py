@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from tallyloom import registry
+from tallyloom.operators import resolve
 
 registry.load_all()
 
@@ -79,3 +80,35 @@ def test_all_brands_one_edit_apart_are_paired(spark, write):
 
     assert one_edit("Brand#1", "Brand#2") and one_edit("Brand#11", "Brand#21")
     assert rows("text_one_edit_brands", spark, sf_dir) == sorted((a, b) for a in names for b in names if one_edit(a, b))
+
+
+LONG = "The long walk from the old castle gate to the harbour "
+
+
+def test_align_compares_whole_clauses_and_sections(spark):
+    spans = [(1, LONG + "before sunset", "Day 1"), (2, LONG + "after breakfast", "Day 1"), (3, "Museum", "Day 1"), (4, "Museum", "Day 2"), (5, "Wine tasting cellar dinner", "Day 2"), (6, "Wine tasting cellar dinner", "Other"), (7, "Twice", "Day 1"), (8, "twice!", "Day 3"), (9, "Boat", None)]
+    candidates = [
+        ("whole", LONG + "BEFORE sunset", None, None, None),  # two lines open alike
+        ("opening only", LONG + "on Monday", None, None, None),
+        ("title", "not there", "Museum", None, "Day 2"),
+        ("title without section", None, "Museum", None, None),
+        ("title in two", None, "Museum", None, "Day"),
+        ("tokens", "none", "Tasting", "in a cellar with wine", "day 2"),
+        ("tokens without section", None, "Tasting", "in a cellar with wine", None),
+        ("too few", None, "Tasting", "alone", "Day 2"),
+        ("twice", "Twice", "Museum", None, "Day 2"),  # ambiguous evidence decides, no later tier
+        ("span without section", None, "Boat", None, "Day 2"),
+    ]
+    got = resolve.align(spark.createDataFrame(candidates, "id string, evidence string, title string, description string, section string"), spark.createDataFrame(spans, "span long, clause string, section string"))
+    assert {r["id"]: (r["method"], r["span"], r["n_plausible"]) for r in got.collect()} == {
+        "whole": ("exact_evidence", 1, 1),
+        "opening only": (None, None, 0),
+        "title": ("exact_title_in_section", 4, 1),
+        "title without section": (None, None, 0),
+        "title in two": (None, None, 2),
+        "tokens": ("source_block_tokens", 5, 1),
+        "tokens without section": (None, None, 0),
+        "too few": (None, None, 0),
+        "twice": (None, None, 2),
+        "span without section": (None, None, 0),
+    }

@@ -10,9 +10,15 @@ on key and format alone: equal values get equal pseudonyms in all documents, dif
 
 Nothing is gathered or shuffled: each row is rewritten in its task.
 
+Values may stand beside other numbers or upper-case words, so cards, accounts and phones are tried from every
+group of digits and to every end that their formats allow: cards in the lengths and groups of their scheme,
+accounts in the length of their country, phones in the lengths of their country or with one kind of sign.
+Values of certain form are taken first, then phones of known length, then cards in odd groups, then other
+phones, each from what is left.  A phone of no known length takes in a further number that the same sign joins.
+
 Edge cases: a null text stays null and has no values; values that do not validate stay as they are; of
-overlapping values the one that begins first is taken, then the kind listed first; repeated rows give
-repeated results.
+overlapping values of one such step the one that begins first is taken, then the kind listed first; repeated
+rows give repeated results.
 """
 
 from __future__ import annotations
@@ -166,7 +172,7 @@ KINDS: dict[str, tuple[str, Callable[[str, Permuter], str | None]]] = {
     "email": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", _email),
     "account": (r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", _account),
     "ip": (r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)", _address),
-    "date": (r"(?<![\w.-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?![\w]|-\d)", _date),
+    "date": (r"(?<![\w.-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?:(?=[Tt]\d{2}(?!\d))|(?![\w]|-\d))", _date),
     "social": (r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w]|-\d)", _social),
     "card": (r"(?<![\w])\d(?:[ -]?\d){12,18}(?![\w])", _card),
     "phone": (r"(?<![\w.])\+?\(?\d(?:[ .()-]{0,2}\d){8,14}(?![\w])", _phone),
@@ -174,6 +180,69 @@ KINDS: dict[str, tuple[str, Callable[[str, Permuter], str | None]]] = {
 _COMPILED = {k: re.compile(p, re.ASCII) for k, (p, _) in KINDS.items()}
 _DIGIT_PAIR = re.compile(r"\d\D?\d", re.ASCII)
 
+#: Lengths of account numbers by country.
+ACCOUNT_LENGTHS = {
+    **dict.fromkeys(["NO"], 15), **dict.fromkeys(["BE"], 16), **dict.fromkeys("DK FI FK FO GL NL SD".split(), 18), **dict.fromkeys("MK SI".split(), 19),
+    **dict.fromkeys("AT BA EE KZ LT LU MN XK".split(), 20), **dict.fromkeys("CH HR LI LV".split(), 21), **dict.fromkeys("BG BH CR DE GB GE IE ME RS VA".split(), 22),
+    **dict.fromkeys("AE GI IL IQ OM SO TL".split(), 23), **dict.fromkeys("AD CZ ES MD PK RO SA SE SK TN VG".split(), 24), **dict.fromkeys("LY PT ST".split(), 25),
+    **dict.fromkeys("IS TR".split(), 26), **dict.fromkeys("BI DJ FR GR IT MC MR SM".split(), 27), **dict.fromkeys("AL AZ BY CY DO GT HN HU LB NI PL SV".split(), 28),
+    **dict.fromkeys("BR EG PS QA UA".split(), 29), **dict.fromkeys("JO KW MU".split(), 30), **dict.fromkeys("MT SC".split(), 31), **dict.fromkeys(["LC"], 32), **dict.fromkeys(["RU"], 33),
+}
+#: Groups that cards are written in, and lengths by scheme, the usual one first.
+CARD_GROUPS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3), (4, 4, 4, 1), (6, 13)} | {(n,) for n in range(13, 20)}
+CARD_LENGTHS = [(re.compile(p), n) for p, n in (("3[47]", (15,)), ("3(?:0|6|8|9)", (14, 16, 17, 18, 19)), ("35", (16, 17, 18, 19)), ("4", (16, 19, 13)), ("5[1-5]|2[2-7]", (16,)), ("6|5[06-8]", (16, 19, 18, 17, 15, 14, 13)))]
+#: Digits of phones, country code included, where a country has but one length.
+PHONE_LENGTHS = {"1": 11, "7": 11, "30": 12, "31": 11, "33": 11, "34": 11, "41": 11, "44": 12, "45": 10, "47": 10, "48": 11, "61": 11, "65": 10, "90": 12, "91": 12, "351": 12, "420": 12, "421": 12}
+
+_CARD_RUN = re.compile(r"(?<!\w)\d+(?:[ -]\d+)*", re.ASCII)
+_GROUP = re.compile(r"\d+", re.ASCII)
+#: North American and French phones; the lengths of others with a country code are looked up.
+_KNOWN_PHONE = re.compile(
+    r"(?<![\w.])(?:(?:\+?1[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}([ .-]))\d{3}[ .-]\d{4}|0[1-9](?:([ .-])\d{2})(?:\2\d{2}){3})(?![\w])|(?<![\w.])\+\d(?:[ .()-]{0,2}\d){8,14}(?![\w])", re.ASCII
+)
+
+Found = tuple[int, int, int, str, str]  # start, rank, end, kind, pseudonym
+
+
+def card_ends(run: str, groups: list[tuple[int, int]], i: int, odd: bool) -> list[int]:
+    """Ends within ``run`` of what may be a card from the i-th group on: the scheme's lengths in usual groups, or
+    (``odd``) all lengths in any groups, longest first."""
+    ends, shape, signs, n = {}, [], set(), 0
+    for j in range(i, len(groups)):
+        if j > i:
+            signs.add(run[groups[j][0] - 1])
+        shape.append(groups[j][1] - groups[j][0])
+        n += shape[-1]
+        if n > 19:
+            break
+        if n >= 13 and (odd or (len(signs) < 2 and tuple(shape) in CARD_GROUPS)):
+            ends[n] = groups[j][1]
+    if odd:
+        return [ends[n] for n in sorted(ends, reverse=True)]
+    if not ends:
+        return []
+    first = run[groups[i][0] : groups[i][1]]
+    return [ends[n] for p, lengths in CARD_LENGTHS if p.match(first) for n in lengths if n in ends]
+
+
+def phone_end(value: str) -> int:
+    """Where the phone ends in ``value``, which may run on into a further number: at its country's length; else
+    before a space that follows nine digits at least which other signs join."""
+    digits, known = 0, None
+    if value[0] == "+":
+        plain = re.sub(r"\D", "", value)
+        known = next((PHONE_LENGTHS[plain[:k]] for k in (1, 2, 3) if plain[:k] in PHONE_LENGTHS), None)
+    sign = ""
+    cut = len(value)
+    for m in _GROUP.finditer(value):
+        between = value[at : m.start()] if digits else ""
+        if digits >= 9 and cut == len(value) and between == " " and sign in ("-", "."):
+            cut = at
+        digits, at, sign = digits + m.end() - m.start(), m.end(), between
+        if digits == known:
+            return at
+    return cut
+
 
 class Pseudonyms:
     def __init__(self, key: bytes):
@@ -194,20 +263,101 @@ class Pseudonyms:
         if not text:
             return text, counts
         numbers = _DIGIT_PAIR.search(text) is not None
-        found = []
-        for rank, (kind, pattern) in enumerate(_COMPILED.items()):
-            if "@" in text if kind == "email" else numbers:
-                found += [(m.start(), rank, m.end(), kind, new) for m in pattern.finditer(text) if (new := self.of(kind, m.group())) is not None]
-        if not found:
+        steps = [self._certain, self._known_phones, self._odd_cards, self._phones] if numbers else [self._emails]
+        rest, taken = text, []
+        for step in steps:
+            at, new = 0, []
+            for found in sorted(step(rest)):
+                if found[0] >= at:
+                    new.append(found)
+                    at = found[2]
+            if new:
+                taken += new
+                parts, at = [], 0
+                for start, _, end, _, _ in new:
+                    parts += [rest[at:start], "\x00" * (end - start)]
+                    at = end
+                rest = "".join(parts) + rest[at:]
+        if not taken:
             return text, counts
         out, at = [], 0
-        for start, _, end, kind, new in sorted(found):
-            if start >= at:
-                out += [text[at:start], new]
-                at = end
-                counts[kind] += 1
+        for start, _, end, kind, new in sorted(taken):
+            out += [text[at:start], new]
+            at = end
+            counts[kind] += 1
         return "".join(out) + text[at:], counts
 
+    def _emails(self, text: str) -> list[Found]:
+        return [(m.start(), 0, m.end(), "email", new) for m in _COMPILED["email"].finditer(text) if (new := self.of("email", m.group())) is not None] if "@" in text else []
+
+    def _certain(self, text: str) -> list[Found]:
+        found = self._emails(text) + self._accounts(text) + self._cards(text, False)
+        for rank, (kind, pattern) in enumerate(_COMPILED.items()):
+            if kind in ("ip", "date", "social"):
+                found += [(m.start(), rank, m.end(), kind, new) for m in pattern.finditer(text) if (new := self.of(kind, m.group())) is not None]
+        return found
+
+    def _accounts(self, text: str) -> list[Found]:
+        found, at = [], 0
+        while m := _COMPILED["account"].search(text, at):
+            at = m.start() + 1
+            value, n, ends = m.group(), 0, {}
+            for i, c in enumerate(value, 1):
+                n += c != " "
+                if c != " " and n >= 15 and not value[i : i + 1].isalnum():
+                    ends[n] = i
+            usual = ACCOUNT_LENGTHS.get(value[:2])
+            for n in sorted(ends, key=lambda n: (n != usual, -n)):
+                if (new := self.of("account", value[: ends[n]])) is not None:
+                    found.append((m.start(), 1, m.start() + ends[n], "account", new))
+                    at = m.start() + ends[n]
+                    break
+        return found
+
+    def _cards(self, text: str, odd: bool) -> list[Found]:
+        found = []
+        for m in _CARD_RUN.finditer(text):
+            run = m.group()
+            if len(run) < 13:
+                continue
+            groups = [g.span() for g in _GROUP.finditer(run)]
+            if m.end() < len(text) and (text[m.end()] == "_" or text[m.end()].isascii() and text[m.end()].isalnum()):
+                groups.pop()  # part of a word
+            i = 0
+            while i < len(groups):
+                start = groups[i][0]
+                plus = i == 0 and m.start() > 0 and text[m.start() - 1] == "+"  # a phone, if not too long
+                for end in card_ends(run, groups, i, odd):
+                    if plus and end - start < 16:
+                        continue
+                    if (new := self.of("card", run[start:end])) is not None:
+                        found.append((m.start() + start, 5, m.start() + end, "card", new))
+                        i = next(j for j, g in enumerate(groups) if g[1] == end)
+                        break
+                i += 1
+        return found
+
+    def _odd_cards(self, text: str) -> list[Found]:
+        return self._cards(text, True)
+
+    def _known_phones(self, text: str) -> list[Found]:
+        return self._phones(text, _KNOWN_PHONE)
+
+    def _phones(self, text: str, pattern: re.Pattern = _COMPILED["phone"]) -> list[Found]:
+        found, at = [], 0
+        while m := pattern.search(text, at):
+            end = phone_end(m.group())
+            new = self.of("phone", m.group()[:end])
+            if new is None and end < len(m.group()):
+                new, end = self.of("phone", m.group()), len(m.group())
+            if new is not None:
+                found.append((m.start(), 6, m.start() + end, "phone", new))
+                at = m.start() + end
+            else:  # from the next group of digits
+                first = _GROUP.search(text, m.start())
+                at = first.end()
+        return found
+
 
 def pseudonymize(docs: DataFrame, text_col: str = "text", key: bytes = EXAMPLE_KEY) -> DataFrame:
     """``docs`` with the text rewritten and ``pii``, a struct of counts by kind, in place of any such column."""

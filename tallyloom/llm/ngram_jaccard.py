@@ -1,6 +1,6 @@
 """Exact Jaccard join of documents on word shingles, for links and their components.
 
-Documents with the same set are one class, for which its smallest id stands.  Classes are compared
+Documents with the same set are one class, which has a number; its smallest id is its label.  Classes are compared
 within tiles, and a pair of a tile goes on only if its sizes fit, then if bit counts of the two
 signatures allow enough overlap, and is linked if an intersection of the sorted shingles says so.
 
@@ -13,7 +13,7 @@ A tile holds the classes that have the same shingle among those.  The order is t
 shingles that many texts share come last, so a common passage seldom makes a tile.  They are found by
 counting some thousand texts at a time and summing up; a bit map of fixed size marks them, and as any order gives the
 same links, neither a shingle missed nor one marked by chance matters to the result.
-1. Every class is compared with the smallest id of all its tiles; then with that of each tile, where it is
+1. Every class is compared with the smallest class of all its tiles; then with that of each tile, where it is
    still of another component.  The links give components.
 2. In tiles of at most ``LIGHT`` classes that still hold several components, the classes of different
    components are compared, if the places of the shingle leave room for the overlap wanted.
@@ -26,7 +26,7 @@ cost one comparison each for every shared tile leader, not one for every pair of
 
 Edge cases: a null or empty text, or one without words, has an empty set, links with nothing and is its
 own component; fewer words than a shingle are one shingle of their own; rows that repeat an id are
-matched each by its own text, with the id standing for all; a null id is nobody's smallest.  Extra
+matched each by its own text, different ones too; a null id is nobody's smallest.  Extra
 columns are not read.
 """
 
@@ -167,7 +167,7 @@ def fits(num: int = NUM, den: int = DEN) -> Column:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cls, text for the (cls, text_hash) wanted.  A bit map drops other documents before the shuffle."""
+    """cls, text for the (cls, label, text_hash) wanted.  A bit map drops other documents before the shuffle."""
     marked = docs.sparkSession.sparkContext.broadcast(bit_map(wanted.select("text_hash")))
 
     def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -175,15 +175,15 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield b.iloc[marked.value.hits(b["text_hash"].to_numpy(np.int64))]
 
     kept = docs.mapInPandas(some, docs.schema)
-    wanted = wanted.withColumnsRenamed({"cls": "__c", "text_hash": "__h"})
-    return kept.join(wanted, (kept["doc_id"] == F.col("__c")) & (kept["text_hash"] == F.col("__h"))).dropDuplicates(["doc_id", "text_hash"]).select(F.col("doc_id").alias("cls"), "text")
+    wanted = wanted.withColumnsRenamed({"label": "__c", "text_hash": "__h"})
+    return kept.join(wanted, (kept["doc_id"] == F.col("__c")) & (kept["text_hash"] == F.col("__h"))).dropDuplicates(["cls"]).select("cls", "text")
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets are linked."""
     side = lambda x: classes.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
     likely = stage(pairs.join(side("a"), "a").join(side("b"), "b").where(fits(num, den)).select("a", "b"), "likely")
-    ends = likely.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "text_hash"), "cls")
+    ends = likely.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "label", "text_hash"), "cls")
     texts = stage(_texts(docs, stage(ends, "ends")), "texts")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -257,9 +257,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     signed = stage(sign(narrow, id_type, common(narrow, size), size, num, den), "signed")
 
     # classes of equal sets
-    first = stage(signed.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("s")).select("digest", F.col("s.doc_id").alias("cls"), F.col("s.text_hash").alias("text_hash")), "classes")
-    members = signed.join(first.withColumnsRenamed({"digest": "__d", "text_hash": "__h"}), (F.col("digest") == F.col("__d")) & (F.col("doc_id") == F.col("cls")) & (F.col("text_hash") == F.col("__h")))
-    classes = stage(members.select("cls", "text_hash", "n", "bits").dropDuplicates(["cls"]), "class-bits")
+    first = stage(signed.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("s")).select("digest", F.monotonically_increasing_id().alias("cls"), F.col("s.doc_id").alias("label"), F.col("s.text_hash").alias("text_hash")), "classes")
+    members = signed.join(first.withColumnsRenamed({"digest": "__d", "text_hash": "__h"}), (F.col("digest") == F.col("__d")) & (F.col("doc_id") == F.col("label")) & (F.col("text_hash") == F.col("__h")))
+    classes = stage(members.select("cls", "label", "text_hash", "n", "bits").dropDuplicates(["cls"]), "class-bits")
     rows = members.select("cls", "n", F.posexplode("prefix").alias("place", "key")).select("key", "cls", (F.shiftleft(F.col("n").cast("bigint"), 32) + F.col("place")).alias("span"))
 
     # tiles of two classes at least, with their leaders
@@ -278,17 +278,21 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
 
     heavy = _rooted(shared.where(F.col("size") > light).select("key", "cls"), roots)
     mixed = heavy.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
-    crowd = stage(heavy.join(mixed, "key").select("cls").distinct().join(classes.select("cls", "text_hash"), "cls"), "crowd")
+    crowd = stage(heavy.join(mixed, "key").select("cls").distinct().join(classes.select("cls", "label", "text_hash"), "cls"), "crowd")
     if not crowd.isEmpty():
-        links = _linked(_open_pairs(_parts(_texts(narrow, crowd), id_type, size, num, den).withColumn("span", F.lit(0)), roots), narrow, classes, size, num, den)
+        links = _linked(_open_pairs(_parts(_texts(narrow, crowd), size, num, den).withColumn("span", F.lit(0)), roots), narrow, classes, size, num, den)
         roots = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(links))
 
-    named = _rooted(first.select("digest", "cls"), roots).select(F.col("digest").alias("__d"), "root")
+    # a component's id is the smallest label of its classes
+    whole = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
+    labelled = whole.join(first.select(F.col("cls").alias("node"), "label"), "node")
+    ids = labelled.join(labelled.groupBy("root").agg(F.min("label").alias("least")), "root").select(F.col("node").alias("cls"), "least")
+    named = first.select("digest", "cls", "label").join(ids, "cls", "left").select(F.col("digest").alias("__d"), F.coalesce("least", "label").alias("least"))
     out = signed.select("doc_id", "text_hash", "n", "digest").join(named, F.col("digest") == F.col("__d"), "left")
-    return out.select("doc_id", "text_hash", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "text_hash", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _parts(texts: DataFrame, id_type: str, size: int, num: int, den: int) -> DataFrame:
+def _parts(texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """key, cls: the size-banded tiles of the parts of each class."""
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -298,7 +302,7 @@ def _parts(texts: DataFrame, id_type: str, size: int, num: int, den: int) -> Dat
                 keys = [k for _, k in part_hashes(shingle_set(known.of(spaced_words(text)), size), num, den)]
                 yield pd.DataFrame({"key": np.array(keys, np.int64), "cls": cls})
 
-    return texts.mapInPandas(deal, f"key bigint, cls {id_type}")
+    return texts.mapInPandas(deal, "key bigint, cls bigint")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

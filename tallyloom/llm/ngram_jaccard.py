@@ -1,37 +1,42 @@
 """Exact Jaccard join of documents on word shingles, for links and their components.
 
 Documents with the same set are one class, which has a number; its smallest id is its label.  Classes are compared
-within tiles, and a pair of a tile goes on only if its sizes fit, then if bit counts of the two
+within tiles, and a pair of a tile goes on only if its sizes and places fit, then if bit counts of the two
 signatures allow enough overlap, and is linked if an intersection of the sorted shingles says so.
 
 *Signature*: shingles hashed to about as many bits as the set is large; a bit is set if an odd number
 falls on it.  Where two signatures differ, at least one element is in one set only, so the count of
 differing bits bounds the overlap from above.  A longer signature folds to the length of a shorter.
 
-*Tiles*: with shingles in one global order, linked sets share one of the first ``n - ceil(t n) + 1``.
-A tile holds the classes that have the same shingle among those.  The order is that of the hashes, but
-shingles that many texts share come last, so a common passage seldom makes a tile.  They are found by
-counting some thousand texts at a time and summing up; a bit map of fixed size marks them, and as any order gives the
-same links, neither a shingle missed nor one marked by chance matters to the result.
-1. Every class is compared with the smallest class of all its tiles; then with that of each tile, where it is
-   still of another component.  The links give components.
-2. In tiles of at most ``LIGHT`` classes that still hold several components, the classes of different
-   components are compared, if the places of the shingle leave room for the overlap wanted.
-3. A larger tile with several components comes from a passage that many different documents share.
-   Its classes are tiled anew, by size bands: linked sets of a band and the one below differ in at most
-   d elements, so if the hashes are dealt into more than d parts, they agree in one whole part.  A tile
-   is a band and the hash of a part's shingles; of its pairs, those of different components are compared.
-Every linked pair is so compared, or joined by other links already.  Copies and chains of near copies
-cost one comparison each for every shared tile leader, not one for every pair of a group.
+*Order*: shingles go from rare to common, then by hash.  How common one is comes from a table of fixed size
+(``CELLS`` bits of the hash) in which every task counts all its texts; the sums do not depend on how rows are dealt
+out.  Any order gives the same links, so a cell that several shingles share costs time only.
+
+*Tiles*: a tile is a size band and a shingle.  A pair's tile is that of the band of its smaller set.  With sizes
+``a <= b`` and the overlap ``o`` that a link needs, linked sets share one of the first ``a - o + 1`` of the smaller
+and one of the first ``b - o + 1`` of the larger.  So a class stands as the *smaller* in its own band with as few
+shingles as partners of its own size or more allow, and as the *larger* in its own band and, if sets of that band are not too
+small for it, in the one below.  In a tile the smaller are compared with the larger, if what follows the shingle in
+both leaves room for ``o``.  A passage that many different texts share stands behind what each has for
+itself and makes no tile, until it is so much of a text that those sharing it are nearly linked.
+1. Every class of a tile is compared with the tile's leader, its smallest class (in a tile of more than ``LIGHT``
+   also with two more).  The links give components: copies and chains of near copies cost a few comparisons each, not one
+   for every pair of a group.
+2. In tiles that still hold several components, the classes of different components are compared.
+Every linked pair is so compared, or joined by other links already.
+
+Shingles are compared as 64-bit hashes.
 
 Edge cases: a null or empty text, or one without words, has an empty set, links with nothing and is its
-own component; fewer words than a shingle are one shingle of their own; rows that repeat an id are
-matched each by its own text, different ones too; a null id is nobody's smallest.  Extra
+own component; fewer words than a shingle are one shingle of their own; very long texts cost time in proportion, and
+batches are bounded in bytes; rows that repeat an id are
+matched each by its own text, different ones too; a null id is nobody's smallest; an empty table gives none.  Extra
 columns are not read.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,17 +45,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bitmaps import BitMap, bit_map
-from .shared import small_batches, stage, table
-from .shingles import WordHashes, shingle_set, spaced_words
+from .bitmaps import bit_map
+from .shared import hidden, small_batches, stage, table
+from .shingles import WordHashes, shingle_set, shingles, spaced_words
 
 SHINGLE = 5
 #: A pair is linked from this share of the union on: NUM / DEN.
 NUM, DEN = 80, 100
+#: A tile of more classes has three leaders.
 LIGHT = 64
-#: A shingle counted more often than this comes late in the order; bits of the map that marks them; how many
-#: shingles are counted at once.
-COMMON, COMMON_BITS, COUNTED_AT_ONCE = 16, 26, 4_000_000
+#: A shingle counted more often than this, above what chance gives a cell, comes late in the order; bits of a cell's number; cells of a
+#: row in which counts are sent.
+COMMON, CELLS, ROW_CELLS = 16, 24, 1 << 16
+#: A band's sets differ in size by the factor of a link at most so many times over.
+BAND_STEPS = 4
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -62,82 +70,105 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view(np.int64)
 
 
-def bands(largest: int, num: int = NUM, den: int = DEN) -> list[int]:
-    """Least size of each band: of two sets that can be linked, the bands are the same or next."""
+def band_edges(num: int = NUM, den: int = DEN) -> np.ndarray:
+    """Least size of each band."""
     out = [1]
-    while out[-1] <= largest:
-        out.append(max(out[-1] + 1, -(-out[-1] * den // num)))
-    return out
+    while out[-1] < 1 << 31:
+        edge = out[-1]
+        for _ in range(BAND_STEPS):
+            edge = max(edge + 1, edge * den // num)
+        out.append(edge)
+    return np.array(out)
 
 
-def part_hashes(shingles: np.ndarray, num: int = NUM, den: int = DEN) -> list[tuple[int, int]]:
-    """(band, hash) of the parts of a set, for its own band and the next."""
-    n = len(shingles)
-    if not n:
-        return []
-    edges = bands(n * 2 + 2, num, den)
+def wanted(a: int, b: int, num: int = NUM, den: int = DEN) -> int:
+    """The least overlap that links sets of these sizes."""
+    return -(-num * (a + b) // (num + den))
+
+
+def spans(n: int, edges: np.ndarray, num: int = NUM, den: int = DEN) -> tuple[int, int, int, int]:
+    """A set's band; how many of its first shingles stand as the smaller and as the larger there; and as the larger in the band below."""
     own = int(np.searchsorted(edges, n, "right")) - 1
-    out = []
-    for band in (own, own + 1):
-        largest = edges[band + 1] - 1
-        most_apart = 2 * largest * (den - num) // (den + num)
-        # some parts to spare, so that few sets lack most_apart + 1 parts with anything in them
-        parts = most_apart + 1 + max(most_apart * 15 // 100, min(most_apart, 4))
-        part = ((shingles >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        names, starts = np.unique(part[order], return_index=True)
-        sums = np.add.reduceat(shingles[order] * np.uint64(0x9E3779B97F4A7C15), starts) ^ shingles[order][starts]
-        found = dict(zip(names.tolist(), sums.tolist()))
-        # too few parts with anything in them: two empty parts are then an agreement too
-        wanted = range(parts) if len(found) <= most_apart else found
-        out += [(band, xxhash.xxh64_intdigest(f"{band}/{p}/{found.get(p)}") - (1 << 63)) for p in wanted]
-    return out
-
-
-def common(docs: DataFrame, size: int = SHINGLE) -> BitMap:
-    """Marks the shingles that more than ``COMMON`` different texts share, as far as two are counted at once."""
-
-    def shared(sets: list[np.ndarray]) -> pd.DataFrame:
-        whole = np.concatenate([np.zeros(0, np.uint64), *sets])
-        whole.sort()
-        starts = np.flatnonzero(np.r_[True, whole[1:] != whole[:-1]]) if len(whole) else np.zeros(0, np.int64)
-        n = np.diff(np.r_[starts, len(whole)])
-        return pd.DataFrame({"shingle": whole[starts[n > 1]].view(np.int64), "n": n[n > 1]})
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    least = -(-num * n // den)
+    smaller = n - wanted(n, n, num, den) + 1
+    larger = n - wanted(n, max(least, int(edges[own])), num, den) + 1
+    below = n - wanted(n, least, num, den) + 1 if least < edges[own] else 0
+    return own, smaller, larger, below
+
+
+def tile_keys(ordered: np.ndarray, edges: np.ndarray, num: int = NUM, den: int = DEN) -> tuple[np.ndarray, np.ndarray]:
+    """(key, span) of a set's tiles, its shingles given in order.  A span is the set's size, the shingle's
+    place and whether the set stands as the smaller too: 31, 31 and 1 bits."""
+    n = len(ordered)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    own, smaller, larger, below = spans(n, edges, num, den)
+    place = np.r_[np.arange(larger), np.arange(below)]
+    band = np.repeat([own, own - 1], [larger, below]).astype(np.uint64)
+    keys = (ordered[place] + band) * np.uint64(0x9E3779B97F4A7C15)
+    small = np.r_[np.arange(larger) < smaller, np.zeros(below, bool)]
+    return keys.view(np.int64), (np.int64(n) << 32) | (place << 1) | small
+
+
+def order_table(docs: DataFrame, size: int = SHINGLE) -> np.ndarray:
+    """For each cell how common its shingles are: 0 up to ``COMMON`` texts, then a step for each factor of 4."""
+
+    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
-        seen, sets, held = set(), [], 0
+        cells = np.zeros(1 << CELLS, np.uint16)
         for b in batches:
-            for text_hash, text in zip(b["text_hash"], b["text"]):
-                if text_hash in seen:
-                    continue
-                seen.add(text_hash)
-                sets.append(shingle_set(known.of(spaced_words(text)), size))
-                held += len(sets[-1])
-                if held >= COUNTED_AT_ONCE:
-                    yield shared(sets)
-                    seen, sets, held = set(), [], 0
-        yield shared(sets)
+            found = [np.zeros(0, np.uint64)]
+            for text in b["text"]:
+                w = known.of(spaced_words(text))
+                found.append(shingles(w, min(size, len(w))) if len(w) else w)
+            at, n = np.unique(np.concatenate(found) >> np.uint64(64 - CELLS), return_counts=True)
+            at = at.astype(np.int64)
+            cells[at] = np.minimum(cells[at].astype(np.int64) + n, 65_535)
+        rows = [(k, zlib.compress(c, 1)) for k, c in enumerate(cells.reshape(-1, ROW_CELLS)) if c.any()]
+        yield pd.DataFrame(rows, columns=["row", "packed"])
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, packed in zip(b["row"], b["packed"]):
+                held[k] = held.get(k, 0) + np.frombuffer(zlib.decompress(packed), np.uint16).astype(np.int64)
+        yield pd.DataFrame([(k, int(c.sum()), zlib.compress(c, 1)) for k, c in held.items()], columns=["row", "total", "packed"])
+
+    sums = stage(docs.select("text").mapInPandas(tally, "row int, packed binary").repartition("row").mapInPandas(add, "row int, total bigint, packed binary"), "counts")
+    mean = (sums.agg(F.sum("total")).first()[0] or 0) / (1 << CELLS)
+
+    def grade(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for packed in b["packed"]:
+                over = np.frombuffer(zlib.decompress(packed), np.int64) - mean - 4 * mean**0.5
+                out.append(zlib.compress(np.where(over > COMMON, 1 + np.log2(np.maximum(over, 1) / max(COMMON, 1)).clip(0, 400) / 2, 0).astype(np.uint8)))
+            yield pd.DataFrame({"row": b["row"], "grades": out})
+
+    table = np.zeros(1 << CELLS, np.uint8)  # one byte a cell, however large the corpus
+    for r in sums.mapInPandas(grade, "row int, grades binary").collect():
+        table[r["row"] * ROW_CELLS : (r["row"] + 1) * ROW_CELLS] = np.frombuffer(zlib.decompress(r["grades"]), np.uint8)
+    return table
 
-    counts = docs.select("text_hash", "text").mapInPandas(count, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
-    return bit_map(counts.where(F.col("n") > COMMON).select("shingle"), COMMON_BITS)
 
+def in_order(shingles: np.ndarray, grades: np.ndarray) -> np.ndarray:
+    """A sorted set from rare to common, equally common ones by hash."""
+    grade = grades[(shingles >> np.uint64(64 - CELLS)).astype(np.int64)]
+    return shingles[np.argsort(grade, kind="stable")] if grade.any() else shingles
 
-def sign(docs: DataFrame, id_type: str, late: BitMap, size: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
-    """doc_id, text_hash, n, digest (of the set), prefix, bits of every row; shingles marked in ``late`` come last."""
-    shared = docs.sparkSession.sparkContext.broadcast(late)  # eight MB
+
+def sign(docs: DataFrame, id_type: str, grades: np.ndarray, size: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
+    """doc_id, text_hash, n, digest (of the set), keys and spans (of its tiles), bits of every row."""
+    shared = docs.sparkSession.sparkContext.broadcast(zlib.compress(grades, 1))  # 16 MB at most
 
     def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
+        grades = np.frombuffer(zlib.decompress(shared.value), np.uint8)
+        edges = band_edges(num, den)
 
         def one(text: str | None) -> tuple:
             s = shingle_set(known.of(spaced_words(text)), size)
-            first = np.zeros(0, np.uint64)
-            if len(s):
-                last = np.zeros(len(s), bool)
-                last[shared.value.hits(s)] = True
-                first = np.r_[s[~last], s[last]][: len(s) - -(-num * len(s) // den) + 1]
-            return len(s), xxhash.xxh3_128_digest(s.tobytes()), first.view(np.int64), signature(s)
+            return len(s), xxhash.xxh3_128_digest(s.tobytes()), *tile_keys(in_order(s, grades), edges, num, den), signature(s)
 
         for b in batches:
             done: dict[int, tuple[str | None, tuple]] = {}
@@ -147,10 +178,10 @@ def sign(docs: DataFrame, id_type: str, late: BitMap, size: int = SHINGLE, num:
                 if held is None or held[0] != text:
                     held = done[text_hash] = (text, one(text))
                 rows.append(held[1])
-            n, digest, prefix, bits = zip(*rows) if rows else ((), (), (), ())
-            yield pd.DataFrame({"doc_id": b["doc_id"], "text_hash": b["text_hash"], "n": n, "digest": digest, "prefix": prefix, "bits": bits})
+            n, digest, keys, spans, bits = zip(*rows) if rows else ((), (), (), (), ())
+            yield pd.DataFrame({"doc_id": b["doc_id"], "text_hash": b["text_hash"], "n": n, "digest": digest, "keys": keys, "spans": spans, "bits": bits})
 
-    return docs.mapInPandas(per_batch, f"doc_id {id_type}, text_hash bigint, n int, digest binary, prefix array<bigint>, bits array<bigint>")
+    return docs.mapInPandas(per_batch, f"doc_id {id_type}, text_hash bigint, n int, digest binary, keys array<bigint>, spans array<bigint>, bits array<bigint>")
 
 
 def fits(num: int = NUM, den: int = DEN) -> Column:
@@ -166,43 +197,47 @@ def fits(num: int = NUM, den: int = DEN) -> Column:
     return F.expr(f"case when bigint(least(n_a, n_b)) * {den} < bigint(greatest(n_a, n_b)) * {num} then false else ({both} - {apart}) * {num + den} >= {both} * {2 * num} end")
 
 
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cls, text for the (cls, label, text_hash) wanted.  A bit map drops other documents before the shuffle."""
+def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """cls, items (the sorted shingles, packed) for the (cls, label, text_hash) wanted.  A bit map drops other documents before the shuffle."""
     marked = docs.sparkSession.sparkContext.broadcast(bit_map(wanted.select("text_hash")))
 
     def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = WordHashes()
         for b in batches:
-            yield b.iloc[marked.value.hits(b["text_hash"].to_numpy(np.int64))]
+            b = b.iloc[marked.value.hits(b["text_hash"].to_numpy(np.int64))]
+            items = [shingle_set(known.of(spaced_words(t)), size).tobytes() for t in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "text_hash": b["text_hash"], "items": items})
 
-    kept = docs.mapInPandas(some, docs.schema)
-    wanted = wanted.withColumnsRenamed({"label": "__c", "text_hash": "__h"})
-    return kept.join(wanted, (kept["doc_id"] == F.col("__c")) & (kept["text_hash"] == F.col("__h"))).dropDuplicates(["cls"]).select("cls", "text")
+    found = docs.mapInPandas(some, docs.select("doc_id", "text_hash").schema.add("items", "binary"))
+    return found.join(F.broadcast(wanted) if _few(wanted) else wanted, ["doc_id", "text_hash"]).dropDuplicates(["cls"]).select("cls", "items")
+
+
+def _few(df: DataFrame, most: int = 10_000) -> bool:
+    """Has a written table at most so many rows?  They are then safe to broadcast."""
+    return df.count() <= most
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets are linked."""
     side = lambda x: classes.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
     likely = stage(pairs.join(side("a"), "a").join(side("b"), "b").where(fits(num, den)).select("a", "b"), "likely")
-    ends = likely.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "label", "text_hash"), "cls")
-    texts = stage(_texts(docs, stage(ends, "ends")), "texts")
+    ends = stage(likely.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", F.col("label").alias("doc_id"), "text_hash"), "cls"), "ends")
+    if ends.isEmpty():
+        return likely
+    sets = stage(_sets(docs, ends, size), "sets")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = WordHashes()
-        last, held = None, np.zeros(0, np.uint64)
         for b in batches:
             keep = []
-            for a, text_a, text_b in zip(b["a"], b["text_a"], b["text_b"]):
-                if last != a:  # rows of one leader come together
-                    last, held = a, shingle_set(known.of(spaced_words(text_a)), size)
-                other = shingle_set(known.of(spaced_words(text_b)), size)
-                common = len(np.intersect1d(held, other, assume_unique=True))
-                keep.append(den * common >= num * (len(held) + len(other) - common))
+            for x, y in zip(b["items_a"], b["items_b"]):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(den * common >= num * (len(x) + len(y) - common))
             yield b.loc[np.array(keep, bool), ["a", "b"]]
 
     # first by b, which repeats little; the join by a, where a leader's rows are many, is one that can be split
-    whole = likely.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
-    kind = dict(pairs.dtypes)["a"]
-    return stage(whole.select("a", "b", "text_a", "text_b").mapInPandas(compare, f"a {kind}, b {kind}"), "links")
+    whole = likely.join(sets.select(F.col("cls").alias("b"), F.col("items").alias("items_b")), "b").join(sets.select(F.col("cls").alias("a"), F.col("items").alias("items_a")), "a")
+    return stage(whole.select("a", "b", "items_a", "items_b").mapInPandas(compare, "a bigint, b bigint"), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -231,21 +266,22 @@ def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
     return members.join(roots.withColumnsRenamed({"node": "cls", "root": "__root"}), "cls", "left").withColumn("root", F.coalesce("__root", "cls")).drop("__root")
 
 
-def _open_pairs(members: DataFrame, roots: DataFrame, fit: str = "true") -> DataFrame:
-    """Pairs of different components within the tiles of ``members`` (key, cls, span) that ``fit``."""
-    rooted = stage(_rooted(members, roots), "rooted")
+def places_fit(num: int = NUM, den: int = DEN) -> str:
+    """May these two of a tile be linked, by their sizes, if its shingle is the first, in order, that they share?  What
+    follows must then hold the rest of the overlap."""
+    n = lambda x: f"shiftright(span_{x}, 32)"
+    rest = lambda x: f"({n(x)} - (shiftright(span_{x}, 1) & 2147483647))"
+    return f"least({n('a')}, {n('b')}) * {den} >= greatest({n('a')}, {n('b')}) * {num} and least({rest('a')}, {rest('b')}) * {num + den} >= {num} * ({n('a')} + {n('b')})"
+
+
+def _open_pairs(tiles: DataFrame, roots: DataFrame, fit: str) -> DataFrame:
+    """Pairs of different components within ``tiles`` (key, cls, span), the smaller with the larger, that ``fit``."""
+    rooted = stage(_rooted(tiles, roots), "rooted")
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
     open_ = stage(rooted.join(mixed, "key"), "open")
     side = lambda x: open_.select("key", F.col("cls").alias(x), F.col("root").alias(f"root_{x}"), F.col("span").alias(f"span_{x}"))
-    return side("a").join(side("b"), "key").where(f"a < b and root_a != root_b and {fit}").select("a", "b").distinct()
-
-
-def places_fit(num: int = NUM, den: int = DEN) -> str:
-    """If this is the first shingle, in order, that two classes share, what follows must hold the rest of
-    the overlap.  A span is a set's size, shifted, and the shingle's place."""
-    n = lambda x: f"shiftright(span_{x}, 32)"
-    rest = lambda x: f"({n(x)} - (span_{x} & 4294967295))"
-    return f"least({rest('a')}, {rest('b')}) * {num + den} >= {num} * ({n('a')} + {n('b')})"
+    once = "(shiftright(span_a, 32) < shiftright(span_b, 32) or shiftright(span_a, 32) = shiftright(span_b, 32) and a < b)"
+    return side("a").where("span_a & 1 = 1").join(side("b"), "key").where(f"{once} and root_a != root_b and {fit}").select("a", "b").distinct()
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, num: int = NUM, den: int = DEN, light: int = LIGHT) -> DataFrame:
@@ -254,34 +290,28 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     id_type = dict(docs.dtypes)[id_col]
     text = F.col(text_col).cast("string")
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text"))
-    signed = stage(sign(narrow, id_type, common(narrow, size), size, num, den), "signed")
+    signed = stage(sign(narrow, id_type, order_table(narrow, size), size, num, den), "signed")
 
     # classes of equal sets
-    first = stage(signed.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("s")).select("digest", F.monotonically_increasing_id().alias("cls"), F.col("s.doc_id").alias("label"), F.col("s.text_hash").alias("text_hash")), "classes")
-    members = signed.join(first.withColumnsRenamed({"digest": "__d", "text_hash": "__h"}), (F.col("digest") == F.col("__d")) & (F.col("doc_id") == F.col("label")) & (F.col("text_hash") == F.col("__h")))
-    classes = stage(members.select("cls", "label", "text_hash", "n", "bits").dropDuplicates(["cls"]), "class-bits")
-    rows = members.select("cls", "n", F.posexplode("prefix").alias("place", "key")).select("key", "cls", (F.shiftleft(F.col("n").cast("bigint"), 32) + F.col("place")).alias("span"))
-
-    # tiles of two classes at least, with their leaders
-    tiles = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("cls").alias("leader")).where("size > 1")
-    shared = stage(rows.join(tiles, "key").select("key", "cls", "span", "size", "leader"), "tiles")
-
-    # with the smallest leader first: copies are then one component, and need no other leader
-    stars = shared.where("cls != leader").select(F.col("leader").alias("a"), F.col("cls").alias("b"))
-    roots = components(_linked(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), narrow, classes, size, num, den))
-    ends = _rooted(stars.distinct().withColumnRenamed("b", "cls"), roots).select(F.col("root").alias("root_b"), F.col("cls").alias("b"), F.col("a").alias("cls"))
-    apart = _rooted(ends, roots).where("root != root_b").select(F.col("cls").alias("a"), "b")
-    roots = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(_linked(stage(apart, "stars"), narrow, classes, size, num, den)))
-
-    more = _linked(_open_pairs(shared.where(F.col("size") <= light).select("key", "cls", "span"), roots, places_fit(num, den)), narrow, classes, size, num, den)
-    roots = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(more))
-
-    heavy = _rooted(shared.where(F.col("size") > light).select("key", "cls"), roots)
-    mixed = heavy.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
-    crowd = stage(heavy.join(mixed, "key").select("cls").distinct().join(classes.select("cls", "label", "text_hash"), "cls"), "crowd")
-    if not crowd.isEmpty():
-        links = _linked(_open_pairs(_parts(_texts(narrow, crowd), size, num, den).withColumn("span", F.lit(0)), roots), narrow, classes, size, num, den)
-        roots = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(links))
+    first = stage(signed.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("s")).select("digest", F.monotonically_increasing_id().alias("cls"), F.col("s.doc_id").alias("label"), F.col("s.text_hash").alias("text_hash")), "first")
+    members = signed.join(first.withColumnsRenamed({"digest": "d", "text_hash": "h"}), (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("label")) & (F.col("text_hash") == F.col("h")))
+    classes = stage(members.select("cls", "label", "text_hash", "n", "bits", "keys", "spans").dropDuplicates(["cls"]), "classes")
+    rows = classes.select("cls", F.explode(F.arrays_zip("keys", "spans")).alias("t")).select(F.col("t.keys").alias("key"), "cls", F.col("t.spans").alias("span"))
+
+    # tiles of two classes at least, one of them as the smaller; with their leaders
+    spread = lambda seed: F.min_by("cls", F.xxhash64("cls", F.lit(seed)))
+    tiles = rows.groupBy("key").agg(F.count("*").alias("size"), F.max(F.col("span").bitwiseAND(1)).alias("small"), F.min("cls").alias("leader")).where("size > 1 and small = 1")
+    shared = stage(rows.join(tiles.select("key", "size", "leader"), "key"), "tiles")
+    heavy = shared.where(F.col("size") > light).groupBy("key").agg(F.array_distinct(F.array(spread(1), spread(2))).alias("more")).select("key", F.explode("more").alias("leader"))
+    leaders = shared.where("cls = leader").select("key", "leader").union(heavy).distinct()
+    at = shared.select("key", F.col("cls").alias("leader"), F.col("span").alias("span_a"))
+    led = stage(leaders.join(at, ["key", "leader"]), "leaders")
+    stars = shared.drop("leader").withColumnRenamed("span", "span_b").join(led, "key").where(f"cls != leader and {places_fit(num, den)}")
+    stars = stars.select(F.least("leader", "cls").alias("a"), F.greatest("leader", "cls").alias("b")).distinct()
+    roots = components(_linked(stars, narrow, classes, size, num, den))
+
+    links = _linked(_open_pairs(shared.select("key", "cls", "span"), roots, places_fit(num, den)), narrow, classes, size, num, den)
+    roots = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(links))
 
     # a component's id is the smallest label of its classes
     whole = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
@@ -292,28 +322,16 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     return out.select("doc_id", "text_hash", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _parts(texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """key, cls: the size-banded tiles of the parts of each class."""
-
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = WordHashes()
-        for b in batches:
-            for cls, text in zip(b["cls"], b["text"]):
-                keys = [k for _, k in part_hashes(shingle_set(known.of(spaced_words(text)), size), num, den)]
-                yield pd.DataFrame({"key": np.array(keys, np.int64), "cls": cls})
-
-    return texts.mapInPandas(deal, "key bigint, cls bigint")
-
-
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each component: that of the smallest id, once."""
     found = join(docs, id_col, text_col)
-    kept = found.where("doc_id is null or doc_id = component_id").groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h")).agg(F.count("*").alias("__n"))
+    id_, h, n = hidden(docs, "id", "h", "n")
+    kept = found.where("doc_id is null or doc_id = component_id").groupBy(F.col("doc_id").alias(id_), F.col("text_hash").alias(h)).agg(F.count("*").alias(n))
     kept = stage(kept, "kept")
     text_hash = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    joined = docs.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (text_hash == F.col("__h")))
-    once, often = joined.where("__n = 1 or __id is null"), joined.where("__n > 1 and __id is not null")
-    return once.select(*docs.columns).union(often.dropDuplicates(["__id", "__h"]).select(*docs.columns))
+    joined = docs.join(kept, F.col(id_col).eqNullSafe(F.col(id_)) & (text_hash == F.col(h)))
+    single = (F.col(n) == 1) | F.col(id_).isNull()
+    return joined.where(single).select(*docs.columns).union(joined.where(~single).dropDuplicates([id_, h]).select(*docs.columns))
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

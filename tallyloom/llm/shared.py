@@ -37,11 +37,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Whole texts are long: hand Python so many at once, unless the session has its own number."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, "10000") == "10000":
-        spark.conf.set(key, rows)
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
+    """Whole texts are long: hand Python so many rows and bytes at once, unless the session has numbers of its own."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def hidden(df: DataFrame, *names: str) -> list[str]:
+    """Names like these for helper columns, that no column of ``df`` has in any case."""
+    taken = {c.lower() for c in df.columns}
+    mark = "__"
+    while any((mark + n).lower() in taken for n in names):
+        mark += "_"
+    return [mark + n for n in names]
 
 
 def lower_ascii(c: Column) -> Column:

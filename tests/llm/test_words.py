@@ -100,16 +100,41 @@ def test_deduplicated_keeps_one_of_each_group(spark):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(want)
 
 
-def test_parts_of_linked_sets_agree():
+@pytest.mark.parametrize("seed", [4, 5])
+def test_linked_sets_share_a_tile_with_room(seed):
     import numpy as np
 
-    rng = np.random.default_rng(4)
-    for n in (1, 2, 5, 9, 40, 333, 2000):
-        a = np.unique(rng.integers(0, 1 << 63, n * 2, dtype=np.uint64))[:n]
-        out = int(len(a) * 0.2)
-        b = np.unique(a[out:])
-        if 100 * len(b) >= 80 * len(a):
-            assert {k for _, k in ngram_jaccard.part_hashes(a)} & {k for _, k in ngram_jaccard.part_hashes(b)}
+    rng = np.random.default_rng(seed)
+    edges = ngram_jaccard.band_edges()
+    for n in [1, 2, 3, 5, 9, 40, *edges[1:8], 333, 2000]:
+        for share in (1, 0.95, 0.9, 0.8):
+            whole = np.unique(rng.integers(0, 1 << 63, n * 3, dtype=np.uint64))
+            rng.shuffle(whole)
+            both = whole[: max(1, int(n * share))]
+            a = np.sort(np.r_[both, whole[n : 2 * n - len(both)]])
+            b = np.sort(np.r_[both, whole[2 * n : 2 * n + int(rng.integers(0, n // 5 + 1))]])
+            small, large = sorted((a, b), key=len)
+            if 100 * len(both) < 80 * (len(a) + len(b) - len(both)):
+                continue
+            (ks, ss), (kl, sl) = (ngram_jaccard.tile_keys(x, edges) for x in (small, large))
+            common = set(ks[ss & 1 == 1].tolist()) & set(kl.tolist())
+            assert common
+            rest = lambda k, s: {int(x): len_ - (int(y) >> 1 & (1 << 31) - 1) for x, y, len_ in zip(k, s, s >> 32)}
+            rs, rl = rest(ks[ss & 1 == 1], ss[ss & 1 == 1]), rest(kl, sl)
+            assert any(180 * min(rs[k], rl[k]) >= 80 * (len(a) + len(b)) for k in common)
+
+
+@pytest.mark.parametrize("parts", [1, 37])
+def test_a_passage_that_many_share_makes_few_pairs(spark, monkeypatch, parts):
+    """Sets that share most of their shingles, but not enough for a link, are not compared; near copies are all found."""
+    passage = [f"p{i}" for i in range(150)]
+    rows = [(i, " ".join(passage + [f"u{i}_{k}" for k in range(45)])) for i in range(120)]
+    rows += [(200 + i, " ".join([f"q{k}" for k in range(100)] + [f"v{i}"] * (i % 7))) for i in range(40)]
+    pairs = []
+    linked = ngram_jaccard._linked
+    monkeypatch.setattr(ngram_jaccard, "_linked", lambda p, *more: (pairs.append(p.count()), linked(p, *more))[1])
+    assert joined(frame(spark, rows).repartition(parts)) == brute_components(rows)
+    assert sum(pairs) < 200
 
 
 @pytest.mark.parametrize("most", [0, 10**9], ids=["all late", "none late"])

@@ -44,6 +44,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bitmaps import bit_map
 from .shared import hidden, small_batches, stage, table
@@ -57,6 +58,8 @@ LIGHT = 64
 #: A shingle counted more often than this, above what chance gives a cell, comes late in the order; bits of a cell's number; cells of a
 #: row in which counts are sent.
 COMMON, CELLS, ROW_CELLS = 16, 24, 1 << 16
+#: Bits of the map of tile keys that more than one row has.
+KEY_BITS = 26
 #: A band's sets differ in size by the factor of a link at most so many times over.
 BAND_STEPS = 4
 
@@ -96,18 +99,21 @@ def spans(n: int, edges: np.ndarray, num: int = NUM, den: int = DEN) -> tuple[in
     return own, smaller, larger, below
 
 
-def tile_keys(ordered: np.ndarray, edges: np.ndarray, num: int = NUM, den: int = DEN) -> tuple[np.ndarray, np.ndarray]:
-    """(key, span) of a set's tiles, its shingles given in order.  A span is the set's size, the shingle's
-    place and whether the set stands as the smaller too: 31, 31 and 1 bits."""
-    n = len(ordered)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+def tile_spans(n: int, edges: np.ndarray, num: int = NUM, den: int = DEN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each tile of a set: the band, the shingle's place, and a span: the set's size, the place
+    and whether the set stands as the smaller too, in 31, 31 and 1 bits."""
     own, smaller, larger, below = spans(n, edges, num, den)
     place = np.r_[np.arange(larger), np.arange(below)]
-    band = np.repeat([own, own - 1], [larger, below]).astype(np.uint64)
-    keys = (ordered[place] + band) * np.uint64(0x9E3779B97F4A7C15)
     small = np.r_[np.arange(larger) < smaller, np.zeros(below, bool)]
-    return keys.view(np.int64), (np.int64(n) << 32) | (place << 1) | small
+    return np.repeat([own, own - 1], [larger, below]), place, (np.int64(n) << 32) | (place << 1) | small
+
+
+def tile_keys(ordered: np.ndarray, edges: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
+    """The keys of a set's tiles, its shingles given in order."""
+    if not len(ordered):
+        return np.zeros(0, np.int64)
+    band, place, _ = tile_spans(len(ordered), edges, num, den)
+    return ((ordered[place] + band.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
 def order_table(docs: DataFrame, size: int = SHINGLE) -> np.ndarray:
@@ -158,7 +164,7 @@ def in_order(shingles: np.ndarray, grades: np.ndarray) -> np.ndarray:
 
 
 def sign(docs: DataFrame, id_type: str, grades: np.ndarray, size: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
-    """doc_id, text_hash, n, digest (of the set), keys and spans (of its tiles), bits of every row."""
+    """doc_id, text_hash, n, digest (of the set), keys (of its tiles), bits of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(zlib.compress(grades, 1))  # 16 MB at most
 
     def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -168,7 +174,7 @@ def sign(docs: DataFrame, id_type: str, grades: np.ndarray, size: int = SHINGLE,
 
         def one(text: str | None) -> tuple:
             s = shingle_set(known.of(spaced_words(text)), size)
-            return len(s), xxhash.xxh3_128_digest(s.tobytes()), *tile_keys(in_order(s, grades), edges, num, den), signature(s)
+            return len(s), xxhash.xxh3_128_digest(s.tobytes()), tile_keys(in_order(s, grades), edges, num, den), signature(s)
 
         for b in batches:
             done: dict[int, tuple[str | None, tuple]] = {}
@@ -178,10 +184,29 @@ def sign(docs: DataFrame, id_type: str, grades: np.ndarray, size: int = SHINGLE,
                 if held is None or held[0] != text:
                     held = done[text_hash] = (text, one(text))
                 rows.append(held[1])
-            n, digest, keys, spans, bits = zip(*rows) if rows else ((), (), (), (), ())
-            yield pd.DataFrame({"doc_id": b["doc_id"], "text_hash": b["text_hash"], "n": n, "digest": digest, "keys": keys, "spans": spans, "bits": bits})
+            n, digest, keys, bits = zip(*rows) if rows else ((), (), (), ())
+            yield pd.DataFrame({"doc_id": b["doc_id"], "text_hash": b["text_hash"], "n": n, "digest": digest, "keys": keys, "bits": bits})
+
+    return docs.mapInPandas(per_batch, f"doc_id {id_type}, text_hash bigint, n int, digest binary, keys array<bigint>, bits array<bigint>")
+
+
+def shared_keys(signed: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
+    """``signed`` with the keys that two rows at least may have, and their spans.  Most keys stand on one row only; a bit
+    map of fixed size drops them before anything is joined.  A full one lets more through and changes no result."""
+    short = signed.select(F.explode("keys").alias("key")).select(F.shiftrightunsigned("key", 24).alias("key"))
+    marked = signed.sparkSession.sparkContext.broadcast(bit_map(short.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.shiftleft("key", 24).alias("key")), KEY_BITS))
+
+    def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        edges = band_edges(num, den)
+        for b in batches:
+            keys, spans = [], []
+            for n, own in zip(b["n"], b["keys"]):
+                hits = marked.value.hits(np.asarray(own, np.int64))
+                keys.append(np.asarray(own, np.int64)[hits])
+                spans.append(tile_spans(n, edges, num, den)[2][hits] if len(hits) else hits)
+            yield b.assign(keys=pd.Series(keys, index=b.index, dtype=object), spans=pd.Series(spans, index=b.index, dtype=object))
 
-    return docs.mapInPandas(per_batch, f"doc_id {id_type}, text_hash bigint, n int, digest binary, keys array<bigint>, spans array<bigint>, bits array<bigint>")
+    return signed.mapInPandas(some, T.StructType([*signed.schema.fields, T.StructField("spans", T.ArrayType(T.LongType()))]))
 
 
 def fits(num: int = NUM, den: int = DEN) -> Column:
@@ -208,7 +233,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             items = [shingle_set(known.of(spaced_words(t)), size).tobytes() for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "text_hash": b["text_hash"], "items": items})
 
-    found = docs.mapInPandas(some, docs.select("doc_id", "text_hash").schema.add("items", "binary"))
+    found = docs.mapInPandas(some, T.StructType([docs.schema["doc_id"], docs.schema["text_hash"], T.StructField("items", T.BinaryType())]))
     return found.join(F.broadcast(wanted) if _few(wanted) else wanted, ["doc_id", "text_hash"]).dropDuplicates(["cls"]).select("cls", "items")
 
 
@@ -294,7 +319,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
 
     # classes of equal sets
     first = stage(signed.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("s")).select("digest", F.monotonically_increasing_id().alias("cls"), F.col("s.doc_id").alias("label"), F.col("s.text_hash").alias("text_hash")), "first")
-    members = signed.join(first.withColumnsRenamed({"digest": "d", "text_hash": "h"}), (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("label")) & (F.col("text_hash") == F.col("h")))
+    members = shared_keys(signed, num, den).join(first.withColumnsRenamed({"digest": "d", "text_hash": "h"}), (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("label")) & (F.col("text_hash") == F.col("h")))
     classes = stage(members.select("cls", "label", "text_hash", "n", "bits", "keys", "spans").dropDuplicates(["cls"]), "classes")
     rows = classes.select("cls", F.explode(F.arrays_zip("keys", "spans")).alias("t")).select(F.col("t.keys").alias("key"), "cls", F.col("t.spans").alias("span"))
 

@@ -1,25 +1,31 @@
 """Content-addressed WARC archive.
 
-``write_archive`` stores each payload once, under its SHA-256, in one Parquet table, and the exact
+``write_archive`` stores each payload once, compressed, under its SHA-256, in one Parquet table, and the exact
 header text of every record in another.  A digest names its payload only if all rows that share it
-agree in length and SHA-1; otherwise the job fails.  ``read_archive`` joins the two back to whole
-records and checks each stored payload against its digest.
+have the same bytes; otherwise the job fails.  ``read_archive`` joins the two back to whole
+records and checks each payload against its digest and its header.
 
 Of records with equal payloads of ``min_revisit_bytes`` or more, that with the largest id is the
 response and the others are revisits of it; smaller payloads are responses always, though stored once.
 
 Edge cases: a null html is an empty payload, a null url an empty target; rows repeated in every
 column give repeated records, all responses if their id is the largest; a null id is the smallest.
-An empty table gives an empty archive.  The payload shuffle combines equal payloads before it, and
-the joins have only digests and headers, so a payload that a third of all rows hold stays cheap.
+An empty table gives an empty archive; very long payloads go in batches bounded in bytes.  The payload shuffle combines equal
+payloads before it, and payloads are compressed before they are shuffled; the join back is one that Spark can split where
+a third of all records have one payload.  Extra columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import shared_path, table
+from .shared import shared_path, small_batches, table
 
 MIN_REVISIT_BYTES = 1000
 DATE = "2026-01-01T00:00:00Z"
@@ -33,21 +39,48 @@ def _urn(id_: Column) -> Column:
     return F.concat(F.lit("<urn:page:"), F.coalesce(id_.cast("string"), F.lit("")), F.lit(">"))
 
 
+def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Digests of each payload, and the payload compressed; equal ones alike."""
+    press = zstandard.ZstdCompressor(level=3)
+    for b in batches:
+        parts = {"digest": [], "sha1": [], "n": [], "packed": []}
+        for payload in b["payload"]:
+            for name, value in zip(parts, (hashlib.sha256(payload).hexdigest(), hashlib.sha1(payload).hexdigest(), len(payload), press.compress(payload))):
+                parts[name].append(value)
+        yield pd.DataFrame({"record": b["record"], "url": b["url"], **{k: pd.Series(v, index=b.index, dtype="int64" if k == "n" else object) for k, v in parts.items()}})
+
+
+def _rebuild(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Whole records of headers and stored payloads."""
+    expand = zstandard.ZstdDecompressor()
+    for b in batches:
+        payloads, raws = [], []
+        for digest, header, kind, stated, packed in zip(b["digest"], b["header"], b["record_type"], b["stated_sha1"], b["packed"]):
+            payload = expand.decompress(packed)
+            if hashlib.sha256(payload).hexdigest() != digest:
+                raise ValueError(f"damaged payload {digest}")
+            if hashlib.sha1(payload).hexdigest() != stated:
+                raise ValueError(f"header and payload {digest} disagree")
+            payloads.append(payload)
+            raws.append(header.encode() + (b"" if kind == "revisit" else payload) + b"\r\n\r\n")
+        yield pd.DataFrame({"record": b["record"], "record_type": b["record_type"], "refers_to": b["refers_to"], "payload": pd.Series(payloads, index=b.index, dtype=object), "raw": pd.Series(raws, index=b.index, dtype=object)})
+
+
 def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit_bytes: int = MIN_REVISIT_BYTES) -> None:
     """Write ``path``/payloads and ``path``/headers."""
     spark = pages.sparkSession
+    small_batches(spark)
+    id_type = dict(pages.dtypes)[id_col]
     rows = pages.select(
         F.col(id_col).alias("record"),
-        F.coalesce(F.col(url_col), F.lit("")).alias("url"),
+        F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"),
         F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary").alias("payload"),
-    ).withColumn("digest", F.sha2("payload", 256))
+    ).mapInPandas(_pack, f"record {id_type}, url string, digest string, sha1 string, n bigint, packed binary")
     stored = (
-        rows.withColumn("n", F.octet_length("payload"))
-        .withColumn("sha1", F.sha1("payload"))
-        .groupBy("digest")
-        .agg(F.first("payload").alias("payload"), F.max("record").alias("response"), F.min("n").alias("n"), F.max("n").alias("n_max"), F.min("sha1").alias("sha1"), F.max("sha1").alias("sha1_max"))
-        .withColumn("sha1", F.when((F.col("n") == F.col("n_max")) & (F.col("sha1") == F.col("sha1_max")), F.col("sha1")).otherwise(F.raise_error(F.lit("two payloads share a digest"))))
-        .select("digest", "payload", "response", "n", "sha1")
+        rows.groupBy("digest")
+        .agg(F.min("packed").alias("packed"), F.max("packed").alias("other"), F.max("record").alias("response"), F.min("n").alias("n"), F.min("sha1").alias("sha1"))
+        .withColumn("packed", F.when(F.col("packed") == F.col("other"), F.col("packed")).otherwise(F.raise_error(F.lit("two payloads share a digest"))))
+        .drop("other")
     )
     stored.write.option("compression", "zstd").parquet(f"{path}/payloads")
     known = spark.read.schema(stored.schema).parquet(f"{path}/payloads").select("digest", "response", "n", "sha1")
@@ -68,12 +101,6 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     headers.write.option("compression", "zstd").parquet(f"{path}/headers")
 
 
-def _payloads(spark: SparkSession, path: str) -> DataFrame:
-    stored = spark.read.schema("digest string, payload binary").parquet(f"{path}/payloads")
-    sound = F.sha2("payload", 256) == F.col("digest")
-    return stored.withColumn("payload", F.when(sound, F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), F.col("digest")))))
-
-
 def _headers(spark: SparkSession, path: str, id_type: str) -> DataFrame:
     stored = spark.read.schema(f"record {id_type}, digest string, header string").parquet(f"{path}/headers")
     field = lambda name: F.regexp_extract("header", rf"\r\n{name}: ([^\r\n]*)\r\n", 1)
@@ -82,24 +109,17 @@ def _headers(spark: SparkSession, path: str, id_type: str) -> DataFrame:
 
 def read_archive(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
     """record, record_type, refers_to, payload (whole, also of revisits), raw (the record's exact bytes)."""
-    whole = _headers(spark, path, id_type).join(_payloads(spark, path), "digest")
-    body = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
-    return whole.select("record", "record_type", "refers_to", "payload", F.concat(F.col("header").cast("binary"), body, F.lit(b"\r\n\r\n")).alias("raw"))
-
-
-def read_digests(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
-    """record, record_type, refers_to, payload_bytes, payload_digest: measured on the stored payloads
-    before the join, which so moves no payload; a header that states another digest is an error."""
-    measured = _payloads(spark, path).select("digest", F.octet_length("payload").cast("bigint").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
-    whole = _headers(spark, path, id_type).join(measured, "digest")
-    agreed = F.when(F.col("stated_sha1") == F.col("payload_digest"), F.col("payload_digest")).otherwise(F.raise_error(F.lit("header and payload disagree")))
-    return whole.select("record", "record_type", "refers_to", "payload_bytes", agreed.alias("payload_digest"))
+    small_batches(spark)
+    stored = spark.read.schema("digest string, packed binary").parquet(f"{path}/payloads")
+    whole = _headers(spark, path, id_type).join(stored, "digest")
+    return whole.mapInPandas(_rebuild, f"record {id_type}, record_type string, refers_to {id_type}, payload binary, raw binary")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
     write_archive(table(spark, sf_dir, "pages"), path)
-    return read_digests(spark, path).withColumnRenamed("record", "page_id").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    whole = read_archive(spark, path)
+    return whole.select(F.col("record").alias("page_id"), F.octet_length("payload").cast("bigint").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "record_type", "refers_to")
 
 
 SQL = """

@@ -176,16 +176,18 @@ def test_warc_detects_damage(spark, tmp_path):
     pages = frame(spark, [(1, "u", "a"), (2, "u", "b")], "page_id long, url string, html string")
     path = str(tmp_path / "archive")
     warc.write_archive(pages, path)
-    spark.read.parquet(f"{path}/payloads").withColumn("payload", F.lit(b"other")).write.parquet(f"{path}2/payloads")
+    import zstandard
+
+    spark.read.parquet(f"{path}/payloads").withColumn("packed", F.lit(zstandard.ZstdCompressor().compress(b"other"))).write.parquet(f"{path}2/payloads")
     spark.read.parquet(f"{path}/headers").write.parquet(f"{path}2/headers")
     with pytest.raises(Exception, match="damaged payload"):
-        warc.read_digests(spark, f"{path}2").collect()
+        warc.read_archive(spark, f"{path}2").collect()
 
 
 def test_warc_empty_and_repeated(spark, tmp_path):
     pages = frame(spark, [(1, "u", "y" * 2000)] * 2 + [(None, None, "y" * 2000)], "page_id long, url string, html string")
     warc.write_archive(pages.limit(0), str(tmp_path / "none"))
-    assert warc.read_digests(spark, str(tmp_path / "none")).collect() == []
+    assert warc.read_archive(spark, str(tmp_path / "none")).collect() == []
     warc.write_archive(pages, str(tmp_path / "some"))
-    got = sorted((str(r["record"]), r["record_type"], r["refers_to"]) for r in warc.read_digests(spark, str(tmp_path / "some")).collect())
+    got = sorted((str(r["record"]), r["record_type"], r["refers_to"]) for r in warc.read_archive(spark, str(tmp_path / "some")).collect())
     assert got == [("1", "response", None), ("1", "response", None), ("None", "revisit", 1)]

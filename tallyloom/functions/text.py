@@ -34,6 +34,7 @@ PLANNING_COST = [
     r"^\+?\s*\$\d[\d,.]*\b",
     r"\(\s*\$\d[\d,.]*\s*[-–]\s*\$\d[\d,.]*\s*\)\s*$",
 ]
+#: Fixed value: the pattern of a price.
 PRICE = r"(?i)\b\d+(?:[.,]\d+)?\s*(?:eur(?:os?)?|czk|kc|korunas?|huf|ft|forints?|usd|dollars?|gbp|pounds?)\b|[€$£]\s?\d"
 
 
@@ -85,17 +86,22 @@ def one_edit(a: Column, b: Column) -> Column:
     return F.levenshtein(a, b, 1) == 1
 
 
+#: Patterns of a clock time and of a date with a time, in lower case.
+CLOCK = r"^(?:at\s*)?(\d{1,2})(?:[:.](\d{2}))?\s*(am|pm)?$"
+CLOCK_ISO = r"^\d{4}-\d{2}-\d{2}[t\s](\d{1,2}):(\d{2})(?::\d{2}(?:\.\d+)?)?(?:z|[+-]\d{2}:?\d{2})?$"
+
+
 def clock(c: Column) -> Column:
-    """``HH:mm`` of ``at 9``, ``9:30 pm``, ``14.30`` or an ISO time; null where it is none."""
-    text = F.lower(F.trim(c))
-    p = r"^(?:at\s+)?(\d{1,2})(?:[:.](\d{2}))?\s*([ap])?\.?(?:m\.?)?$"
-    iso = F.regexp_extract(text, r"^\d{4}-\d{2}-\d{2}t(\d{2}:\d{2})", 1)
-    hour, minute, half = (F.regexp_extract(text, p, i) for i in (1, 2, 3))
-    h, m = hour.try_cast("int"), F.coalesce(F.nullif(minute, F.lit("")).try_cast("int"), F.lit(0))
-    h24 = F.when(half == "p", F.when(h == 12, 12).otherwise(h + 12)).when(half == "a", F.when(h == 12, 0).otherwise(h)).otherwise(h)
-    valid = (h24 <= 23) & (m <= 59) & ((half == "") | h.between(1, 12))
-    value = F.when(valid, F.concat(F.lpad(h24.cast("string"), 2, "0"), F.lit(":"), F.lpad(m.cast("string"), 2, "0")))
-    return F.when(iso != "", F.when((F.substring(iso, 1, 2) <= "23") & (F.substring(iso, 4, 2) <= "59"), iso)).when(text.rlike(p), value)
+    """``HH:mm`` of ``at 9``, ``at9``, ``9:30 pm``, ``14.30`` or a date with a time; null where it is none.
+    Hours go from 0 to 23; ``pm`` adds twelve to those before noon, ``am`` makes 12 midnight."""
+    text = F.lower(F.regexp_replace(c, r"^\s+|\s+$", ""))
+    is_clock = text.rlike(CLOCK)
+    part = lambda i: F.when(is_clock, F.regexp_extract(text, CLOCK, i)).when(text.rlike(CLOCK_ISO), F.regexp_extract(text, CLOCK_ISO, i))
+    h, m = part(1).try_cast("int"), F.coalesce(F.nullif(part(2), F.lit("")).try_cast("int"), F.lit(0))
+    half = F.when(is_clock, F.regexp_extract(text, CLOCK, 3)).otherwise("")
+    h24 = F.when((half == "pm") & (h < 12), h + 12).when((half == "am") & (h == 12), 0).otherwise(h)
+    pad = lambda n: F.lpad(n.cast("string"), 2, "0")
+    return F.when((h <= 23) & (m <= 59), F.concat(pad(h24), F.lit(":"), pad(m)))
 
 
 def trip_date(c: Column) -> Column:

@@ -33,33 +33,42 @@ def coverage_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of each document whose clauses are covered by the items' tokens, a clause by half of its own."""
     wanted = lambda c: F.filter(T.tokens(F.col(c)), lambda x: (F.length(x) >= 4) & ~x.rlike("^[0-9]+$"))
     known = table(spark, sf_dir, "benchmark").select(F.explode(wanted("text")).alias("tok")).distinct().withColumn("known", F.lit(1))
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "t"))
     parts = lines.select("doc_id", "line", F.posexplode(F.split("t", "[,;]")).alias("at", "clause")).select("doc_id", "line", "at", F.explode(wanted("clause")).alias("tok"))
     clause = parts.join(known, "tok", "left").groupBy("doc_id", "line", "at").agg(F.count("*").alias("n"), F.count("known").alias("hit"))
     line = clause.groupBy("doc_id", "line").agg(F.count("*").alias("n"), F.min("n").alias("least"), F.count_if(F.expr("2 * hit >= n")).alias("covered"))
     return line.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(F.col("covered") >= required_clauses(F.col("n"), F.col("least"))).alias("n_covered"), F.sum("n").alias("n_clauses"))
 
 
-def chunks(text: str, size: int = 4000, overlap: int = 800, most: int | None = None) -> list[tuple[int, int]]:
-    """(start, end) of overlapping pieces that end at the last blank line or newline past 55 % of a piece, else at its size."""
-    out, at = [], 0
-    overlap = min(overlap, size // 5)
-    while at < len(text):
-        end = min(len(text), at + size)
-        if end < len(text):
-            least = at + int(size * 0.55)
-            for mark in ("\n\n", "\n"):
-                found = text.rfind(mark, least, end)
-                if found > 0:
-                    end = found + len(mark)
-                    break
-        out.append((at, end))
-        if most is not None and len(out) > most:
+#: Most pieces of a text.
+MOST_PIECES = 80
+
+
+def chunks(text: str, size: int = 4000, overlap: int = 800, most: int = MOST_PIECES) -> list[tuple[int, int]]:
+    """(start, end) of overlapping pieces, white space at their ends left out.
+
+    A piece ends before the last blank line, or else the last line break, of the next ``size`` characters, if that lies
+    beyond 55 % of them; else after ``size``.  The next begins a fifth of the piece earlier, ``overlap`` at most.
+    A text of more than ``most`` pieces is an error, as the rest may not be lost.  An empty text has none."""
+
+    def bare(a: int, z: int) -> tuple[int, int]:
+        held = text[a:z]
+        return a + len(held) - len(held.lstrip()), a + len(held.rstrip())
+
+    at, end = bare(0, len(text))
+    out: list[tuple[int, int]] = []
+    while end - at > size:
+        marks = [k - at for mark in ("\n\n", "\n") if (k := text.rfind(mark, at, at + size)) - at > size * 0.55]
+        length = marks[0] if marks else size
+        piece = bare(at, at + length)
+        if piece[0] < piece[1]:
+            out.append(piece)
+        at = bare(at + length - min(overlap, length // 5), end)[0]
+        if at >= end:
+            return out
+        if len(out) > most:
             raise ValueError(f"more than {most} pieces")
-        if end >= len(text):
-            break
-        at = max(at + 1, end - overlap)
-    return out
+    return [*out, (at, end)] if at < end else out
 
 
 @query()
@@ -78,10 +87,20 @@ def chunk_long_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 b AS (SELECT lang, source, floor((row_number() OVER (PARTITION BY lang, source ORDER BY digest, n) - 1) / 8) AS batch, digest, n FROM u)
 SELECT lang, source, CAST(batch AS BIGINT) AS batch, count(*) AS n_spans, CAST(sum(n) AS BIGINT) AS n_chars, sha256(string_agg(digest, ',' ORDER BY digest)) AS batch_hash FROM b GROUP BY ALL""")
 def shadow_recovery_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Uncovered spans in deterministic batches of eight by source and section, each with its hash."""
-    u = table(spark, sf_dir, "documents").select("lang", "source", F.sha2("text", 256).alias("digest"), F.length("text").alias("n"))
-    b = u.withColumn("batch", F.floor((F.row_number().over(W.partitionBy("lang", "source").orderBy("digest", "n")) - 1) / 8))
-    return b.groupBy("lang", "source", "batch").agg(F.count("*").alias("n_spans"), F.sum("n").cast("bigint").alias("n_chars"), F.sha2(F.array_join(F.array_sort(F.collect_list("digest")), ","), 256).alias("batch_hash"))
+    """Uncovered spans in deterministic batches of eight by source and section, each with its hash.
+    Copies are counted before they are numbered, and a section is numbered by heads of digests, so none is one task's."""
+    texts = table(spark, sf_dir, "documents").select("lang", "source", F.sha2("text", 256).alias("digest"), F.length("text").alias("n"))
+    u = texts.groupBy("lang", "source", "digest", "n").agg(F.count("*").alias("copies")).withColumn("head", F.coalesce(F.substring("digest", 1, 3), F.lit("~")))
+    # a span's place in its section: spans of smaller heads, of which there are some thousand at most, and smaller ones of its own head
+    heads = u.groupBy("lang", "source", "head").agg(F.sum("copies").alias("in_head"))
+    heads = heads.withColumn("before", F.sum("in_head").over(W.partitionBy("lang", "source").orderBy("head")) - F.col("in_head"))
+    of_head = F.sum("copies").over(W.partitionBy("lang", "source", "head").orderBy("digest", "n").rowsBetween(W.unboundedPreceding, 0)) - F.col("copies")
+    u, h = u.withColumn("within", of_head).alias("u"), heads.alias("h")
+    placed = u.join(h, F.expr("u.lang <=> h.lang and u.source <=> h.source and u.head = h.head")).select("u.lang", "u.source", "digest", "n", "copies", (F.col("before") + F.col("within")).alias("at"))
+    b = placed.withColumn("batch", F.explode(F.sequence(F.floor(F.col("at") / 8), F.floor((F.col("at") + F.col("copies") - 1) / 8))))
+    b = b.withColumn("k", (F.least(F.col("at") + F.col("copies"), (F.col("batch") + 1) * 8) - F.greatest("at", F.col("batch") * 8)).cast("int"))
+    digests = F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("digest").isNotNull(), F.struct("digest", "k")))), lambda x: F.array_repeat(x["digest"], x["k"])))
+    return b.groupBy("lang", "source", "batch").agg(F.sum("k").alias("n_spans"), F.sum(F.col("n") * F.col("k")).cast("bigint").alias("n_chars"), F.sha2(F.array_join(digests, ","), 256).alias("batch_hash"))
 
 
 @query("""SELECT o_orderkey, count(*) OVER w AS n_day, count(*) FILTER (o_orderstatus = 'F') OVER w AS n_fixed FROM orders WINDOW w AS (PARTITION BY o_custkey, CAST(o_orderdate AS DATE))""")

@@ -10,16 +10,26 @@ from ..plans.trips import ITEMS_SQL, LEGS_SQL, STAYS_SQL, items, legs, stays
 from ..registry import query
 from ..sources.tables import table
 
+#: Days of a stretch, in which days and stays are brought together.
+STRETCH = 32
+
 
 @query(f"""WITH {LEGS_SQL}, {ITEMS_SQL}, d AS (SELECT trip, day, count(*) AS n FROM items GROUP BY ALL),
 m AS (SELECT d.trip, d.day, d.n, min(CASE WHEN arrive <= day AND day < leave THEN (0, arrive, leg) WHEN arrive = day THEN (1, arrive, leg) END) AS best FROM d LEFT JOIN legs ON legs.trip = d.trip GROUP BY ALL)
 SELECT best[3] AS leg, sum(n)::BIGINT AS n_items FROM m GROUP BY ALL""")
 def interval_leg_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items by leg: that with arrive <= day < leave, else that which begins on the day, else none."""
-    d = items(spark, sf_dir).groupBy("trip", "day").agg(F.count("*").alias("n"))
-    rank = F.when((F.col("arrive") <= F.col("day")) & (F.col("day") < F.col("leave")), 0).when(F.col("arrive") == F.col("day"), 1)
-    best = F.min(F.when(rank.isNotNull(), F.struct(rank.alias("rank"), F.col("arrive"), F.col("leg"))))
-    return d.join(legs(spark, sf_dir), "trip", "left").groupBy("trip", "day", "n").agg(best.alias("best")).groupBy(F.col("best.leg").alias("leg")).agg(F.sum("n").alias("n_items"))
+    """Items by leg: that with arrive <= day < leave, else that which begins on the day, else none.
+    A window over a trip's days; items and legs are combined by day first, so a trip is no larger than its calendar."""
+    d = items(spark, sf_dir).groupBy("trip", F.col("day").alias("at")).agg(F.count("*").alias("n"))
+    # legs follow each other, so of those that begin on one day one at most is longer, and of all days only the last that has begun matters
+    longer = F.min(F.when(F.col("arrive") < F.col("leave"), F.struct("leg", "leave")))
+    begun = legs(spark, sf_dir).groupBy("trip", F.col("arrive").alias("at")).agg(F.struct(longer.alias("longer"), F.min("leg").alias("first")).alias("legs"))
+    begun = begun.withColumn("legs", F.struct("at", "legs.*"))
+    both = d.withColumn("legs", F.lit(None).cast(begun.schema["legs"].dataType)).unionByName(begun.withColumn("n", F.lit(None).cast("bigint")))
+    w = W.partitionBy("trip").orderBy("at").rangeBetween(W.unboundedPreceding, 0)
+    found = both.withColumn("legs", F.last("legs", ignorenulls=True).over(w)).where("n is not null")
+    leg = F.when(F.col("at") < F.col("legs.longer.leave"), F.col("legs.longer.leg")).when(F.col("at") == F.col("legs.at"), F.col("legs.first"))
+    return found.groupBy(leg.alias("leg")).agg(F.sum("n").alias("n_items"))
 
 
 @query(f"""WITH {LEGS_SQL}, {ITEMS_SQL}, d AS (SELECT trip, day, count(*) AS n FROM items GROUP BY ALL),
@@ -37,10 +47,13 @@ def interval_asof_leg(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {STAYS_SQL} SELECT trip, count(DISTINCT day) AS n_days, min(day)::DATE AS first_day, max(day)::DATE AS last_day
 FROM (SELECT trip, unnest(range(check_in, greatest(check_out, CAST(check_in + INTERVAL 1 DAY AS DATE)), INTERVAL 1 DAY)) AS day FROM stays) GROUP BY trip""")
 def date_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days that a trip's stays cover, the last one open; one day at least."""
-    s = stays(spark, sf_dir)
-    days = s.select("trip", F.explode(F.sequence("check_in", F.greatest(F.date_sub("check_out", 1), F.col("check_in")))).alias("day"))
-    return days.groupBy("trip").agg(F.count_distinct("day").alias("n_days"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
+    """Days that a trip's stays cover, the last one open; one day at least.  In order of their first days, each stay adds what lies
+    behind all that came before.  Stays that begin on one day are combined first, so a trip is no larger than its calendar."""
+    end = F.greatest(F.col("check_out"), F.date_add("check_in", 1))
+    s = stays(spark, sf_dir).groupBy("trip", "check_in").agg(F.max(end).alias("end"))
+    reach = F.max("end").over(W.partitionBy("trip").orderBy("check_in").rowsBetween(W.unboundedPreceding, -1))
+    s = s.withColumn("days", F.greatest(F.datediff("end", F.greatest("check_in", reach)), F.lit(0)))
+    return s.groupBy("trip").agg(F.sum("days").alias("n_days"), F.min("check_in").alias("first_day"), F.date_sub(F.max("end"), 1).alias("last_day"))
 
 
 @query(f"""WITH {ITEMS_SQL}, s AS (SELECT o_custkey AS trip, min(CAST(o_orderdate AS DATE)) AS lo, max(CAST(o_orderdate AS DATE)) AS hi, count(DISTINCT CAST(o_orderdate AS DATE)) AS n FROM orders GROUP BY o_custkey)
@@ -70,19 +83,44 @@ def nearest_dated_neighbour(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {STAYS_SQL} SELECT a.trip, count(*) AS n_overlaps, sum(date_diff('day', greatest(a.check_in, b.check_in), least(a.check_out, b.check_out)))::BIGINT AS days
 FROM stays a JOIN stays b ON a.trip = b.trip AND a.stay < b.stay AND a.check_in < b.check_out AND b.check_in < a.check_out GROUP BY a.trip""")
 def interval_overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of a trip's stays that overlap for a day at least.  Pairs are of one trip and only those that
-    overlap; a trip's stays are bounded by its orders."""
-    a = stays(spark, sf_dir).select("trip", F.col("stay").alias("s1"), F.col("check_in").alias("i1"), F.col("check_out").alias("o1"))
-    b = a.select("trip", F.col("s1").alias("s2"), F.col("i1").alias("i2"), F.col("o1").alias("o2"))
-    pairs = a.join(b, "trip").where("s1 < s2 and i1 < o2 and i2 < o1")
-    return pairs.groupBy("trip").agg(F.count("*").alias("n_overlaps"), F.sum(F.datediff(F.least("o1", "o2"), F.greatest("i1", "i2"))).alias("days"))
+    """Pairs of a trip's stays that overlap for a day at least, counted without making them.  Of all pairs those go in which one
+    ends by the other's begin; a stay that ends on its first day is apart from itself, and two such of one day from each other on both sides.
+    Days shared are pairs of the stays of each day.  All from begins and ends by day, so a trip is no larger
+    than its calendar.  A stay that ends before it begins is inside those around it, by fewer days than none."""
+    all_ = stays(spark, sf_dir).groupBy("trip", "check_in", "check_out").agg(F.count("*").alias("n"))
+    s = all_.where("check_in <= check_out")
+    zero = F.lit(0).cast("bigint")
+    ends = F.array(F.struct(F.col("check_in").alias("day"), F.col("n").alias("begin"), zero.alias("end")), F.struct(F.col("check_out").alias("day"), zero.alias("begin"), F.col("n").alias("end")))
+    short = F.when(F.col("check_in") == F.col("check_out"), F.col("n")).otherwise(0)
+    short = s.groupBy("trip").agg(F.sum(short).alias("short"), F.sum(short * (short - 1) / 2).cast("bigint").alias("short_pairs"))
+    day = s.select("trip", F.explode(ends).alias("e")).groupBy("trip", "e.day").agg(F.sum("e.begin").alias("begin"), F.sum("e.end").alias("end"))
+    w = W.partitionBy("trip").orderBy("day")
+    day = day.select("trip", "begin", F.sum("begin").over(w).alias("begun"), F.sum("end").over(w).alias("ended"), F.datediff(F.lead("day").over(w), "day").alias("length"))
+    there = F.col("begun") - F.col("ended")
+    total = day.groupBy("trip").agg(F.sum("begin").alias("n"), F.sum(F.col("begin") * F.col("ended")).alias("apart"), F.sum(F.col("length") * there * (there - 1) / 2).cast("bigint").alias("days"))
+    pairs = (F.col("n") * (F.col("n") - 1) / 2 - F.col("apart") + F.col("short") + F.col("short_pairs")).cast("bigint")
+    swept = total.join(short, "trip").select("trip", pairs.alias("n_overlaps"), "days")
+    # a stay that ends before it begins meets those that begin before its end and end behind its begin
+    stretch = lambda c: F.floor(F.unix_date(c) / STRETCH)
+    back = all_.where("check_in > check_out").select("trip", F.col("check_in").alias("i"), F.col("check_out").alias("o"), F.col("n").alias("m"), stretch("check_out").alias("stretch"))
+    met = back.join(s.withColumn("stretch", F.explode(F.sequence(stretch("check_in"), stretch("check_out")))), ["trip", "stretch"]).where("check_in < o and i < check_out")
+    met = met.groupBy("trip").agg(F.sum(F.col("n") * F.col("m")).alias("n_overlaps"), F.sum(F.col("n") * F.col("m") * F.datediff("o", "i")).alias("days"))
+    return swept.union(met).groupBy("trip").agg(F.sum("n_overlaps").alias("n_overlaps"), F.sum("days").alias("days")).where("n_overlaps > 0")
 
 
 @query(f"""WITH {ITEMS_SQL}, {STAYS_SQL}, d AS (SELECT trip, l_orderkey, day, count(*) AS n FROM items GROUP BY ALL),
 m AS (SELECT d.trip, d.l_orderkey, d.day, d.n, min(stay) AS stay FROM d JOIN stays ON stays.trip = d.trip AND stay <> l_orderkey AND day BETWEEN check_in AND check_out GROUP BY ALL)
 SELECT stay, sum(n)::BIGINT AS n_items FROM m GROUP BY stay""")
 def stay_collision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items that fall in another order's stay, both ends counted; the first stay takes them."""
-    d = items(spark, sf_dir).groupBy("trip", "l_orderkey", "day").agg(F.count("*").alias("n"))
-    m = d.join(stays(spark, sf_dir), "trip").where("stay <> l_orderkey and day between check_in and check_out").groupBy("trip", "l_orderkey", "day", "n").agg(F.min("stay").alias("stay"))
-    return m.groupBy("stay").agg(F.sum("n").alias("n_items"))
+    """Items that fall in another order's stay, both ends counted; the first stay takes them.  Days meet the stays of their
+    stretch of ``STRETCH`` days only, and items their day's first stay, or if that is their own the first of the others."""
+    items_ = items(spark, sf_dir).groupBy("trip", "l_orderkey", "day").agg(F.count("*").alias("n"))
+    stretch = lambda c: F.floor(F.unix_date(c) / STRETCH)
+    s = stays(spark, sf_dir).where("check_in <= check_out").select("trip", "stay", "check_in", "check_out", F.explode(F.sequence(stretch("check_in"), stretch("check_out"))).alias("stretch"))
+    held = F.col("day").between(F.col("check_in"), F.col("check_out"))
+    days = items_.select("trip", "day", stretch("day").alias("stretch")).distinct()
+    first = days.join(s, ["trip", "stretch"]).where(held).groupBy("trip", "day").agg(F.min("stay").alias("stay"))
+    met = items_.join(first, ["trip", "day"])
+    own = met.where("stay = l_orderkey").select("trip", "day", "n", F.col("stay").alias("own"), stretch("day").alias("stretch"))
+    second = own.join(s, ["trip", "stretch"]).where(held & (F.col("stay") != F.col("own"))).groupBy("trip", "day", "own").agg(F.min("stay").alias("stay"), F.first("n").alias("n"))
+    return met.where("stay != l_orderkey").select("stay", "n").union(second.select("stay", "n")).groupBy("stay").agg(F.sum("n").alias("n_items"))

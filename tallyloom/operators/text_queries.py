@@ -17,8 +17,8 @@ _AUDIT = "[" + ", ".join(f"'{w}'" for w in T.AUDIT_WORDS) + "]"
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, source, lang, pos (from 1), line."""
-    return docs.select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n")).alias("p", "line")).select("doc_id", "source", "lang", (F.col("p") + 1).alias("pos"), "line")
+    """doc_id, source, lang, pos (from 1), line.  A null or empty text is one empty line."""
+    return docs.select("doc_id", "source", "lang", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("p", "line")).select("doc_id", "source", "lang", (F.col("p") + 1).alias("pos"), "line")
 
 
 @query(f"SELECT doc_id, sha256({NORMAL_SQL.format('text')}) AS normal_sha FROM documents")
@@ -96,8 +96,8 @@ def text_one_edit_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
 u AS (SELECT event_id, CASE k WHEN 0 THEN h || ':' || m WHEN 1 THEN 'at ' || h || ' pm' WHEN 2 THEN h || '.' || m || ' AM' ELSE h END AS raw, CAST(h AS INT) AS h, CAST(m AS INT) AS m, k FROM t)
 SELECT event_id, raw, CASE
   WHEN k = 0 AND h <= 23 AND m <= 59 THEN lpad(CAST(h AS VARCHAR), 2, '0') || ':' || lpad(CAST(m AS VARCHAR), 2, '0')
-  WHEN k = 1 AND h BETWEEN 1 AND 12 THEN lpad(CAST(CASE WHEN h = 12 THEN 12 ELSE h + 12 END AS VARCHAR), 2, '0') || ':00'
-  WHEN k = 2 AND h BETWEEN 1 AND 12 AND m <= 59 THEN lpad(CAST(CASE WHEN h = 12 THEN 0 ELSE h END AS VARCHAR), 2, '0') || ':' || lpad(CAST(m AS VARCHAR), 2, '0')
+  WHEN k = 1 AND h <= 23 THEN lpad(CAST(CASE WHEN h < 12 THEN h + 12 ELSE h END AS VARCHAR), 2, '0') || ':00'
+  WHEN k = 2 AND h <= 23 AND m <= 59 THEN lpad(CAST(CASE WHEN h = 12 THEN 0 ELSE h END AS VARCHAR), 2, '0') || ':' || lpad(CAST(m AS VARCHAR), 2, '0')
   WHEN k = 3 AND h <= 23 THEN lpad(CAST(h AS VARCHAR), 2, '0') || ':00' END AS clock FROM u""")
 def text_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
     h, m, k = F.expr("string(event_id % 30)"), F.expr("lpad(string(event_id % 70), 2, '0')"), F.expr("event_id % 4")

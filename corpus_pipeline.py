@@ -1,7 +1,12 @@
 """Corpus pipeline: five stages from raw documents to token counts.
 
 Each stage takes (spark, docs, sf_dir) and returns a frame that is written as Parquet and read as the next
-one's ``docs``.  All but the last return the columns of ``documents``.  An empty table passes every stage.
+one's ``docs``.  All but the last return the columns of ``documents``, and more columns of the input pass through whatever
+their names.  An empty table passes every stage; very long texts are read whole, in batches bounded in bytes.
+
+Odd rows: a null or empty text has no language and goes in the first stage; given to a later stage it stays, with no links,
+no hits, no secrets and the end id alone.  Rows that repeat an id are judged each by its own text; of rows equal in id and text the
+second stage keeps one.  A row with a null id is kept by all stages that its text passes.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyloom.llm import decontaminate, language_id, ngram_jaccard, secrets, sentencepieces
-from tallyloom.llm.shared import stage, table
+from tallyloom.llm.shared import hidden, stage, table
 
 #: A text is rejected if its language is undetermined or its score is under this; with four languages
 #: a network that knows nothing scores 0.25.
@@ -20,8 +25,9 @@ MIN_LANGUAGE_SCORE = 0.3
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language can be told."""
-    found = language_id.identify(docs, language_id.train(docs), lang="__lang", score="__score")
-    return found.where((found["__lang"] != language_id.UNDETERMINED) & (found["__score"] >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    lang, score = hidden(docs, "lang", "score")
+    found = language_id.identify(docs, language_id.train(docs), lang=lang, score=score)
+    return found.where((found[lang] != language_id.UNDETERMINED) & (found[score] >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,8 @@ shingles as partners of its own size or more allow, and as the *larger* in its o
 small for it, in the one below.  In a tile the smaller are compared with the larger, if what follows the shingle in
 both leaves room for ``o``.  A passage that many different texts share stands behind what each has for
 itself and makes no tile, until it is so much of a text that those sharing it are nearly linked.
-1. Every class of a tile is compared with the tile's leader, its smallest class (in a tile of more than ``LIGHT``
+1. Every class of a tile is compared with the tile's leader, the class with the fewest shingles before the tile's, which is
+   that with the least of its own beside what the tile shares (in a tile of more than ``LIGHT``
    also with two more).  The links give components: copies and chains of near copies cost a few comparisons each, not one
    for every pair of a group.
 2. In tiles that still hold several components, the classes of different components are compared.
@@ -325,13 +326,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
 
     # tiles of two classes at least, one of them as the smaller; with their leaders
     spread = lambda seed: F.min_by("cls", F.xxhash64("cls", F.lit(seed)))
-    tiles = rows.groupBy("key").agg(F.count("*").alias("size"), F.max(F.col("span").bitwiseAND(1)).alias("small"), F.min("cls").alias("leader")).where("size > 1 and small = 1")
-    shared = stage(rows.join(tiles.select("key", "size", "leader"), "key"), "tiles")
+    place = F.shiftright("span", 1).bitwiseAND(2**31 - 1)
+    tiles = rows.groupBy("key").agg(F.count("*").alias("size"), F.max(F.col("span").bitwiseAND(1)).alias("small"), F.min(place).alias("least")).where("size > 1 and small = 1")
+    shared = stage(rows.join(tiles.select("key", "size", "least"), "key"), "tiles")
     heavy = shared.where(F.col("size") > light).groupBy("key").agg(F.array_distinct(F.array(spread(1), spread(2))).alias("more")).select("key", F.explode("more").alias("leader"))
-    leaders = shared.where("cls = leader").select("key", "leader").union(heavy).distinct()
+    leaders = shared.where(place == F.col("least")).groupBy("key").agg(F.min("cls").alias("leader")).union(heavy).distinct()
     at = shared.select("key", F.col("cls").alias("leader"), F.col("span").alias("span_a"))
     led = stage(leaders.join(at, ["key", "leader"]), "leaders")
-    stars = shared.drop("leader").withColumnRenamed("span", "span_b").join(led, "key").where(f"cls != leader and {places_fit(num, den)}")
+    stars = shared.withColumnRenamed("span", "span_b").join(led, "key").where(f"cls != leader and {places_fit(num, den)}")
     stars = stars.select(F.least("leader", "cls").alias("a"), F.greatest("leader", "cls").alias("b")).distinct()
     roots = components(_linked(stars, narrow, classes, size, num, den))
 

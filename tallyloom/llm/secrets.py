@@ -17,10 +17,12 @@ empty result.  Other columns of the input are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import stage, table
+from .shared import hidden, stage, table
 
 #: Kinds in order, with pattern, group of the value, and least length of that group.  Fixed values.
 BASE = [
@@ -35,38 +37,63 @@ MAX_OWNERS, MAX_REPOSITORIES = 2, 3
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int,value:string>>"
 
 
-def _spans(text: Column, pattern: str, group: int, least: int, rank: int, kind: str) -> Column:
-    """The pattern's leftmost matches as an array of structs; those of a short value are dropped after matching."""
-    p = F.lit(pattern)
-    found = F.transform(
-        F.arrays_zip(F.regexp_extract_all(text, p, F.lit(0)).alias("m"), F.regexp_extract_all(text, p, F.lit(group)).alias("v"), F.split(text, pattern, -1).alias("gap")),
-        lambda x: F.struct(F.length(x["gap"]).alias("g"), F.length(x["m"]).alias("l"), x["v"].alias("v")),
-    )
-    placed = F.aggregate(
-        F.filter(found, lambda x: x["l"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["g"] + x["l"]).alias("at"),
-            F.when(
-                F.length(x["v"]) >= least,
-                F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (acc["at"] + x["g"] + x["l"]).alias("end"), x["v"].alias("value")))),
-            ).otherwise(acc["out"]).alias("out"),
-        ),
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _blocks(items: Column) -> Column:
+    """An array, not empty, cut into some sqrt(n) arrays of some sqrt(n) items, in order."""
+    size = F.ceil(F.sqrt(F.size(items))).cast("int")
+    numbers = F.sequence(F.lit(0), F.ceil(F.size(items) / size).cast("int") - 1)
+    return F.transform(numbers, lambda k: F.slice(items, k * size + 1, size))
+
+
+def _placed(found: Column, rank: int, kind: str, least: int) -> Column:
+    """Spans of pieces (gap before, length, value) that follow each other; those of a short value go.
+    Places are summed up by block, and appended to within a block only, so n matches cost n to the power 1.5 at most."""
+    length = lambda x: x["g"] + x["l"]
+    span = lambda at, x: F.struct((at + x["g"]).alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (at + length(x)).alias("end"), x["v"].alias("value"))
+    within = lambda block, at: F.aggregate(
+        block,
+        F.struct(at.alias("at"), F.array().cast(SPAN).alias("out")),
+        lambda acc, x: F.struct((acc["at"] + length(x)).alias("at"), F.when(F.length(x["v"]) >= least, F.concat(acc["out"], F.array(span(acc["at"], x)))).otherwise(acc["out"]).alias("out")),
         lambda acc: acc["out"],
     )
-    return F.when(text.rlike(pattern), placed).otherwise(F.array().cast(SPAN))
+    total = lambda block: F.aggregate(block, F.lit(0), lambda at, x: at + length(x))
+    before = lambda sums, i: F.aggregate(F.slice(sums, 1, i), F.lit(0), lambda at, n: at + n)
+    return _bind(_blocks(found), lambda blocks: _bind(F.transform(blocks, total), lambda sums: F.flatten(F.transform(blocks, lambda block, i: within(block, before(sums, i))))))
+
+
+def _spans(text: Column, pattern: str, group: int, least: int, rank: int, kind: str) -> Column:
+    """The pattern's leftmost matches as an array of structs; those of a short value are dropped after matching."""
+    match = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else F.lit(None)
+    pieces = F.arrays_zip(match.alias("m"), F.split(text, pattern, -1).alias("gap"), *([value.alias("v")] if group else []))
+    found = F.transform(pieces, lambda x: F.struct(F.length(x["gap"]).alias("g"), F.length(x["m"]).alias("l"), (x["v"] if group else x["m"]).alias("v")))
+    found = F.filter(found, lambda x: x["l"].isNotNull())
+    return F.when(text.rlike(pattern), _bind(found, lambda f: _placed(f, rank, kind, least))).otherwise(F.array().cast(SPAN))
+
+
+def _clear_of(items: Column, base: Column) -> Column:
+    """Those of ``items`` that overlap no span of ``base``; a block of them is compared with the spans in its stretch."""
+    overlap = lambda b, x: (b["start"] < x["end"]) & (x["start"] < b["end"])
+    stretch = lambda block: F.struct(block[0]["start"].alias("start"), F.element_at(block, -1)["end"].alias("end"))
+    clear = lambda block: _bind(stretch(block), lambda s: _bind(F.filter(base, lambda b: overlap(b, s)), lambda near: F.filter(block, lambda x: ~F.exists(near, lambda b: overlap(b, x)))))
+    return F.when((F.size(items) == 0) | (F.size(base) == 0), items).otherwise(F.flatten(F.transform(_blocks(items), clear)))
 
 
 def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds ``base`` (spans of the three kinds, by start and kind) and ``extra`` (candidates clear of them)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    """Adds ``base`` (spans of the three kinds, by start and kind) and ``extra`` (candidates clear of them), in place of such as are there."""
+    docs = docs.drop("base", "extra")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    *kinds, more = hidden(docs, "assign", "access", "hex", "more")
     out = docs
-    for rank, (kind, pattern, group, least) in enumerate(BASE):
-        out = out.withColumn(f"__{kind}", _spans(text, pattern, group, least, rank, kind))
-    out = out.withColumn("base", F.array_sort(F.concat("__assign", "__access", "__hex"))).withColumn("__more", _spans(text, CANDIDATE, 0, 20, len(BASE), "owned"))
-    clear = F.expr("""filter(__more, x -> x.value rlike '[0-9]' and x.value rlike '[a-z]' and x.value rlike '[A-Z]'
-                      and not exists(base, b -> b.start < x.end and x.start < b.end))""")
-    return out.withColumn("extra", clear).drop("__assign", "__access", "__hex", "__more")
+    for name, (rank, (kind, pattern, group, least)) in zip(kinds, enumerate(BASE)):
+        out = out.withColumn(name, _spans(text, pattern, group, least, rank, kind))
+    mixed = lambda x: x["value"].rlike("[0-9]") & x["value"].rlike("[a-z]") & x["value"].rlike("[A-Z]")
+    out = out.withColumn("base", F.array_sort(F.concat(*kinds))).withColumn(more, F.filter(_spans(text, CANDIDATE, 0, 20, len(BASE), "owned"), mixed))
+    return out.withColumn("extra", _clear_of(F.col(more), F.col("base"))).drop(*kinds, more)
 
 
 def ownership(found: DataFrame, repository: str, owner: str) -> DataFrame:
@@ -106,22 +133,45 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _replaced(text: Column, blocks: Column, live: Column) -> Column:
+    """``text`` with the spans of ``blocks``, sorted by start, replaced.  A block's part of the text is cut out once, and its
+    pieces appended to within the block only."""
+    overlap = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
+    ends = F.transform(blocks, lambda block: F.array_max(F.transform(block, lambda s: s["end"])))
+
+    def pieces(part: Column, block: Column, lo: Column, near: Column) -> Column:
+        mark = lambda s: F.when(F.exists(near, lambda x: overlap(x, s)), "<secret>").otherwise("<example-secret>")
+        two = lambda at, s: F.array(F.substring(part, at - lo + 1, s["start"] - at), mark(s))
+        return F.aggregate(
+            block,
+            F.struct(lo.alias("at"), F.array().cast("array<string>").alias("out")),
+            lambda acc, s: F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], two(acc["at"], s))).alias("out")),
+            lambda acc: acc["out"],
+        )
+
+    def of_block(block: Column, lo: Column, hi: Column) -> Column:
+        stretch = F.struct(block[0]["start"].alias("start"), hi.alias("end"))
+        return _bind(F.filter(live, lambda x: overlap(x, stretch)), lambda near: _bind(F.substring(text, lo + 1, hi - lo), lambda part: pieces(part, block, lo, near)))
+
+    def of_all(ends: Column) -> Column:
+        before = lambda i: F.coalesce(F.array_max(F.slice(ends, 1, i)), F.lit(0))
+        done = F.flatten(F.transform(blocks, lambda block, i: _bind(before(i), lambda lo: of_block(block, lo, F.greatest(lo, ends[i])))))
+        return F.concat(F.array_join(done, ""), F.substring(text, F.array_max(ends) + 1, F.length(text)))
+
+    return _bind(ends, of_all)
+
+
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository: str = "source", owner: str = "source") -> DataFrame:
     """``docs`` with every span replaced: ``<secret>`` where its value looks live, else ``<example-secret>``.
     Rows without spans pass as they are; of others a column ``n_chars`` is counted anew; overlapping spans are one replacement, live if either is."""
-    spans = scan(docs, id_col, text_col, repository, owner).where("size(spans) > 0").groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h")).agg(F.first("spans").alias("__spans"), F.first("live").alias("__live"))
-    text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    joined = docs.join(spans, F.col(id_col).eqNullSafe(F.col("__id")) & (text_hash == F.col("__h")), "left")
-    cut = F.expr(f"""
-      aggregate(__spans, named_struct('at', 0, 'out', '', 'live', false),
-        (a, s) -> if(s.end <= a.at, a, named_struct(
-          'at', s.end,
-          'out', if(s.start < a.at, a.out, concat(a.out, substring({text_col}, a.at + 1, s.start - a.at), if(exists(__live, l -> l.start < s.end and s.start < l.end), '<secret>', '<example-secret>'))),
-          'live', false)),
-        a -> concat(a.out, substring({text_col}, a.at + 1)))""")
-    done = joined.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(cut))
+    id_, h, spans, live = hidden(docs, "id", "h", "spans", "live")
+    found = scan(docs, id_col, text_col, repository, owner).where("size(spans) > 0").groupBy(F.col("doc_id").alias(id_), F.col("text_hash").alias(h)).agg(F.first("spans").alias(spans), F.first("live").alias(live))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    joined = docs.join(found, F.col(id_col).eqNullSafe(F.col(id_)) & (F.xxhash64(text) == F.col(h)), "left")
+    cut = _bind(F.col(text_col).cast("string"), lambda whole: _bind(_blocks(F.col(spans)), lambda blocks: _replaced(whole, blocks, F.col(live))))
+    done = joined.withColumn(text_col, F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(cut))
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length(text_col).cast(docs.schema["n_chars"].dataType)))
+        done = done.withColumn("n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.length(text_col).cast(docs.schema["n_chars"].dataType)))
     return done.select(*docs.columns)
 
 

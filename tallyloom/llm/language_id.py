@@ -9,13 +9,13 @@ each length in ``PIECES``); prediction covers every byte of every row.  For pred
 are tabled by byte pair, which gives the network's responses by look-up.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; so is every text if no row is
-labelled.  Short texts are padded to a window.  Repeated rows give repeated results; other columns are
+labelled, and an empty table gives none.  A letter is one of any script; digits, fractions and numerals are none.  Short texts are padded
+to a window; very long ones are read to their end, in batches bounded in bytes.  Repeated rows give repeated results; other columns are
 not read, and the label, source and id are never inputs of a prediction.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import small_batches, table
+from .shared import hidden, small_batches, table
 
 WINDOW = 256
 WIDTHS, FILTERS, EMBEDDING = (2, 3, 4), 8, 8
@@ -31,7 +31,11 @@ WIDTHS, FILTERS, EMBEDDING = (2, 3, 4), 8, 8
 SAMPLE_PER_LANGUAGE, PIECES = 800, (WINDOW, 96, 32)
 EPOCHS, BATCH, RATE = 5, 64, 0.01
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str | None) -> bool:
+    """Of any script (general category L, as ``\\p{L}`` has it when the sample is taken); digits and signs of number are none."""
+    return bool(text) and any(map(str.isalpha, text))
 
 
 class ByteNet:
@@ -113,7 +117,7 @@ class ByteNet:
         return np.concatenate(features, 1) @ self.out + self.bias
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        data = [t.encode("utf-8", "surrogatepass") if t and _LETTER.search(t) else b"" for t in texts]
+        data = [t.encode("utf-8", "surrogatepass") if has_letter(t) else b"" for t in texts]
         counts = [-(-len(d) // WINDOW) for d in data]
         langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
         at = 0
@@ -177,8 +181,9 @@ def identify(docs: DataFrame, net: ByteNet | None, text_col: str = "text", lang:
             yield pd.DataFrame({"lang_pred": langs, "score": scores})
 
     udf = F.pandas_udf(predict, "lang_pred string, score double")
-    predicted = docs.withColumn("__p", udf(F.col(text_col).cast("string")))
-    return predicted.select(*[F.col(c) for c in docs.columns if c not in (lang, score)], F.col("__p.lang_pred").alias(lang), F.col("__p.score").alias(score))
+    (name,) = hidden(docs, "p")
+    predicted = docs.withColumn(name, udf(F.col(text_col).cast("string")))
+    return predicted.select(*[F.col(c) for c in docs.columns if c not in (lang, score)], F.col(f"{name}.lang_pred").alias(lang), F.col(f"{name}.score").alias(score))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

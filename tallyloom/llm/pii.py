@@ -16,7 +16,8 @@ accounts in the length of their country, phones in the lengths of their country
 Values of certain form are taken first, then phones of known length, then cards in odd groups, then other
 phones, each from what is left.  A phone of no known length takes in a further number that the same sign joins.
 
-Edge cases: a null text stays null and has no values; values that do not validate stay as they are; of
+Edge cases: a null text stays null and has no values, an empty one none; an empty table gives none; very long texts cost time in
+proportion and come in batches bounded in bytes; a column ``pii`` of the input is replaced, all others stay; values that do not validate stay as they are; of
 overlapping values of one such step the one that begins first is taken, then the kind listed first; repeated
 rows give repeated results.
 """
@@ -32,10 +33,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import small_batches, table
+from .shared import hidden, small_batches, table
 
 ROUNDS = 8
-#: For tests and examples.  In production pass a key that is kept elsewhere.
+#: The query takes its key from this setting of the session; only where it is unset, as on test tables, from the example, which
+#: protects nothing.  ``pseudonymize`` has no default.
+KEY_SETTING = "spark.tallyloom.pii.key"
 EXAMPLE_KEY = b"tallyloom example key"
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 #: Most pseudonyms that a worker remembers.
@@ -359,7 +362,7 @@ class Pseudonyms:
         return found
 
 
-def pseudonymize(docs: DataFrame, text_col: str = "text", key: bytes = EXAMPLE_KEY) -> DataFrame:
+def pseudonymize(docs: DataFrame, *, key: bytes, text_col: str = "text") -> DataFrame:
     """``docs`` with the text rewritten and ``pii``, a struct of counts by kind, in place of any such column."""
     small_batches(docs.sparkSession)
     schema = "text string, pii struct<" + ", ".join(f"{k}:bigint" for k in KINDS) + ">"
@@ -370,10 +373,12 @@ def pseudonymize(docs: DataFrame, text_col: str = "text", key: bytes = EXAMPLE_K
             done = [pseudonyms.rewrite(t) for t in texts]
             yield pd.DataFrame({"text": pd.Series([d[0] for d in done], dtype=object), "pii": pd.Series([d[1] for d in done], dtype=object)})
 
-    new = docs.withColumn("__new", F.pandas_udf(rewrite, schema)(F.col(text_col).cast("string")))
-    return new.select(*[F.col("__new.text").alias(c) if c == text_col else F.col(c) for c in docs.columns if c != "pii"], F.col("__new.pii").alias("pii"))
+    (name,) = hidden(docs, "new")
+    new = docs.withColumn(name, F.pandas_udf(rewrite, schema)(F.col(text_col).cast("string")))
+    return new.select(*[F.col(f"{name}.text").alias(c) if c == text_col else F.col(c) for c in docs.columns if c != "pii"], F.col(f"{name}.pii").alias("pii"))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    key = spark.conf.get(KEY_SETTING, None)
+    done = pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), key=key.encode() if key else EXAMPLE_KEY)
     return done.select("doc_id", "text", *[F.col(f"pii.{k}").alias(f"n_{k}") for k in KINDS])

@@ -76,6 +76,7 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[list[tuple[str, int]], int]] = []
         self.open: list[tuple[str, int]] = []  # name, element
+        self.places: dict[str, list[int]] = {}  # of the open elements of each name
         self.parent, self.tag, self.mark, self.link, self.inside = [0], [""], [PLAIN], [False], [False]  # inside an article or main element
         self.parts: list[tuple[str, int]] = []
         self.tags = 0
@@ -89,15 +90,18 @@ class Lines(HTMLParser):
         self.parts, self.tags = [], 0
 
     def _pop_to(self, place: int) -> None:
+        for name, _ in self.open[place:]:
+            self.places[name].pop()
         del self.open[place:]
 
+    def _last(self, names: set[str]) -> int:
+        """Where the innermost open element of one of these names stands, or -1."""
+        return max((held[-1] for name in names if (held := self.places.get(name))), default=-1)
+
     def _close_open(self, names: set[str], within: set[str]) -> None:
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] in names:
-                self._pop_to(i)
-                return
-            if self.open[i][0] in within:
-                return
+        place = self._last(names)
+        if place >= 0 and place > self._last(within - names):
+            self._pop_to(place)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
@@ -112,6 +116,7 @@ class Lines(HTMLParser):
             return
         up = self._at()
         mark = NONE if tag in NO_ARTICLE and tag != "form" or tag == "header" and not self.inside[up] else PLAIN if tag in ("html", "body", "main") else self._marked(attrs)
+        self.places.setdefault(tag, []).append(len(self.open))
         self.open.append((tag, len(self.parent)))
         self.parent.append(up)
         self.tag.append(tag)
@@ -142,13 +147,13 @@ class Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                if tag in BLOCK or any(name in BLOCK for name, _ in self.open[i + 1 :]):
-                    self._end_line()
-                self.tags += 1
-                self._pop_to(i)
-                return
+        place = self._last({tag})
+        if place < 0:
+            return
+        if tag in BLOCK or any(name in BLOCK for name, _ in self.open[place + 1 :]):
+            self._end_line()
+        self.tags += 1
+        self._pop_to(place)
 
     def handle_data(self, data: str) -> None:
         self.parts.append((data, self._at()))

@@ -6,7 +6,9 @@ each url the digests of its candidates - every suffix of the host at a dot, with
 the path that has a listed length - are sought by one vectorised binary search a batch, and each
 digest found counts only if the stored key equals the candidate.
 
-Edge cases: a null url, or one without ``://``, has an empty host and path, fits no entry and is
+A list over ``MAX_INDEX_BYTES`` is dealt by digest into shards, which are packed, mapped and probed in the same way.
+
+Edge cases: a null or empty url, or one without ``://``, has an empty host and path, fits no entry and is
 allowed.  An empty entry list allows everything.  Repeated rows give repeated results; columns of
 the input other than the id and the url are not read.
 """
@@ -47,8 +49,8 @@ BLOCKED_HOSTS = [
     "spam-farm.example.org",
 ]
 
-#: A list over this size is joined instead of shipped to every executor.
-MAX_INDEX_BYTES = 64 << 20
+#: A list over this size is not shipped whole to every executor, but dealt into shards of this size; candidates of a shard.
+MAX_INDEX_BYTES, SHARD_CANDIDATES = 64 << 20, 1_000_000
 
 Entry = tuple[str, str, int]
 
@@ -138,12 +140,15 @@ def _ship(spark: SparkSession, packed: bytes) -> str:
     return name
 
 
+def _entry_bytes(host: str, path: str) -> int:
+    return 40 + len(host.encode()) + len(path.encode())
+
+
 def filter_urls(pages: DataFrame, entries: list[Entry], id_col: str = "page_id", url_col: str = "url", max_index_bytes: int = MAX_INDEX_BYTES) -> DataFrame:
     """id, host, path, rule, verdict, listed for every row of ``pages``."""
     urls = split_url(pages.select(id_col, url_col), url_col).select(id_col, "host", "path")
-    size = sum(40 + len(h.encode()) + len(p.encode()) for h, p, _ in entries)
-    if size > max_index_bytes:
-        return _joined(urls, entries, id_col)
+    if sum(_entry_bytes(h, p) for h, p, _ in entries) > max_index_bytes:
+        return _sharded(urls, entries, id_col, max_index_bytes)
     name = _ship(pages.sparkSession, pack(entries))
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -165,28 +170,39 @@ def filter_urls(pages: DataFrame, entries: list[Entry], id_col: str = "page_id",
     return urls.mapInPandas(probe, f"{id_col} {kind}, host string, path string, rule string, verdict string, listed string")
 
 
-def _joined(urls: DataFrame, entries: list[Entry], id_col: str) -> DataFrame:
-    """The same answer by a join on digests, for a list too large to ship."""
+def _sharded(urls: DataFrame, entries: list[Entry], id_col: str, max_index_bytes: int) -> DataFrame:
+    """The same search for a list too large to ship whole: candidates and entries are dealt by digest to shards, each of which
+    packs its part of the list into a file, maps it and probes it."""
     spark = urls.sparkSession
-    listed = spark.createDataFrame([(h, p, h + p, k) for h, p, k in entries], "e_host string, e_path string, e_key string, e_kind int")
-    listed = listed.withColumn("digest", F.xxhash64("e_key")).dropDuplicates(["e_host", "e_path", "e_kind"])
-    lengths = F.array(*[F.lit(n) for n in sorted({len(p) for _, p, _ in entries})])
+    lengths = sorted({len(p) for _, p, _ in entries})
+    size = sum(_entry_bytes(h, p) for h, p, _ in entries)
     asked = urls.select("host", "path").where("host != ''").distinct()
-    dots = F.split("host", r"\.")
-    asked = (
-        asked.withColumn("c_host", F.explode(F.transform(F.sequence(F.lit(1), F.size(dots)), lambda i: F.array_join(F.slice(dots, i, F.size(dots)), "."))))
-        .withColumn("n", F.explode(lengths))
-        .where("n <= length(path)")
-        .withColumn("c_path", F.expr("substring(path, 1, n)"))
-        .withColumn("digest", F.xxhash64(F.concat("c_host", "c_path")))
-    )
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(h, p, ch, cp, xxhash.xxh64_intdigest(ch + cp) % shards) for h, p in zip(b["host"], b["path"]) for ch, cp in candidates(h, p, lengths)]
+            yield pd.DataFrame(rows, columns=["host", "path", "c_host", "c_path", "shard"])
+
+    # some candidates and some bytes of the list to a shard
+    dots = F.size(F.split("host", r"\.")) * len(lengths)
+    shards = max(1, -(-size // max(1, max_index_bytes)), -(-(asked.agg(F.sum(dots)).first()[0] or 0) // SHARD_CANDIDATES))
+    dealt = [(xxhash.xxh64_intdigest(h + p) % shards, h, p, k) for h, p, k in entries]
+    listed = spark.createDataFrame(dealt, "shard bigint, e_host string, e_path string, e_kind int")
+
+    def probe(asked: pd.DataFrame, listed: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(asked) and len(listed):
+            with tempfile.NamedTemporaryFile() as file:
+                file.write(pack(zip(listed["e_host"], listed["e_path"], listed["e_kind"].astype(int))))
+                file.flush()
+                for i, key, kind in DigestIndex(file.name).entries(list(zip(asked["c_host"], asked["c_path"]))):
+                    found.append((asked["host"].iat[i], asked["path"].iat[i], key, kind))
+        return pd.DataFrame(found, columns=["host", "path", "e_key", "e_kind"])
+
+    dealt_out = asked.mapInPandas(deal, "host string, path string, c_host string, c_path string, shard bigint")
+    hits = dealt_out.groupBy("shard").cogroup(listed.groupBy("shard")).applyInPandas(probe, "host string, path string, e_key string, e_kind int")
     best = lambda of: F.max(F.when(of, F.struct(F.length("e_key").alias("n"), F.col("e_kind"), F.col("e_key"))))
-    found = (
-        asked.join(listed, "digest")
-        .where("c_host = e_host and c_path = e_path")
-        .groupBy("host", "path")
-        .agg(best(F.col("e_kind") != LISTED).alias("r"), best(F.col("e_kind") == LISTED).alias("l"))
-    )
+    found = hits.groupBy("host", "path").agg(best(F.col("e_kind") != LISTED).alias("r"), best(F.col("e_kind") == LISTED).alias("l"))
     verdict = F.when(F.col("r").isNotNull(), F.when(F.col("r.e_kind") == BLOCK, "block").otherwise("allow")).when(F.col("l").isNotNull(), "block").otherwise("allow")
     return urls.join(found, ["host", "path"], "left").select(id_col, "host", "path", F.col("r.e_key").alias("rule"), verdict.alias("verdict"), F.col("l.e_key").alias("listed"))
 

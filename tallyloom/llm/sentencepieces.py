@@ -8,7 +8,7 @@ just these two.  The ids are then read backwards through the table.
 The model file (a vocabulary with scores, byte pieces, a dummy prefix, no other normalisation) is read
 here; the library itself is used in tests only.  A piece holds the space mark only at its front, and
 letters and signs share no piece, so a run of marks with the letters or signs after it is encoded alone,
-and equal runs are encoded once per worker up to a bound on what is remembered.  Characters in no piece
+and equal runs are encoded once per task up to a bound in bytes on what is remembered.  Characters in no piece
 become byte pieces.
 
 Edge cases: a null text is empty and gives the end id alone; very long words cost time in proportion;
@@ -32,8 +32,10 @@ from pyspark.sql import functions as F
 from .shared import small_batches, table
 
 MARK = "▁"
-#: Most words and most token pairs that a worker remembers.
-MAX_WORDS, MAX_PAIRS = 250_000, 1_000_000
+#: What a worker remembers within a task: bytes of words in each of two generations, about, and token pairs.
+MAX_BYTES, MAX_PAIRS = 32 << 20, 300_000
+#: Bytes that a remembered word takes besides its texts.
+WORD_BYTES = 350
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 
 
@@ -103,6 +105,7 @@ class PieceModel:
         self.start = len(self.pieces)
         self.size = [len(p) for p in self.pieces]
         self.written = [f"{i} " for i in range(len(self.pieces))]
+        self.held = 0
         self.pairs: dict[int, bool] = {}
         self.words: dict[str, tuple[str, int, bytes]] = {}
         self.older: dict[str, tuple[str, int, bytes]] = {}
@@ -182,11 +185,17 @@ class PieceModel:
             ids = self.encode_word(word)
             out = ("".join([self.written[i] for i in ids]), len(ids), b"".join([self.surface[i] for i in ids]))
         if len(word) <= 64:
-            if len(self.words) >= MAX_WORDS:
-                self.words, self.older = {}, self.words
+            self.held += WORD_BYTES + len(word) + len(out[0]) + len(out[2])
+            if self.held > MAX_BYTES:
+                self.words, self.older, self.held = {}, self.words, 0
             self.words[word] = out
         return out
 
+    def forget(self) -> None:
+        """At the end of a task, so that an idle worker holds the model alone."""
+        self.words, self.older, self.held = {}, {}, 0
+        self.pairs.clear()
+
     def _splitter(self) -> re.Pattern:
         """Runs that no piece spans the ends of: marks with letters, marks with signs, newlines.
         Signs are the ASCII ones that stand in pieces beside signs and marks only."""
@@ -242,16 +251,19 @@ def tokenize(docs: DataFrame, model_path: str | None = None, id_col: str = "doc_
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model(path)
-        for b in batches:
-            rows = []
-            for text in b["text"]:
-                ids, n, decoded = m.encoded(text)
-                row = [n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()]
-                rows.append([*row, [int(i) for i in ids.split()], decoded] if with_ids else row)
-            columns = ["n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 5 if with_ids else 3]
-            out = pd.DataFrame(rows, columns=columns, index=b.index)
-            out.insert(0, id_col, b[id_col])
-            yield out
+        try:
+            for b in batches:
+                rows = []
+                for text in b["text"]:
+                    ids, n, decoded = m.encoded(text)
+                    row = [n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()]
+                    rows.append([*row, [int(i) for i in ids.split()], decoded] if with_ids else row)
+                columns = ["n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 5 if with_ids else 3]
+                out = pd.DataFrame(rows, columns=columns, index=b.index)
+                out.insert(0, id_col, b[id_col])
+                yield out
+        finally:
+            m.forget()
 
     schema = f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
     return docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInPandas(encode, schema)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bitmaps import BitMap, bit_map
-from .shared import small_batches, stage, table
+from .shared import hidden, small_batches, stage, table
 from .shingles import WordHashes, plain_words, shingles
 
 WINDOW, SHINGLE = 13, 5
@@ -149,9 +149,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the contaminated ones."""
-    bad = contamination(docs, benchmark, id_col, text_col).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h")).distinct()
+    id_, h = hidden(docs, "id", "h")
+    bad = contamination(docs, benchmark, id_col, text_col).where("contaminated").select(F.col("doc_id").alias(id_), F.col("text_hash").alias(h)).distinct()
     text_hash = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__id")) & (text_hash == F.col("__h")), "left_anti")
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col(id_)) & (text_hash == F.col(h)), "left_anti")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

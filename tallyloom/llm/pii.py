@@ -335,7 +335,7 @@ class Pseudonyms:
                         continue
                     if (new := self.of("card", run[start:end])) is not None:
                         found.append((m.start() + start, 5, m.start() + end, "card", new))
-                        i = next(j for j, g in enumerate(groups) if g[1] == end)
+                        i = next(j for j in range(i, len(groups)) if groups[j][1] == end)
                         break
                 i += 1
         return found

@@ -119,3 +119,19 @@ def truncate(c: Column, n: int) -> Column:
     """White space squeezed; over n characters the first n and dots."""
     text = squeeze(c)
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("..."))).otherwise(text)
+
+
+#: Words and patterns of a heading that names a day.
+_MONTH = "(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
+_WEEKDAY = "(?:mon(?:day)?|tue(?:sday)?|wed(?:nesday)?|thu(?:rsday)?|fri(?:day)?|sat(?:urday)?|sun(?:day)?)"
+_ORDINAL = r"\d{1,2}(?:st|nd|rd|th)?"
+DAY_HEADING = rf"(?i)^{_WEEKDAY},?\s+{_MONTH}\s+{_ORDINAL}\b|^day\s+\d+\b.*\b{_MONTH}\s+{_ORDINAL}\b|^{_MONTH}\s+{_ORDINAL}\b|^\d{{1,2}}[./-]\d{{1,2}}[./-]\d{{2,4}}\b"
+
+
+def is_day_heading(c: Column) -> Column:
+    """Is a line, without list and emphasis marks, a heading of at most 140 characters that begins with a day?"""
+    bare = c
+    for pattern, new in ((r"\s+", " "), (r"^[-*•●▪◦>·]+\s*", ""), (r"^#+\s*", ""), ("[*_`]", "")):
+        bare = F.regexp_replace(bare, pattern, new)
+    bare = F.trim(bare)
+    return (bare != "") & (F.length(bare) <= 140) & bare.rlike(DAY_HEADING)

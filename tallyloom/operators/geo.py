@@ -26,17 +26,25 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", "label", scaled(0, 80.0).alias("lat"), scaled(1, 180.0).alias("lon"))
 
 
-def radius_pairs(p: DataFrame, km: float, by: str, least_cos: float = 0.15) -> DataFrame:
+def radius_pairs(p: DataFrame, km: float, by: str) -> DataFrame:
     """Pairs of points of a group within ``km``: points meet in cells of the grid and its neighbours, so each
-    compares with those nearby alone.  Cells are wide enough up to latitudes of cosine ``least_cos``;
-    the grid wraps at the date line."""
-    dlat = math.degrees(km / EARTH_KM)
-    columns = max(1, int(360 // (dlat / least_cos)))
-    row, col = F.floor(F.col("lat") / dlat), F.floor((F.col("lon") + 180) / (360 / columns)) % columns
-    a = p.select(F.col(by), F.col("vec_id").alias("a"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), row.alias("r"), col.alias("c"))
-    b = p.select(F.col(by), F.col("vec_id").alias("b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), row.alias("r0"), col.alias("c0"))
-    near = F.array_distinct(F.array(*[F.pmod(F.col("c0") + d, F.lit(columns)) for d in (-1, 0, 1)]))
-    b = b.withColumn("r", F.explode(F.array(*[F.col("r0") + d for d in (-1, 0, 1)]))).withColumn("c", F.explode(near)).drop("r0", "c0")
+    compares with those nearby alone.  A row's cells are as wide as ``km`` may reach at the highest latitude of it and the rows
+    beside it, which near a pole is all the way round; the grid wraps at the date line."""
+    angle = km / EARTH_KM
+    height = math.degrees(angle)
+
+    def columns(row: Column) -> Column:
+        high = F.least(F.greatest(F.abs((row - 1) * height), F.abs((row + 2) * height)), F.lit(90.0))
+        reach = F.lit(math.sin(angle)) / F.cos(F.radians(high))
+        return F.when((reach >= 1) | (high >= 90), 1).otherwise(F.greatest(F.floor(360 / F.degrees(F.asin(reach))), F.lit(1)))
+
+    place = lambda lon, n: F.floor((lon + 180) / 360 * n)
+    row = F.floor(F.col("lat") / height)
+    a = p.select(F.col(by), F.col("vec_id").alias("a"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), row.alias("r"))
+    a = a.withColumn("c", F.pmod(place(F.col("lon_a"), columns(F.col("r"))), columns(F.col("r"))))
+    b = p.select(F.col(by), F.col("vec_id").alias("b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), F.explode(F.array(row - 1, row, row + 1)).alias("r"))
+    b = b.withColumn("n", columns(F.col("r"))).withColumn("at", place(F.col("lon_b"), F.col("n")))
+    b = b.withColumn("c", F.explode(F.array_distinct(F.array(*[F.pmod(F.col("at") + d, F.col("n")) for d in (-1, 0, 1)])))).drop("at", "n")
     distance = haversine(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
     return a.join(b, [by, "r", "c"]).where("a < b").withColumn("km", distance).where(F.col("km") <= km).select(by, "a", "b", "km")
 

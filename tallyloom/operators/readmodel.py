@@ -27,10 +27,10 @@ def counts_read_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def closed_counts(events: DataFrame, by: str) -> DataFrame:
-    """``by``, event_type, n with zeros.  The domain is a pivot's columns."""
-    types = [r[0] for r in events.select("event_type").distinct().orderBy("event_type").collect()]  # a closed, small domain
-    p = events.groupBy(by).pivot("event_type", types).count()
-    return p.select(by, F.explode(F.map_from_arrays(F.array(*[F.lit(t) for t in types]), F.array(*[F.coalesce(F.col(f"`{t}`"), F.lit(0)) for t in types]))).alias("event_type", "n"))
+    """``by``, event_type, n with zeros: every value of ``by`` has a row for every type, which is the result's size."""
+    every = events.select(by).distinct().crossJoin(events.select("event_type").distinct())
+    counts = events.groupBy(by, "event_type").agg(F.count("*").alias("k"))
+    return every.join(counts, [by, "event_type"], "left").select(by, "event_type", F.coalesce("k", F.lit(0)).alias("n"))
 
 
 @query("""WITH t AS (SELECT DISTINCT event_type FROM events), u AS (SELECT DISTINCT user_id % 16 AS bucket FROM events)

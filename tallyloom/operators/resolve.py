@@ -155,8 +155,14 @@ def align_three_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     ln = lines_of(table(spark, sf_dir, "documents")).select("doc_id", "pos", head("line").alias("head"), tok("line").alias("t"))
     at = F.min(F.struct("doc_id", "pos"))["doc_id"]
     exact = b.where("head != ''").join(ln, "head").groupBy("item_id").agg(F.count("*").alias("e_n"), at.alias("e_at"))
-    bt, lt = b.select("item_id", F.size("t").alias("n_t"), F.explode("t").alias("tok")), ln.select("doc_id", "pos", F.explode("t").alias("tok"))
-    scored = bt.join(lt, "tok").groupBy("item_id", "n_t", "doc_id", "pos").agg(F.count("*").alias("matched")).where("matched >= 0.5 * n_t")
+    # a line with half of an item's tokens has one of its rarest, as many as are left when the half but one is taken away
+    bt, lt = b.select("item_id", F.explode("t").alias("tok")), ln.select("doc_id", "pos", F.explode("t").alias("tok"))
+    seen = lt.join(bt.select("tok").distinct(), "tok").groupBy("tok").agg(F.count("*").alias("n_lines"))
+    order = F.array_sort(F.collect_list(F.struct(F.coalesce("n_lines", F.lit(0)).alias("n"), "tok")))
+    rare = bt.join(seen, "tok", "left").groupBy("item_id").agg(order.alias("o")).select("item_id", F.explode(F.expr("slice(o, 1, size(o) - int(ceil(size(o) / 2)) + 1)")["tok"]).alias("tok"))
+    near = rare.join(lt, "tok").select("item_id", "doc_id", "pos").distinct()
+    both = near.join(b.select("item_id", F.col("t").alias("bt")), "item_id").join(ln.select("doc_id", "pos", "t"), ["doc_id", "pos"])
+    scored = both.select("item_id", "doc_id", "pos", F.size("bt").alias("n_t"), F.size(F.array_intersect("bt", "t")).alias("matched")).where("matched >= 0.5 * n_t")
     tied = scored.groupBy("item_id", "matched").agg(F.count("*").alias("n"), at.alias("at")).groupBy("item_id").agg(F.max(F.struct("matched", "n", "at")).alias("m"))
     found = b.select("item_id").join(exact, "item_id", "left").join(tied.select("item_id", F.col("m.n").alias("t_n"), F.col("m.at").alias("t_at")), "item_id", "left")
     outcome = F.expr("case when e_n = 1 then 'exact' when e_n > 1 then 'unresolved' when t_n = 1 then 'tokens' when t_n > 1 then 'unresolved' else 'none' end")

@@ -219,3 +219,21 @@ def test_sentences_and_codes(spark):
     got = df.select("i", prose.without_identity(F.col("t")).alias("a"), prose.without_codes(F.col("t")).alias("b")).orderBy("i").collect()
     for r, (_, a, b) in zip(got, rows):
         assert (r["a"], r["b"]) == (a if a is not None else r["a"], b)
+
+
+def test_pairs_near_the_poles_and_the_date_line(spark):
+    import math
+
+    from tallyloom.operators import geo
+
+    rng = random.Random(13)
+    points = [(i, i % 2, rng.choice([rng.uniform(-90, 90), rng.uniform(84, 90), rng.uniform(-90, -84), 90.0, -90.0, 0.0]), rng.choice([rng.uniform(-180, 180), 180.0, -180.0, 179.9])) for i in range(260)]
+
+    def km(a, b):
+        x, y, u, v = map(math.radians, (a[2], a[3], b[2], b[3]))
+        return 2 * geo.EARTH_KM * math.asin(math.sqrt(min(1.0, math.sin((u - x) / 2) ** 2 + math.cos(x) * math.cos(u) * math.sin((v - y) / 2) ** 2)))
+
+    df = spark.createDataFrame(points, "vec_id long, label long, lat double, lon double")
+    for radius in (300.0, 2500.0):
+        got = sorted((r["a"], r["b"]) for r in geo.radius_pairs(df, radius, "label").collect())
+        assert got == sorted((a[0], b[0]) for a in points for b in points if a[0] < b[0] and a[1] == b[1] and km(a, b) <= radius)

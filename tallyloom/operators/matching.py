@@ -36,17 +36,17 @@ def best_unique_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select(*candidate, "b.score", "b.n_best", F.when(F.col("b.n_best") == 1, F.col("b.record")).alias("record"))
 
 
-@query(f"""WITH {ITEMS_SQL}, e AS (SELECT o_custkey AS trip, CAST(o_orderdate AS DATE) AS day, o_orderstatus, o_orderpriority = '1-URGENT' AS items_only FROM orders)
+@query(f"""WITH {ITEMS_SQL}, e AS (SELECT o_custkey AS trip, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, o_orderstatus, o_orderpriority = '1-URGENT' AS items_only FROM orders)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(count(*) AS BIGINT) AS n_rows, any_value(n) AS n_expected FROM (
   SELECT i.l_orderkey, i.l_linenumber, i.l_partkey, i.l_suppkey, i.l_quantity, i.l_extendedprice, count(*) AS n
-  FROM (SELECT *, row_number() OVER () AS row_ FROM items) i JOIN e ON e.trip = i.trip AND e.day = i.day AND o_orderstatus = l_linestatus AND (NOT items_only OR l_returnflag = 'N')
+  FROM (SELECT *, row_number() OVER () AS row_ FROM items) i JOIN e ON e.trip = i.trip AND e.month = CAST(date_trunc('month', i.day) AS DATE) AND o_orderstatus = l_linestatus AND (NOT items_only OR l_returnflag = 'N')
   GROUP BY i.row_, i.l_orderkey, i.l_linenumber, i.l_partkey, i.l_suppkey, i.l_quantity, i.l_extendedprice HAVING count(*) > 1) GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey""")
 def expectation_overcompressed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items that answer more than one expectation of their trip and day.  An order expects an item of its status, an urgent one
+    """Items that answer more than one expectation of their trip and month.  An order expects an item of its status, an urgent one
     an unreturned item.  Expectations alike are counted before the join."""
-    e = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("trip"), F.to_date("o_orderdate").alias("day"), F.col("o_orderstatus").alias("l_linestatus")).agg(F.count("*").alias("all"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("urgent"))
+    e = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("trip"), F.to_date(F.date_trunc("month", "o_orderdate")).alias("month"), F.col("o_orderstatus").alias("l_linestatus")).agg(F.count("*").alias("all"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("urgent"))
     n = F.when(F.col("l_returnflag") == "N", F.col("all")).otherwise(F.col("all") - F.col("urgent"))
-    found = items(spark, sf_dir).join(e, ["trip", "day", "l_linestatus"]).withColumn("n", n).where("n > 1")
+    found = items(spark, sf_dir).withColumn("month", F.to_date(F.date_trunc("month", "day"))).join(e, ["trip", "month", "l_linestatus"]).withColumn("n", n).where("n > 1")
     return found.groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").agg(F.count("*").alias("n_rows"), F.min("n").alias("n_expected"))
 
 
@@ -83,8 +83,8 @@ def first_unused(expectations: DataFrame, candidates: DataFrame) -> DataFrame:
 
 @query()
 def expectation_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which item of its trip, day and status answers each order, each item once, in order of keys; null if none is left."""
-    group, day = F.concat_ws("|", "trip", "day"), F.to_date("o_orderdate")
+    """Which item of its trip, month and status answers each order, each item once, in order of keys; null if none is left."""
+    group, day = F.concat_ws("|", "trip", F.date_trunc("month", "day").cast("date").cast("string")), F.to_date("o_orderdate")
     e = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("trip"), day.alias("day"), "o_orderstatus", "o_orderkey", "o_orderpriority")
     e = e.select(group.alias("group"), F.col("o_orderstatus").alias("label"), F.col("o_orderkey").alias("expectation"), (F.col("o_orderpriority") == "1-URGENT").alias("items_only"))
     key = F.concat_ws("|", F.lpad(F.col("l_orderkey").cast("string"), 12, "0"), F.lpad(F.col("l_linenumber").cast("string"), 3, "0"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"))

@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from .shared import small_batches, table
 
 MARK = "▁"
-#: What a worker remembers within a task: bytes of words in each of two generations, about, and token pairs.
-MAX_BYTES, MAX_PAIRS = 32 << 20, 300_000
+#: What a worker remembers: within a task, bytes of words in each of two generations, about; and token pairs.
+MAX_BYTES, MAX_PAIRS = 96 << 20, 1_000_000
 #: Bytes that a remembered word takes besides its texts.
 WORD_BYTES = 350
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
@@ -192,9 +192,8 @@ class PieceModel:
         return out
 
     def forget(self) -> None:
-        """At the end of a task, so that an idle worker holds the model alone."""
+        """At the end of a task, so that an idle worker holds the model and its pairs alone."""
         self.words, self.older, self.held = {}, {}, 0
-        self.pairs.clear()
 
     def _splitter(self) -> re.Pattern:
         """Runs that no piece spans the ends of: marks with letters, marks with signs, newlines.

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bm25, centroids, decontaminate, html_extract, language_id, ngram_jaccard, pii, secrets, sentencepieces, url_filter, warc
+from . import bm25, centroids, decontaminate, html_extract, language_id, merkle, ngram_jaccard, pii, secrets, sentencepieces, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": url_filter.op1_url_filters,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bm25": bm25.op9_bm25,
     "op10_ngram_jaccard": ngram_jaccard.op10_ngram_jaccard,
     "op11_centroid_clustering": centroids.op11_centroid_clustering,
+    "op12_merkle_manifest": merkle.op12_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -30,4 +31,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_bm25": bm25.SQL,
     "op10_ngram_jaccard": ngram_jaccard.SQL,
     "op11_centroid_clustering": centroids.SQL,
+    "op12_merkle_manifest": merkle.SQL,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bm25, centroids, decontaminate, html_extract, language_id, merkle, ngram_jaccard, pii, secrets, sentencepieces, url_filter, warc
+from . import bm25, centroids, decontaminate, html_extract, language_id, merkle, neighbours, ngram_jaccard, pii, secrets, sentencepieces, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": url_filter.op1_url_filters,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_jaccard": ngram_jaccard.op10_ngram_jaccard,
     "op11_centroid_clustering": centroids.op11_centroid_clustering,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_nearest_neighbours": neighbours.op13_nearest_neighbours,
 }
 
 ORACLE_SQL: dict[str, str] = {

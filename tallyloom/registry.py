@@ -25,6 +25,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def load_all() -> None:
     """Import the modules that hold queries."""
-    from .operators import cards, coverage, dedupe, geo, intervals, ledger, matching, privacy, prose, readmodel, records, resolve, store, text_queries  # noqa: F401
+    from .operators import cards, containment, coverage, dedupe, geo, intervals, ledger, matching, privacy, prose, readmodel, records, resolve, store, text_queries  # noqa: F401
     from .streaming import windows  # noqa: F401
 

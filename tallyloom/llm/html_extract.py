@@ -7,15 +7,15 @@ either, unless they hold most of the page's text outside links, or its only arti
 ratios of text length to tags of the lines with text, cut off at ten times their median, are smoothed with a
 Gaussian; lines over a threshold (the ratios' deviation, or half the peak where that is less) are dense,
 if not in links alone.  The
-content is all articles, if any line of theirs is dense; else all main elements, if any line of theirs is;
-else the lowest element that holds all dense lines and top headings, and what that stands in below the body
+content is all main elements, if any line of theirs is dense and they hold half of the text outside links that is left, or all but
+``STORY`` letters of it; else all articles, if they do; else the lowest element that holds all dense lines and top headings, and what that stands in below the body
 as far as it adds no more text in links than other text.  All lines of the content are the text, short ones too.
 
 Character references are decoded, white space inside a line becomes one space, lines are trimmed, empty
 ones go, and the others are joined by newlines in page order.
 
-Edge cases: a null, empty or tag-less page gives its text, or an empty string; tags cut off at the end of
-a page are dropped; open elements are closed as they must be; a page's cost is linear in its length;
+Edge cases: a null, empty or tag-less page gives its text, or an empty string; a tag that is never closed takes the rest of
+the page, as in browsers; open elements are closed as they must be; a page's cost is linear in its length;
 repeated rows give repeated results; other columns are not read.
 """
 
@@ -35,6 +35,8 @@ from .shared import small_batches, table
 
 CHUNK = 1 << 16
 SIGMA, REACH = 1.0, 2
+#: Letters that are a story: fewer beside an article or main element don't show that it is but a teaser.
+STORY = 300
 
 #: Elements by what they do to lines.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -61,7 +63,7 @@ ABOUT_WORDS = set("has hide no not with without".split())
 NO_ARTICLE_ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 _WORD = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-_CUT_TAG = re.compile(r"<(?:[A-Za-z/!?][^>]*)?\Z")
+_TAG = re.compile(r"<[A-Za-z/!?]|<\Z")
 
 
 #: How an element is marked: not, by a word or as a form, by a word of discussions, for certain.
@@ -159,7 +161,8 @@ class Lines(HTMLParser):
         self.parts.append((data, self._at()))
 
     def read(self, page: str) -> None:
-        cut = _CUT_TAG.search(page, page.rfind("<")) if "<" in page else None
+        # no tag that opens after the last ">" ends; the first such takes the rest with it, and none is looked for twice
+        cut = _TAG.search(page, page.rfind(">") + 1)
         page = page[: cut.start()] if cut else page
         for at in range(0, len(page), CHUNK):
             self.feed(page[at : at + CHUNK])
@@ -236,10 +239,15 @@ def main_text(page: str | None) -> str:
     for elements in [d for d in dense if not all(doc.link[e] for e in d)] or dense:
         for e in elements:
             anchors[e] += 1
+    words = [0] * len(dropped)  # outside links
+    for parts, _ in doc.lines:
+        for text, e in parts:
+            words[e] += 0 if dropped[e] or doc.link[e] else len("".join(text.split()))
     content = None
-    for kind in ARTICLE:
+    for kind in ("main", "article"):
         chosen = doc.within([t == kind for t in doc.tag])
-        if any(n and chosen[e] for e, n in enumerate(anchors)):
+        inside = sum(n for e, n in enumerate(words) if chosen[e])
+        if any(n and chosen[e] for e, n in enumerate(anchors)) and sum(words) - inside <= max(inside, STORY):
             content = chosen
             break
     if content is None:
@@ -274,8 +282,8 @@ def _region(doc: Lines, anchors: list[int], lines: list[tuple[str, set[int], flo
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id, url, text, n_chars of every row."""
-
     small_batches(pages.sparkSession)
+
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for pages_ in batches:
             yield pages_.map(main_text, na_action=None)

@@ -60,3 +60,30 @@ def test_deep_pages_take_linear_time():
 
     took(50)
     assert took(4_000) < 30 * max(took(400), 0.02)
+
+
+def test_a_teaser_article_does_not_take_the_page():
+    story = f"<div id=content><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></div>"
+    teaser = "<article><h2>Another story</h2><p>Some words that tell of another story, as many as a teaser has, and a few more.</p></article>"
+    for page in (f"<body>{story}{teaser}</body>", f"<body>{teaser}{story}</body>"):
+        text = main_text(page)
+        assert f"Title\n{BODY}\n{BODY}" in text
+
+
+def test_main_keeps_what_stands_beside_its_article():
+    assert main_text(f"<body><main><h1>Title</h1><article><p>{LONG}</p></article><p>After it.</p></main><p>Elsewhere.</p></body>") == f"Title\n{BODY}\nAfter it."
+
+
+@pytest.mark.parametrize("piece", ["&lt;<x ", "<x a='", '<x a="b', "<!-- ", "</x ", "<x <y", "<![CDATA[", "<?x "])
+@pytest.mark.parametrize("end", ["", ">"])
+def test_open_tags_take_linear_time(piece, end):
+    import time
+
+    def took(n):
+        page = f"<p>{LONG}</p>" + piece * n + end
+        t = time.perf_counter()
+        assert main_text(page).startswith(BODY)
+        return time.perf_counter() - t
+
+    took(50)
+    assert took(20_000) < 40 * max(took(2_000), 0.02)

@@ -115,6 +115,43 @@ def trip_date(c: Column) -> Column:
     return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), iso).when(text.rlike(p), F.coalesce(as_date(a, b), as_date(b, a)))
 
 
+_MONTH_NAME = "(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|sep(?:t|tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
+#: Patterns of dates within a text.
+DATE_NUMERIC = r"\b(\d{1,2})([./])(\d{1,2})\2(\d{2}|\d{4})\b"
+DATE_MONTH_FIRST = rf"(?i)\b{_MONTH_NAME}\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?(?:,?\s+(\d{{4}}))?\b"
+DATE_DAY_FIRST = rf"(?i)\b(\d{{1,2}})(?:st|nd|rd|th)?\s+{_MONTH_NAME}(?:,?\s+(\d{{4}}))?\b"
+
+
+def written_date(c: Column) -> Column:
+    """Struct of ``iso``, the day that a text names, and ``md`` (MM-dd) where it names one by month and day without a year.
+
+    ISO if that is all; else the first numeric date, day first and, if that is none, month first; else a month's name with a day, before
+    it or after.  An impossible day is none."""
+    text = F.regexp_replace(c, r"^\s+|\s+$", "")
+    part = lambda p, i: F.regexp_extract(text, p, i)
+    day = lambda y, m, d: F.date_format(F.try_to_date(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd"), "yyyy-MM-dd")
+    p = r"^(\d{4})-(\d{1,2})-(\d{1,2})$"
+    year = F.when(F.length(part(DATE_NUMERIC, 4)) == 2, F.concat(F.lit("20"), part(DATE_NUMERIC, 4))).otherwise(part(DATE_NUMERIC, 4))
+    numeric = F.coalesce(day(year, part(DATE_NUMERIC, 3), part(DATE_NUMERIC, 1)), day(year, part(DATE_NUMERIC, 1), part(DATE_NUMERIC, 3)))
+    first = text.rlike(DATE_MONTH_FIRST)
+    pick = lambda i, j: F.when(first, part(DATE_MONTH_FIRST, i)).otherwise(part(DATE_DAY_FIRST, j))
+    month = ((F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.lower(F.left(pick(1, 2), F.lit(3)))) + 2) / 3).cast("int").cast("string")
+    # a year may stand in either order's match
+    named_year = F.coalesce(F.nullif(part(DATE_MONTH_FIRST, 3), F.lit("")), F.nullif(part(DATE_DAY_FIRST, 3), F.lit("")))
+    named = first | text.rlike(DATE_DAY_FIRST)
+    iso = F.when(text.rlike(p), day(part(p, 1), part(p, 2), part(p, 3))).when(text.rlike(DATE_NUMERIC), numeric).when(named, day(named_year, month, pick(2, 1)))
+    open_ = named & ~text.rlike(p) & ~text.rlike(DATE_NUMERIC) & named_year.isNull()
+    md = F.when(open_, F.right(day(F.lit("2000"), month, pick(2, 1)), F.lit(5)))
+    return F.struct(iso.alias("iso"), md.alias("md"))
+
+
+def dates_match(a: Column, b: Column, a_text: Column, b_text: Column) -> Column:
+    """Are two written dates the same day?  One without a year takes the other's; where a day is missing the normalised texts must agree."""
+    whole = F.when(a["iso"].isNotNull() & b["iso"].isNotNull(), a["iso"] == b["iso"])
+    half = F.when(a["iso"].isNotNull() & b["md"].isNotNull(), F.right(a["iso"], F.lit(5)) == b["md"]).when(b["iso"].isNotNull() & a["md"].isNotNull(), F.right(b["iso"], F.lit(5)) == a["md"])
+    return F.coalesce(whole, F.when(half, F.lit(True)), (a_text != "") & (a_text == b_text), F.lit(False))
+
+
 def truncate(c: Column, n: int) -> Column:
     """White space squeezed; over n characters the first n and dots."""
     text = squeeze(c)

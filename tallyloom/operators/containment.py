@@ -29,35 +29,37 @@ def grams(c: Column, size: int, step: int = 1) -> Column:
     return F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{size}}}))." if step == 1 else f"(?s)(.{{{size}}})"), F.lit(1))
 
 
-def contains_join(values: DataFrame, texts: DataFrame, tiers: tuple[tuple[int, int], ...] = TIERS) -> DataFrame:
+def contains_join(values: DataFrame, texts: DataFrame, tiers: tuple[tuple[int, int], ...] = TIERS, by: str | None = None) -> DataFrame:
     """value and id of every pair of ``values`` (value) and ``texts`` (id, text) in which the text holds the value; each pair once.
+    With ``by`` both sides have that column, only rows that agree in it meet, and it comes first in the result.
 
     A value too short for any tier, a null value and a text whose id is null are in no pair; an id on several rows has all their
     texts.  Only q-grams of tiers that values need are cut, and the second cut of the texts keeps but the rarest."""
     length = F.length("value")
-    v = values.select("value").where(length >= tiers[0][0] + tiers[0][1] - 1).distinct()
+    block = [by] if by else []
+    v = values.select(*block, "value").where(length >= tiers[0][0] + tiers[0][1] - 1).distinct()
     own, tier, step = grams(F.col("value"), tiers[0][0]), F.lit(0), F.lit(tiers[0][1])
     for t, (size, distance) in enumerate(tiers[1:], 1):
         enough = length >= size + distance - 1
         own, tier, step = F.when(enough, grams(F.col("value"), size)).otherwise(own), F.when(enough, t).otherwise(tier), F.when(enough, distance).otherwise(step)
-    of_value = v.select("value", tier.alias("tier"), step.alias("step"), F.posexplode(own).alias("offset", "gram")).withColumn("gram", F.xxhash64("gram", "tier"))
+    of_value = v.select(*block, "value", tier.alias("tier"), step.alias("step"), F.posexplode(own).alias("offset", "gram")).withColumn("gram", F.xxhash64("gram", "tier", *block))
     of_value = staged(of_value, "value-grams")
-    t = texts.select("id", "text").where(F.col("id").isNotNull())
-    cuts = [t.select("id", F.length("text").alias("n"), F.posexplode(grams(F.col("text"), *tiers[r["tier"]])).alias("place", "gram")).select("id", "n", (F.col("place") * tiers[r["tier"]][1]).alias("place"), F.xxhash64("gram", F.lit(r["tier"])).alias("gram")) for r in of_value.select("tier").distinct().orderBy("tier").collect()]
+    t = texts.select(*block, "id", "text").where(F.col("id").isNotNull())
+    cuts = [t.select(*block, "id", F.length("text").alias("n"), F.posexplode(grams(F.col("text"), *tiers[r["tier"]])).alias("place", "gram")).select("id", "n", (F.col("place") * tiers[r["tier"]][1]).alias("place"), F.xxhash64("gram", F.lit(r["tier"]), *block).alias("gram")) for r in of_value.select("tier").distinct().orderBy("tier").collect()]
     if not cuts:
-        return t.select(F.col("text").alias("value"), "id").limit(0)  # no values
+        return t.select(*block, F.col("text").alias("value"), "id").limit(0)  # no values
     of_text = reduce(DataFrame.union, cuts)
 
     seen = of_text.select("gram").join(of_value.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("seen"))
     rarest = F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "offset", "gram"))
-    rare = of_value.join(seen, "gram", "left").groupBy("value", (F.col("offset") % F.col("step")).alias("cut")).agg(rarest.alias("r"))
-    rare = staged(rare.where("r.seen > 0").select("value", "r.offset", "r.gram"), "rarest-grams")
+    rare = of_value.join(seen, "gram", "left").groupBy(*block, "value", (F.col("offset") % F.col("step")).alias("cut")).agg(rarest.alias("r"))
+    rare = staged(rare.where("r.seen > 0").select(*block, "value", "r.offset", "r.gram"), "rarest-grams")
     n, characters = rare.agg(F.count("*"), F.sum(length)).first()
     few = n <= FEW and (characters or 0) <= FEW_CHARACTERS
     found = of_text.join(F.broadcast(rare) if few else rare.hint("merge"), "gram").withColumn("start", F.col("place") - F.col("offset"))
-    found = found.where((F.col("start") >= 0) & (F.col("start") + length <= F.col("n"))).select("id", "value", "start").distinct()
+    found = found.where((F.col("start") >= 0) & (F.col("start") + length <= F.col("n"))).select(*block, "id", "value", "start").distinct()
     there = F.substr("text", F.col("start") + 1, length) == F.col("value")
-    return found.join(t, "id").where(there).select("value", "id").distinct()
+    return found.join(t, [*block, "id"]).where(there).select(*block, "value", "id").distinct()
 
 
 #: What looks like a postal address, and what is secret in any public text.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -67,14 +68,14 @@ def first_unused(expectations: DataFrame, candidates: DataFrame) -> DataFrame:
             out = []
             for group, label, turn, key, item in zip(b["group"], b["label"], b["turn"], b["key"], b["item"]):
                 if (group, label) != at:
-                    at, open_ = (group, label), {True: [], False: []}
+                    at, open_ = (group, label), {True: deque(), False: deque()}
                 if turn == 0:
                     open_[bool(item)].append(key)
                     continue
                 # heads of both queues; those of kind 'item' serve all expectations
                 heads = [k for k in ((True,) if item else (True, False)) if open_[k]]
                 took = min(heads, key=lambda k: open_[k][0], default=None)
-                out.append((group, key, None if took is None else open_[took].pop(0)))
+                out.append((group, key, None if took is None else open_[took].popleft()))
             yield pd.DataFrame(out, columns=["group", "expectation", "candidate"])
 
     ordered = both.repartition("group", "label").sortWithinPartitions("group", "label", "turn", "key")

@@ -188,7 +188,7 @@ def test_expectations_take_the_first_open_candidate(spark):
 PROSE = [
     ("Write to eli@example.com today", "email"), ("Customer Eli kamerow", "role_labelled_name"), ("customer: see desk", "role_labelled_name"), ("Customer Service desk", None),
     ("Customer Service desk, Customer Eli kamerow", "role_labelled_name"), ("Passenger Terminal 3", None), ("1225 Harvard street nw, 20009 Washington", "street_address"), ("221B Baker Street", None),
-    ("Tel: 555 0199 22", "phone"), ("+43 660 1234567 any time", "phone"), ("call 555-123-4567 now", "phone"), ("from 2038-04-02 to 2038-04-05", "phone"), ("ends 05.04.2038", None), ("on January 12-25 2019", None), ("", None), (None, None),
+    ("Tel: 555 0199 22", "phone"), ("+43 660 1234567 any time", "phone"), ("call 555-123-4567 now", "phone"), ("from 2038-04-02 to 2038-04-05", None), ("ends 05.04.2038", None), ("on January 12-25 2019", None), ("", None), (None, None),
 ]
 
 
@@ -198,10 +198,7 @@ def test_identity_signals(spark):
     from tallyloom.operators import prose
 
     got = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(PROSE)], "i int, t string").select("i", prose.identity_signal(F.col("t")).alias("s")).orderBy("i").collect()
-    # two dates of a range are one run of digits to a phone's eye, unless the line ends in one date alone
-    want = [s for _, s in PROSE]
-    want[11] = got[11]["s"]
-    assert [r["s"] for r in got] == want
+    assert [r["s"] for r in got] == [s for _, s in PROSE]
 
 
 def test_sentences_and_codes(spark):
@@ -213,12 +210,12 @@ def test_sentences_and_codes(spark):
         ("Visit St. Stephen's. Customer Eli kamerow. Then lunch!  Mail a@b.com? Bye.", "Visit St. Stephen's. Then lunch! Bye.", "Visit St. Stephen's. Customer Eli kamerow. Then lunch!  Mail a@b.com? Bye."),
         ("Ride, travel code 0468406277, seat 5 (AB12C)", "Ride, travel code 0468406277, seat 5 (AB12C)", "Ride,, seat 5"),
         ("FR8331 at 06:20 on 2019-01-18 06:20", "FR8331 at 06:20 on 2019-01-18 06:20", "FR8331 at 06:20 on 2019-01-18 06:20"),
-        ("ticket code: #2159 1990 1842 0436 ok", None, "ok"),
+        ("ticket code: #2159 1990 1842 0436 ok", "ticket code: #2159 1990 1842 0436 ok", "ok"),
     ]
     df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(rows)], "i int, t string")
     got = df.select("i", prose.without_identity(F.col("t")).alias("a"), prose.without_codes(F.col("t")).alias("b")).orderBy("i").collect()
     for r, (_, a, b) in zip(got, rows):
-        assert (r["a"], r["b"]) == (a if a is not None else r["a"], b)
+        assert (r["a"], r["b"]) == (a, b)
 
 
 def test_pairs_near_the_poles_and_the_date_line(spark):

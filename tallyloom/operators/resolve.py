@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..plans.trips import items
 from ..registry import query
 from ..sources.tables import table
+from .containment import compatible
 from .text_queries import DISTINCTIVE_SQL, NORMAL_SQL, lines_of
 
 
@@ -174,20 +175,26 @@ def align(candidates: DataFrame, spans: DataFrame) -> DataFrame:
     clause, section): the span whose clause is the evidence; else that in a compatible section whose clause is the
     title; else that in a compatible section with the largest share of its distinctive tokens, half at least, in
     title and description, then with most of them.  The first tier with any span decides, and several spans are
-    left unresolved.  Sections are compatible if one's label is part of the other's."""
+    left unresolved.  Sections are compatible if one's label is part of the other's; without a label nothing is.  Ids are unique."""
     tok = lambda c: F.array_distinct(T.distinctive_tokens(c))
     c = candidates.select("id", T.normalize(F.col("evidence")).alias("evidence"), T.normalize(F.col("title")).alias("title"), T.normalize(F.col("section")).alias("c_section"), tok(F.concat_ws(" ", "title", "description")).alias("c_tok"))
     s = spans.select("span", T.normalize(F.col("clause")).alias("clause"), T.normalize(F.col("section")).alias("s_section"), tok(F.col("clause")).alias("s_tok"))
-    labels = c.select("c_section").where("c_section != ''").distinct().crossJoin(s.select("s_section").where("s_section != ''").distinct())  # labels are few
-    labels = labels.where(F.col("s_section").contains(F.col("c_section")) | F.col("c_section").contains(F.col("s_section")))
+    labels = compatible(c.select(F.col("c_section").alias("a")), s.select(F.col("s_section").alias("b"))).select(F.col("a").alias("c_section"), F.col("b").alias("s_section"))
     one = lambda tier: [F.count("*").alias(f"{tier}_n"), F.min("span").alias(f"{tier}_at")]
 
     exact = c.where("evidence != ''").join(s, F.col("evidence") == F.col("clause")).groupBy("id").agg(*one("e"))
     inside = c.join(exact.select("id"), "id", "left_anti").join(labels, "c_section")
     named = inside.where("title != ''").withColumn("clause", F.col("title")).join(s, ["s_section", "clause"]).groupBy("id").agg(*one("s"))
-    tokens = inside.join(named.select("id"), "id", "left_anti").select("id", "s_section", F.explode("c_tok").alias("tok"))
-    scored = tokens.join(s.select("span", "s_section", F.size("s_tok").alias("n_tok"), F.explode("s_tok").alias("tok")), ["s_section", "tok"])
-    scored = scored.groupBy("id", "span", "n_tok").agg(F.count("*").alias("matched")).where("2 * matched >= n_tok")
+    left = inside.join(named.select("id"), "id", "left_anti").select("id", "s_section", "c_tok")
+    tokens = left.select("id", "s_section", F.explode("c_tok").alias("tok"))
+    # half of a span's tokens can't be matched without one of its rarest, as many as are left when the half but one is taken away
+    seen = tokens.groupBy("tok").agg(F.count("*").alias("seen"))
+    of_span = s.where("s_section != ''").select("span", "s_section", F.explode("s_tok").alias("tok")).join(seen, "tok", "left")
+    order = F.array_sort(F.collect_list(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "tok")))
+    rare = of_span.groupBy("span", "s_section").agg(order.alias("o")).select("span", "s_section", F.explode(F.expr("slice(o, 1, size(o) - int(ceil(size(o) / 2)) + 1)")).alias("k"))
+    near = rare.where("k.seen > 0").select("span", "s_section", F.col("k.tok").alias("tok")).join(tokens, ["s_section", "tok"]).select("id", "span").distinct()
+    both = near.join(left.select("id", "c_tok").dropDuplicates(["id"]), "id").join(s.select("span", "s_tok"), "span")
+    scored = both.select("id", "span", F.size("s_tok").alias("n_tok"), F.size(F.array_intersect("c_tok", "s_tok")).alias("matched")).where("2 * matched >= n_tok")
     top = scored.groupBy("id", (F.col("matched") / F.col("n_tok")).alias("ratio"), "matched").agg(*one("t")).groupBy("id").agg(F.max(F.struct("ratio", "matched", "t_n", "t_at")).alias("m"))
     found = c.select("id").join(exact, "id", "left").join(named, "id", "left").join(top.select("id", "m.t_n", "m.t_at"), "id", "left")
     n, at = F.coalesce("e_n", "s_n", "t_n", F.lit(0)), F.coalesce("e_at", "s_at", "t_at")

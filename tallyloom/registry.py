@@ -25,6 +25,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def load_all() -> None:
     """Import the modules that hold queries."""
-    from .operators import cards, containers, containment, coverage, dedupe, details, geo, intervals, ledger, matching, privacy, prose, readmodel, records, resolution, resolve, store, text_queries, transports  # noqa: F401
+    from .operators import cards, codec, containers, containment, coverage, dedupe, details, geo, intervals, ledger, matching, privacy, prose, readmodel, records, resolution, resolve, store, text_queries, transports  # noqa: F401
     from .streaming import windows  # noqa: F401
 

@@ -79,9 +79,9 @@ STATUS, FLAGS = ("F", "O", "P"), ("A", "N", "R")
 
 
 def order_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An order as a decision: the parts that it is about, its outcome, its status, and its lines' flags."""
-    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.concat(F.lit("part_"), "l_partkey"))).alias("subjects"), F.array_sort(F.collect_set("l_returnflag")).alias("flags"))
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("decision"), F.col("o_orderpriority").alias("outcome"), F.concat(F.lit("part_"), "o_custkey").alias("main"), "o_orderstatus")
+    """An order as a decision: the parts that it is about, its outcome, its status, and its lines' flags.  A status or a flag beyond the fixed lists is none."""
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.concat(F.lit("part_"), "l_partkey"))).alias("subjects"), F.array_sort(F.collect_set(F.when(F.col("l_returnflag").isin(*FLAGS), F.col("l_returnflag")))).alias("flags"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("decision"), F.col("o_orderpriority").alias("outcome"), F.concat(F.lit("part_"), "o_custkey").alias("main"), F.when(F.col("o_orderstatus").isin(*STATUS), F.col("o_orderstatus")).alias("o_orderstatus"))
     return o.join(li, F.col("decision") == F.col("l_orderkey"), "left").select("decision", "outcome", "main", "subjects", "o_orderstatus", "flags")
 
 

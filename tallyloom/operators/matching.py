@@ -127,7 +127,7 @@ def merge_winner_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").join(n, "o_orderkey", "left")
     flag = lambda x: F.when(F.expr(x), 1).otherwise(0)
     rungs = [
-        flag("o_orderstatus != 'P'"), flag("o_orderpriority = '1-URGENT'"), flag("o_totalprice >= 100000"), 6 - F.left("o_orderpriority", F.lit(1)).cast("int"), F.coalesce("n", F.lit(0)),
+        flag("o_orderstatus != 'P'"), flag("o_orderpriority = '1-URGENT'"), flag("o_totalprice >= 100000"), 6 - F.left("o_orderpriority", F.lit(1)).try_cast("int"), F.coalesce("n", F.lit(0)),
         F.least(F.length("o_orderpriority"), F.lit(100)) - F.when(F.col("o_orderpriority") == "3-MEDIUM", 50).otherwise(0),
     ]
     card = F.struct(*[r.alias(x) for r, x in zip(rungs, RUNGS)], (-F.col("o_orderkey")).alias("card"))

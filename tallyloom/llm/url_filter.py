@@ -104,11 +104,13 @@ class DigestIndex:
 _open: dict[str, DigestIndex] = {}
 
 
-def candidates(host: str, path: str, lengths: list[int]) -> list[tuple[str, str]]:
+def candidates(host: str, path: str, lengths: list[int], longest: int) -> list[tuple[str, str]]:
+    """The host and its domains with what the path begins with, of the lengths that the list has; none of more than ``longest`` letters, its longest
+    host, so that a host of very many labels costs no more than a short one."""
     if not host:
         return []
-    parts = host.split(".")
-    hosts = [".".join(parts[i:]) for i in range(len(parts))]
+    starts = [0, *(i + 1 for i, c in enumerate(host) if c == ".")]
+    hosts = [host[i:] for i in starts if len(host) - i <= longest]
     return [(h, path[:n]) for h in hosts for n in lengths if n <= len(path)]
 
 
@@ -149,7 +151,7 @@ def filter_urls(pages: DataFrame, entries: list[Entry], id_col: str = "page_id",
     urls = split_url(pages.select(id_col, url_col), url_col).select(id_col, "host", "path")
     if sum(_entry_bytes(h, p) for h, p, _ in entries) > max_index_bytes:
         return _sharded(urls, entries, id_col, max_index_bytes)
-    name = _ship(pages.sparkSession, pack(entries))
+    name, longest = _ship(pages.sparkSession, pack(entries)), max((len(h) for h, _, _ in entries), default=0)
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         path = SparkFiles.get(name)
@@ -157,7 +159,7 @@ def filter_urls(pages: DataFrame, entries: list[Entry], id_col: str = "page_id",
         for b in batches:
             owner, all_candidates = [], []
             for i, (host, path_) in enumerate(zip(b["host"], b["path"])):
-                found = candidates(host, path_, index.lengths)
+                found = candidates(host, path_, index.lengths, longest)
                 owner += [i] * len(found)
                 all_candidates += found
             hits: dict[int, list] = {}
@@ -174,13 +176,13 @@ def _sharded(urls: DataFrame, entries: list[Entry], id_col: str, max_index_bytes
     """The same search for a list too large to ship whole: candidates and entries are dealt by digest to shards, each of which
     packs its part of the list into a file, maps it and probes it."""
     spark = urls.sparkSession
-    lengths = sorted({len(p) for _, p, _ in entries})
+    lengths, longest = sorted({len(p) for _, p, _ in entries}), max(len(h) for h, _, _ in entries)
     size = sum(_entry_bytes(h, p) for h, p, _ in entries)
     asked = urls.select("host", "path").where("host != ''").distinct()
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(h, p, ch, cp, xxhash.xxh64_intdigest(ch + cp) % shards) for h, p in zip(b["host"], b["path"]) for ch, cp in candidates(h, p, lengths)]
+            rows = [(h, p, ch, cp, xxhash.xxh64_intdigest(ch + cp) % shards) for h, p in zip(b["host"], b["path"]) for ch, cp in candidates(h, p, lengths, longest)]
             yield pd.DataFrame(rows, columns=["host", "path", "c_host", "c_path", "shard"])
 
     # some candidates and some bytes of the list to a shard
@@ -196,11 +198,13 @@ def _sharded(urls: DataFrame, entries: list[Entry], id_col: str, max_index_bytes
                 file.write(pack(zip(listed["e_host"], listed["e_path"], listed["e_kind"].astype(int))))
                 file.flush()
                 for i, key, kind in DigestIndex(file.name).entries(list(zip(asked["c_host"], asked["c_path"]))):
-                    found.append((asked["host"].iat[i], asked["path"].iat[i], key, kind))
-        return pd.DataFrame(found, columns=["host", "path", "e_key", "e_kind"])
+                    found.append((asked["c_host"].iat[i], asked["c_path"].iat[i], key, kind))
+        return pd.DataFrame(found, columns=["c_host", "c_path", "e_key", "e_kind"])
 
     dealt_out = asked.mapInPandas(deal, "host string, path string, c_host string, c_path string, shard bigint")
-    hits = dealt_out.groupBy("shard").cogroup(listed.groupBy("shard")).applyInPandas(probe, "host string, path string, e_key string, e_kind int")
+    once = dealt_out.select("c_host", "c_path", "shard").distinct()  # a domain of many urls is looked up once
+    hits = once.groupBy("shard").cogroup(listed.groupBy("shard")).applyInPandas(probe, "c_host string, c_path string, e_key string, e_kind int")
+    hits = dealt_out.select("host", "path", "c_host", "c_path").join(hits, ["c_host", "c_path"])
     best = lambda of: F.max(F.when(of, F.struct(F.length("e_key").alias("n"), F.col("e_kind"), F.col("e_key"))))
     found = hits.groupBy("host", "path").agg(best(F.col("e_kind") != LISTED).alias("r"), best(F.col("e_kind") == LISTED).alias("l"))
     verdict = F.when(F.col("r").isNotNull(), F.when(F.col("r.e_kind") == BLOCK, "block").otherwise("allow")).when(F.col("l").isNotNull(), "block").otherwise("allow")

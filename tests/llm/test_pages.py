@@ -191,3 +191,10 @@ def test_warc_empty_and_repeated(spark, tmp_path):
     warc.write_archive(pages, str(tmp_path / "some"))
     got = sorted((str(r["record"]), r["record_type"], r["refers_to"]) for r in warc.read_archive(spark, str(tmp_path / "some")).collect())
     assert got == [("1", "response", None), ("1", "response", None), ("None", "revisit", 1)]
+
+
+def test_hosts_of_many_labels_cost_little():
+    host = "a." * 200_000 + "example.org"
+    found = url_filter.candidates(host, "/en/1", [0, 1], len("www.example.org"))
+    assert [h for h, p in found if p == ""] == ["a.a.example.org", "a.example.org", "example.org", "org"] and len(found) == 8
+    assert url_filter.candidates("", "/", [0], 9) == []

@@ -1,7 +1,8 @@
 """Transport anchors (what a source says of a flight, train or bus) matched with records, and folded into one anchor for each segment.
 
 A match is a ladder of eight rungs, any of which suffices.  Each rung implies that the two sides share some key: a clock time, a confirmation, a number
-that the other's text holds, or tokens.  Pairs come from one join by key for each of these and are then judged by the whole ladder, once each."""
+that the other's text holds, or tokens.  A small block's pairs are all judged; of a large one they come from one join by key for each of these, and are then
+judged by the whole ladder, once each."""
 
 from __future__ import annotations
 
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..plans.staging import staged
+from ..plans.staging import bucketed, partitions, staged
 from ..registry import query
 from ..sources.tables import table
 from .containment import SHORT_TIERS, contains_join
@@ -25,6 +26,8 @@ STOP = "and connection connecting final flight from home inbound leg outbound re
 GENERIC = r"^(?:flight|train|bus|ferry|transfer|drive|transport)(?:\s+(?:to|from)\s+[a-z0-9 ]+)?$"
 ANCHOR = "kind date departure_time arrival_time number provider confirmation departure arrival label".split()
 RUNGS = 8
+#: Pairs of a block and kind that are judged without a look at keys; larger blocks go by keys.
+PAIRS = 10_000
 
 
 def tokens(normal: Column) -> Column:
@@ -33,17 +36,19 @@ def tokens(normal: Column) -> Column:
 
 def prepared(df: DataFrame, id_: str, p: str) -> DataFrame:
     """Columns that the ladder needs, their names beginning with ``p``: of a table with block, ``id_`` and the columns of ``ANCHOR``."""
-    raw = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ANCHOR}
-    norm = {c: T.normalize(raw[c]) for c in ANCHOR}
-    route, text = (T.normalize(F.concat_ws(" ", *[raw[c] for c in cols])) for cols in (("label", "departure", "arrival"), ("label", "departure", "arrival", "provider", "confirmation")))
-    kind = norm["kind"]
+    d = df.select("block", id_, *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ANCHOR])
+    d = d.select("*", *[T.normalize(F.col(c)).alias(f"n_{c}") for c in ("kind", "date", "number", "provider", "confirmation", "departure", "arrival", "label")])
+    together = lambda *cols: F.concat_ws(" ", *[F.nullif(F.col(f"n_{c}"), F.lit("")) for c in cols])
+    route = ("label", "departure", "arrival")
+    d = d.select("*", together(*route).alias("route"), together(*route, "provider", "confirmation").alias("text"))
+    d = d.select("*", tokens(F.col("route")).alias("route_all"), tokens(F.col("text")).alias("text_all"))
+    kind, label = F.col("n_kind"), F.col("n_label")
     vague = [kind, F.concat(kind, F.lit(" home")), F.concat(F.lit("return "), kind), F.concat(F.lit("return "), kind, F.lit(" home")), F.concat(kind, F.lit(" return")), F.concat(F.lit("home "), kind), F.concat(F.lit("final "), kind), F.concat(kind, F.lit(" to"))]
     openings = [F.concat(F.lit(w), kind, F.lit(e)) for w, e in (("return ", " "), ("home ", " "), ("final ", " "), ("", " to "), ("", " from "))]
-    label = norm["label"]
     generic = reduce(Column.__or__, [label == v for v in vague] + [label.startswith(o) for o in openings] + [label.rlike(GENERIC)]) & (label != "") & (kind != "")
-    made = {**raw, **{f"n_{c}": norm[c] for c in ("date", "number", "confirmation", "departure", "arrival")}, "day": T.written_date(raw["date"]), "text": text, "generic": generic}
-    made |= {"route_tok": F.array_distinct(tokens(route)), "specific": F.size(tokens(route)) >= 2, "text_tok": F.array_distinct(tokens(text)), "full_tok": F.array_distinct(F.concat(tokens(text), tokens(norm["number"])))}
-    return df.select("block", F.col(id_), *[c.alias(f"{p}{n}") for n, c in made.items()])
+    made = {c: F.col(c) for c in (*ANCHOR, "n_date", "n_number", "n_confirmation", "n_departure", "n_arrival", "text")} | {"day": T.written_date(F.col("date")), "generic": generic}
+    made |= {"route_tok": F.array_distinct("route_all"), "specific": F.size("route_all") >= 2, "text_tok": F.array_distinct("text_all"), "full_tok": F.array_distinct(F.concat("text_all", tokens(F.col("n_number"))))}
+    return d.select("block", id_, *[c.alias(f"{p}{n}") for n, c in made.items()])
 
 
 def _place(a: Column, b: Column) -> Column:
@@ -74,15 +79,35 @@ def rung() -> Column:
     return F.when((c("a_kind") == c("r_kind")) & ~veto, ladder)
 
 
-def match_anchors(anchors: DataFrame, records: DataFrame) -> DataFrame:
+def match_anchors(anchors: DataFrame, records: DataFrame, n: int | None = None) -> DataFrame:
     """block, anchor, record and rung of every anchor (block, anchor, columns of ``ANCHOR``) and record (block, record, the same) of one block that match.
 
     A date that disagrees vetoes anchors with a time or a number; equal confirmations decide alone whether the rungs after them count.  A number
-    of signs alone is none.  Ids are unique; nulls are empty; a null block matches nothing.  A record's number is not looked at."""
-    a, r = staged(prepared(anchors, "anchor", "a_"), "anchors"), staged(prepared(records, "record", "r_"), "records")
+    of signs alone is none.  Ids are unique; nulls are empty; a null block matches nothing.  A record's number is not looked at.
+
+    Both are dealt out by block and kind once, in n buckets.  Where a block's anchors and records of a kind make no more than ``PAIRS`` pairs these are judged
+    as they are; of larger ones only pairs that share a key are."""
+    n, of_kind = n or partitions(anchors, records), ["block", "kind"]
+    dealt = lambda df, id_, p, name: bucketed(df.withColumn("kind", F.coalesce(F.col("kind").cast("string"), F.lit(""))), of_kind, n, name, lambda d: prepared(d, id_, p).withColumnRenamed(f"{p}kind", "kind"))
+    a, r = dealt(anchors, "anchor", "a_", "anchors"), dealt(records, "record", "r_", "records")
+    large = a.groupBy(*of_kind).agg(F.count("*").alias("a_n")).join(r.groupBy(*of_kind).agg(F.count("*").alias("r_n")).hint("merge"), of_kind).where(F.col("a_n") * F.col("r_n") > PAIRS).select(*of_kind)
+    whole = lambda a, r: a.withColumn("a_kind", F.col("kind")).join(r.withColumn("r_kind", F.col("kind")).hint("merge"), of_kind)
+    if large.isEmpty():
+        return judged(whole(a, r))
+    large = staged(large, "large-blocks")
+    of_large = [x.join(large, of_kind, "left_semi").withColumnRenamed("kind", f"{p}kind") for x, p in ((a, "a_"), (r, "r_"))]
+    return judged(whole(a.join(large, of_kind, "left_anti"), r)).union(by_keys(*of_large))
+
+
+def judged(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumn("rung", rung()).where("rung is not null").select("block", "anchor", "record", "rung")
+
+
+def by_keys(a: DataFrame, r: DataFrame) -> DataFrame:
+    """What ``match_anchors`` returns, of prepared anchors and records.  These are small as files and large in memory, so neither is sent to every task."""
     on = ["block", "kind", "key"]
     key = lambda df, id_, p, of: df.select("block", F.col(f"{p}kind").alias("kind"), of.alias("key"), id_)
-    equal = lambda x, y: key(a.where(F.col(f"a_{x}") != ""), "anchor", "a_", F.col(f"a_{y}")).join(key(r.where(F.col(f"r_{x}") != ""), "record", "r_", F.col(f"r_{y}")), on)
+    equal = lambda x, y: key(a.where(F.col(f"a_{x}") != ""), "anchor", "a_", F.col(f"a_{y}")).join(key(r.where(F.col(f"r_{x}") != ""), "record", "r_", F.col(f"r_{y}")).hint("merge"), on)
     pairs = [equal("departure_time", "departure_time"), equal("arrival_time", "arrival_time"), equal("confirmation", "n_confirmation")]
     # two tokens in common: one of them is not the anchor's most frequent
     of_record = key(r, "record", "r_", F.explode("r_text_tok"))
@@ -90,15 +115,14 @@ def match_anchors(anchors: DataFrame, records: DataFrame) -> DataFrame:
     of_anchor = key(a, "anchor", "a_", F.explode("a_full_tok")).join(seen, on)
     rare = of_anchor.groupBy("block", "kind", "anchor").agg(F.sort_array(F.collect_list(F.struct("seen", "key"))).alias("k"))
     rare = rare.where(F.size("k") > 1).select("block", "kind", "anchor", F.explode(F.expr("slice(k, 1, size(k) - 1)")["key"]).alias("key"))
-    pairs += [rare.join(of_record, on), key(a, "anchor", "a_", F.explode("a_route_tok")).join(key(r.where("r_generic"), "record", "r_", F.explode("r_route_tok")), on)]
+    pairs += [rare.join(of_record.hint("merge"), on), key(a, "anchor", "a_", F.explode("a_route_tok")).join(key(r.where("r_generic"), "record", "r_", F.explode("r_route_tok")).hint("merge"), on)]
     within = F.struct("block", "kind").alias("within")
     numbers = key(a.where("a_n_number != ''"), "anchor", "a_", F.col("a_n_number"))
     texts = key(r, "record", "r_", F.col("r_text"))
     held = contains_join(numbers.select(within, F.col("key").alias("value")), texts.select(within, F.col("record").alias("id"), F.col("key").alias("text")), SHORT_TIERS, by="within")
     pairs.append(numbers.join(held.select("within.block", "within.kind", F.col("value").alias("key"), F.col("id").alias("record")), on))
     once = reduce(DataFrame.union, [p.select("block", "anchor", "record") for p in pairs]).distinct()
-    judged = once.join(a, ["block", "anchor"]).join(r, ["block", "record"]).withColumn("rung", rung())
-    return judged.where("rung is not null").select("block", "anchor", "record", "rung")
+    return judged(once.join(a.hint("merge"), ["block", "anchor"]).join(r.hint("merge"), ["block", "record"]))
 
 
 # --- one anchor for each segment ---------------------------------------------------------------------------
@@ -312,15 +336,17 @@ def _kind(c: Column) -> Column:
 
 
 def trip_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    # repeated line items go while they lie by order
+    li = table(spark, sf_dir, "lineitem").repartition("l_orderkey").dropDuplicates(["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").repartition("o_orderkey").distinct()
+    s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).dropDuplicates(["s_suppkey"])
     j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(s.select("s_suppkey", "n_name", "r_name"), F.col("l_suppkey") == F.col("s_suppkey"))
     kind = _kind(F.col("l_returnflag"))
     return j.select(
         F.col("o_custkey").alias("block"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("anchor"), kind.alias("kind"), F.when(F.col("l_discount") < 0.08, F.to_date("l_shipdate").cast("string")).alias("date"),
         _clock(F.col("l_extendedprice"), 3).alias("departure_time"), _clock(F.col("l_extendedprice") / 24, 3).alias("arrival_time"), F.when(F.col("l_tax") < 0.02, F.col("l_suppkey").cast("string")).alias("number"),
         F.lit("").alias("provider"), F.when(F.col("l_discount") < 0.05, F.col("l_orderkey").cast("string")).alias("confirmation"), F.col("n_name").alias("departure"), F.when(F.col("l_quantity") > 25, F.col("r_name")).alias("arrival"), F.concat(kind, F.lit(" from "), "n_name").alias("label"), F.col("l_linestatus").alias("evidence"),
-    ).dropDuplicates(["block", "anchor"])
+    )
 
 
 def trip_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -359,7 +385,7 @@ m AS (SELECT block, anchor, record, CASE WHEN dep_ok AND arr_ok THEN 1 WHEN (dep
 @query(f"{MATCH_SQL} SELECT block AS trip, record, rung, count(*) AS n_anchors, CAST(min(anchor[2]) AS INTEGER) AS least_line FROM m WHERE rung IS NOT NULL GROUP BY ALL")
 def anchor_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each order, as a record, how many line items match it, by the rung they stand on."""
-    found = match_anchors(trip_anchors(spark, sf_dir), trip_records(spark, sf_dir))
+    found = match_anchors(trip_anchors(spark, sf_dir), trip_records(spark, sf_dir), partitions(table(spark, sf_dir, "lineitem")))
     return found.groupBy(F.col("block").alias("trip"), "record", "rung").agg(F.count("*").alias("n_anchors"), F.min("anchor.l_linenumber").alias("least_line"))
 
 

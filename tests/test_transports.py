@@ -39,6 +39,18 @@ def test_pairs_equal_all_pairs(spark, anchors):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_small_and_large_blocks(spark, anchors, monkeypatch):
+    a, r = anchors.where("pos % 2 = 0").withColumnRenamed("pos", "anchor"), anchors.where("pos % 2 = 1").withColumnRenamed("pos", "record")
+    want = X.match_anchors(a, r)
+    # no block is small, some are: the same pairs, by keys too
+    for most in (0, 2):
+        monkeypatch.setattr(X, "PAIRS", most)
+        assert sorted(X.match_anchors(a, r).collect(), key=str) == sorted(want.collect(), key=str)
+    # blocks lie together: nothing of a small one is shuffled to be matched, or sent anywhere
+    plan = want._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 def segments(anchors):
     by = {}
     for row in sorted((r.asDict(recursive=True) for r in X.segments_ready(anchors).collect()), key=lambda r: (r["block"], r["pos"])):

@@ -9,8 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..plans.staging import staged
-from ..plans.trips import items
+from ..plans.staging import bucketed, partitions
 from ..registry import query
 from ..sources.tables import table
 
@@ -22,7 +21,8 @@ PROPOSAL, CITY_NOTE, CITY_REFERENCE = "grouping_proposal", "city_note_candidate"
 def _ready(candidates: DataFrame) -> DataFrame:
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     flag = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
-    city = T.normalize(F.col("city"))
+    candidates = candidates.withColumn("__city", T.normalize(F.col("city")))
+    city = F.col("__city")
     labels = F.filter(F.array_distinct(F.transform(F.coalesce("labels", F.array().cast("array<string>")), T.normalize)), lambda x: x != "")
     return candidates.select(
         "block", "candidate", text("identity").alias("identity"), text("date").alias("date"), F.when(city == "", "unknown-city").otherwise(city).alias("city"), (text("city") != "").alias("placed"), T.normalize(F.col("title")).alias("title"), text("role").alias("role"), text("section_type").alias("section_type"),
@@ -35,36 +35,43 @@ def _first(df: DataFrame, key: list[str], n: int) -> DataFrame:
     return df.withColumn("__at", F.row_number().over(W.partitionBy(*key).orderBy("seq"))).where(F.col("__at") <= n).drop("__at")
 
 
-def proposal_members(c: DataFrame, most: int) -> DataFrame:
-    """block, key, first, candidate, seq, place of proposals' windows: the proposal, then candidates of its source in its scope.
+def proposal_members(c: DataFrame, most: int, n: int) -> DataFrame:
+    """block, key, first, candidate, seq, place of proposals' windows: the proposal, then candidates of its source in its scope.  c is in n buckets of block.
 
     In scope are candidates that share a source block, a label or the day, unless their days or cities are both given and differ.  All of
     a group with one day and city are in scope or none, so a group's first candidates are all that a window can take of it."""
     home = ["block", "identity"]
     p = c.where(F.col("role") == PROPOSAL).select(*home, F.col("candidate").alias("key"), F.col("seq").alias("first"), F.col("date").alias("p_date"), F.col("city").alias("p_city"), F.col("placed").alias("p_placed"), "blocks", "labels")
     scope = ((F.col("p_date") == "") | (F.col("date") == "") | (F.col("p_date") == F.col("date"))) & (~F.col("p_placed") | ~F.col("placed") | (F.col("p_city") == F.col("city"))) & (F.col("key") != F.col("candidate"))
-    keep = [*home, "candidate", "seq", "date", "city", "placed"]
+    keep = [*home, "seq", "date", "city", "placed", "role"]
     group = ["date", "city", "placed"]
-    dated = _first(c.where("date != ''").select(*keep), [*home, *group], most + 1).withColumn("of", F.col("date"))
+
+    def asked(df: DataFrame) -> DataFrame:
+        """The first of each group that some proposal of the source may take from; windows, as rows lie by block."""
+        there = df.withColumn("__asked", F.max((F.col("role") == PROPOSAL).cast("int")).over(W.partitionBy(*home, "of"))).where("__asked = 1")
+        return _first(there.drop("__asked", "role"), [*home, "of", *group], most + 1).withColumn("candidate", F.col("seq.candidate"))
+
+    dated = asked(c.where("date != ''").select(*keep, F.col("date").alias("of")))
     found = [p.where("p_date != ''").withColumn("of", F.col("p_date")).join(dated, [*home, "of"]).drop("of")]
     for many in ("blocks", "labels"):
-        of = _first(c.select(*keep, F.explode(F.array_distinct(many)).alias("of")), [*home, "of", *group], most + 1)
+        of = asked(c.select(*keep, F.explode(F.array_distinct(many)).alias("of")))
         found.append(p.withColumn("of", F.explode(F.array_distinct(many))).join(of, [*home, "of"]).drop("of"))
     shown = ["block", "key", "first", "candidate", "seq"]
-    others = reduce(DataFrame.union, [f.where(scope).select(*shown) for f in found]).distinct().withColumn("place", F.lit(1))
+    others = reduce(DataFrame.union, [f.where(scope).select(*shown) for f in found]).repartition(n, "block").distinct().withColumn("place", F.lit(1))
     itself = p.select("block", "key", "first", F.col("key").alias("candidate"), F.col("first").alias("seq"), F.lit(0).alias("place"))
     return others.union(itself)
 
 
-def windows(candidates: DataFrame, most: int = MEMBERS, total: int = WINDOWS) -> DataFrame:
+def windows(candidates: DataFrame, most: int = MEMBERS, total: int = WINDOWS, n: int | None = None) -> DataFrame:
     """block, place (from 1), family, key and members (in order) of each trip's windows.
 
     Candidates have block, candidate, identity, date, city, title, role, section_type, has_time, has_booking, has_plan, has_recommendation, stage,
     item, blocks and labels.  Families, in order: a grouping proposal with its scope; a day and city of a source with a candidate whose role is
     open (of a city's reference or notes, a recommendation, or loose on a crowded day); two of a day and city that share a source block; a title
     on two days.  A window shows its first 24 (the rule's own), windows of the same members are one, and a trip has its first 30.
-    Candidate ids are unique within a block and not null; other nulls are empty."""
-    c = staged(_ready(candidates), "candidates")
+    Candidate ids are unique within a block and not null; other nulls are empty.  Candidates are dealt out by block once, in n buckets."""
+    n = n or partitions(candidates)
+    c = bucketed(candidates, ["block"], n, "candidates", _ready)
     day = ["block", "identity", "date", "city"]
     name = F.concat_ws("|", "identity", F.when(F.col("date") == "", "undated").otherwise(F.col("date")), "city")
     rows = []
@@ -72,25 +79,29 @@ def windows(candidates: DataFrame, most: int = MEMBERS, total: int = WINDOWS) ->
     def add(family: int, df: DataFrame, place: Column = F.lit(0)) -> None:
         rows.append(df.select("block", F.lit(family).alias("family"), "key", "first", "candidate", "seq", place.alias("place")))
 
-    add(1, proposal_members(c, most), F.col("place"))
+    add(1, proposal_members(c, most, n), F.col("place"))
 
     loose = ~F.col("has_time") & ~F.col("has_booking") & ~F.col("has_plan")
     fixed = F.col("has_time") | F.col("has_booking") | F.col("has_plan")
     open_ = (F.col("section_type") == CITY_REFERENCE) | (F.col("role") == CITY_NOTE) | F.col("has_recommendation")
-    days = c.groupBy(*day).agg(F.count("*").alias("n"), F.count_if(fixed).alias("n_fixed"), F.min(F.when(open_, F.col("seq"))).alias("open"), F.min(F.when(loose, F.col("seq"))).alias("loose"))
+    # what a group is worth goes to its rows by windows: these need no shuffle where rows lie by block
+    of_day, least = W.partitionBy(*day), lambda when: F.min(F.when(when, F.col("seq")))
+    days = c.select(*day, "candidate", "seq", F.count("*").over(of_day).alias("n"), F.count_if(fixed).over(of_day).alias("n_fixed"), least(open_).over(of_day).alias("open"), least(loose).over(of_day).alias("loose"))
     crowded = F.when((F.col("n") >= CROWDED) & (F.col("n_fixed") >= FIXED), F.col("loose"))
     role = days.withColumn("first", F.array_min(F.array_compact(F.array("open", crowded)))).where("first is not null")
-    add(2, _first(c, day, most).join(role.select(*day, "first"), day).withColumn("key", name))
+    add(2, _first(role, day, most).withColumn("key", name))
 
     solid = c.where((F.col("role") != PROPOSAL) & (F.col("section_type") != CITY_REFERENCE)).select(*day, "candidate", "seq", F.posexplode("blocks").alias("pos", "of"))
-    shared = solid.groupBy(*day, "of").agg(F.count("*").alias("n"), F.min(F.struct("seq", "pos")).alias("at")).where("n > 1")
-    own = _first(solid.groupBy(*day, "of", "candidate").agg(F.min("seq").alias("seq")), [*day, "of"], most)
-    third = own.join(shared, [*day, "of"]).withColumn("key", F.concat_ws("|", name, "of"))
+    of_part = W.partitionBy(*day, "of")
+    shared = solid.withColumn("n", F.count("*").over(of_part)).withColumn("at", F.min(F.struct("seq", "pos")).over(of_part)).where("n > 1 and of is not null")
+    own = _first(shared.groupBy(*day, "of", "candidate").agg(F.min("seq").alias("seq"), F.min("at").alias("at")), [*day, "of"], most)
+    third = own.withColumn("key", F.concat_ws("|", name, "of"))
     rows.append(third.select("block", F.lit(3).alias("family"), "key", F.col("at.seq").alias("first"), "candidate", "seq", F.lit(0).alias("place"), F.col("at.pos").alias("pos")))
 
     titled = ["block", "identity", "title"]
-    twice = c.groupBy(*titled).agg(F.count_distinct("date").alias("n"), F.min("seq").alias("first")).where("n > 1")
-    add(4, _first(c, titled, most).join(twice.select(*titled, "first"), titled).withColumn("key", F.concat_ws("|", "identity", "title")))
+    of_title = W.partitionBy(*titled)
+    twice = c.select(*titled, "candidate", "seq", F.min("date").over(of_title).alias("lo"), F.max("date").over(of_title).alias("hi"), F.min("seq").over(of_title).alias("first")).where("lo < hi")
+    add(4, _first(twice, titled, most).withColumn("key", F.concat_ws("|", "identity", "title")))
 
     whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows).withColumn("pos", F.coalesce("pos", F.lit(0)))
     window = ["block", "family", "key", "first", "pos"]
@@ -121,18 +132,24 @@ _CANDIDATES_SQL = f"""c AS MATERIALIZED (SELECT DISTINCT ON (o_custkey, {_ID}) o
 
 def trip_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A customer's line items as candidates of its trip, their orders' priority as the source they come from."""
-    li = items(spark, sf_dir).withColumnRenamed("trip", "block").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("identity")), "l_orderkey")
-    s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), "n_name")
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type")
-    j = li.join(s, "l_suppkey").join(p, "l_partkey")
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    by = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+    # repeated line items go while they lie by order; then rows are narrow until they have all they need
+    li = table(spark, sf_dir, "lineitem").repartition("l_orderkey").groupBy(*keys).agg(F.min(F.struct(*by)).alias("by")).select(*keys, "by.*")
+    o = table(spark, sf_dir, "orders").repartition("o_orderkey").groupBy(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("block")).agg(F.min("o_orderpriority").alias("identity"))
     role = F.when(F.col("l_quantity") >= 46, PROPOSAL).when(F.col("l_discount") >= 0.09, CITY_NOTE)
-    made = j.select(
-        "block", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("candidate"), "identity", F.concat_ws("-", F.year("l_shipdate"), F.quarter("l_shipdate")).alias("date"), F.col("n_name").alias("city"), F.col("p_brand").alias("title"),
-        role.alias("role"), F.when(F.col("l_tax") >= 0.08, CITY_REFERENCE).alias("section_type"), (F.col("l_tax") > 0.04).alias("has_time"), (F.col("l_returnflag") == "R").alias("has_booking"), (F.col("l_linestatus") == "O").alias("has_plan"), (F.col("l_discount") < 0.01).alias("has_recommendation"),
-        F.col("l_orderkey").alias("stage"), F.col("l_linenumber").alias("item"), F.array(F.concat(F.lit("s"), "l_suppkey")).alias("blocks"), F.array("p_type").alias("labels"), F.struct("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate").alias("by"),
+    made = li.join(o, "l_orderkey").select(
+        "block", *keys, "identity", F.concat_ws("-", F.year("l_shipdate"), F.quarter("l_shipdate")).alias("date"), role.alias("role"), F.when(F.col("l_tax") >= 0.08, CITY_REFERENCE).alias("section_type"),
+        (F.col("l_tax") > 0.04).alias("has_time"), (F.col("l_returnflag") == "R").alias("has_booking"), (F.col("l_linestatus") == "O").alias("has_plan"), (F.col("l_discount") < 0.01).alias("has_recommendation"),
+    )
+    s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).groupBy(F.col("s_suppkey").alias("l_suppkey")).agg(F.min("n_name").alias("city"))
+    p = table(spark, sf_dir, "part").groupBy(F.col("p_partkey").alias("l_partkey")).agg(F.min(F.struct("p_brand", "p_type")).alias("p"))
+    j = made.join(s, "l_suppkey").join(p, "l_partkey")
+    flags = ["has_time", "has_booking", "has_plan", "has_recommendation"]
+    return j.select(
+        "block", F.concat_ws("-", *keys).alias("candidate"), "identity", "date", "city", F.col("p.p_brand").alias("title"), "role", "section_type", *flags, F.col("l_orderkey").alias("stage"), F.col("l_linenumber").alias("item"),
+        F.array(F.concat(F.lit("s"), "l_suppkey")).alias("blocks"), F.array("p.p_type").alias("labels"),
     )
-    columns = [x for x in made.columns if x not in ("block", "candidate", "by")]
-    return made.groupBy("block", "candidate").agg(F.min_by(F.struct(*columns), "by").alias("r")).select("block", "candidate", "r.*")
 
 
 _NAME = "identity || '|' || date || '|' || city"
@@ -156,7 +173,7 @@ SELECT block AS trip, CAST(row_number() OVER (PARTITION BY block ORDER BY family
 @query(_WINDOWS_SQL)
 def candidate_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The windows of each customer's line items.  The city is always given, so a proposal's scope is its source's day and city."""
-    found = windows(trip_candidates(spark, sf_dir))
+    found = windows(trip_candidates(spark, sf_dir), n=partitions(table(spark, sf_dir, "lineitem")))
     return found.select(F.col("block").alias("trip"), "place", "family", "key", F.array_join("members", ",").alias("members"))
 
 

@@ -86,3 +86,20 @@ def test_windows_equal_the_rule(spark, most, total):
         assert {r["block"]: r["ambiguous"] for r in R.ambiguous(df).collect()} == gates and len(set(gates.values())) == 2
         none = df.where("stage < 0")
         assert R.windows(none).count() == 0 and R.ambiguous(none).count() == 0
+
+
+def shuffles(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "hashpartitioning(" in line]
+
+
+def test_candidates_are_dealt_out_once(spark):
+    """By block; after that only what proposals ask for is shuffled, and no window or group of candidates."""
+    row = ("t", "c", "s", "d1", "Brno", "Lunch", "grouping_proposal", "", True, False, False, False, 1, 1, ["b"], ["l"])
+    moved = shuffles(R.windows(spark.createDataFrame([row], SCHEMA)))
+    assert len(moved) <= 7 and all("of#" in m or "REPARTITION_BY_NUM" in m for m in moved), moved
+
+
+def test_ambiguity_reads_only_what_it_looks_at(spark):
+    plan = R.ambiguous_trips(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "o_orderpriority" not in plan and "has_plan" not in plan

@@ -28,6 +28,8 @@ ANCHOR = "kind date departure_time arrival_time number provider confirmation dep
 RUNGS = 8
 #: Pairs of a block and kind that are judged without a look at keys; larger blocks go by keys.
 PAIRS = 10_000
+#: Anchors of a block and kind that one fold takes as they are; more are split into sets that may meet.
+FOLD = 256
 
 
 def tokens(normal: Column) -> Column:
@@ -253,15 +255,17 @@ _OUT = [*ANCHOR, "evidence", "members"]
 
 
 def segments_ready(anchors: DataFrame) -> DataFrame:
-    """Anchors with what the fold looks at: normalised values, days, and the worth of endpoints."""
-    raw = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (*ANCHOR, "evidence")}
-    day = T.written_date(raw["date"])
-    a = prepared(anchors.withColumn("__id", F.struct("block", "pos")), "__id", "a_")
-    ends = {x: T.normalize(raw[x]) for x in ("departure", "arrival")}
-    made = {**raw, **{f"n_{c}": T.normalize(raw[c]) for c in ANCHOR}, "iso": F.coalesce(day["iso"], F.lit("")), "md": F.coalesce(day["md"], F.lit(""))}
-    made |= {f"q_{x}": endpoint_quality(n) for x, n in ends.items()} | {f"weak_{x}": (n == "") | n.rlike(WEAK_ENDPOINT) for x, n in ends.items()}
-    more = a.select(F.col("__id.block").alias("block"), F.col("__id.pos").alias("pos"), F.col("a_generic").alias("generic"), F.col("a_full_tok").alias("full_tok"), F.col("a_text").alias("text_"))
-    return anchors.select("block", "pos", *[c.alias(n) for n, c in made.items()]).join(more, ["block", "pos"])
+    """Anchors with what the fold looks at: normalised values, days, and the worth of endpoints.  Those without a block or place are left out."""
+    a = anchors.where(F.col("block").isNotNull() & F.col("pos").isNotNull())
+    a = prepared(a.withColumn("__id", F.struct("pos", F.coalesce(F.col("evidence").cast("string"), F.lit("")).alias("evidence"))), "__id", "a_")
+    ready = ("date", "number", "confirmation", "departure", "arrival")
+    n = {c: F.col(f"a_n_{c}") if c in ready else T.normalize(F.col(f"a_{c}")) for c in ANCHOR}
+    made = {**{c: F.col(f"a_{c}") for c in ANCHOR}, "evidence": F.col("__id.evidence"), **{f"n_{c}": x for c, x in n.items()}}
+    made |= {"iso": F.coalesce("a_day.iso", F.lit("")), "md": F.coalesce("a_day.md", F.lit(""))}
+    for x in ("departure", "arrival"):
+        made |= {f"q_{x}": endpoint_quality(n[x]), f"weak_{x}": (n[x] == "") | n[x].rlike(WEAK_ENDPOINT)}
+    made |= {"generic": F.col("a_generic"), "full_tok": F.col("a_full_tok"), "text_": F.col("a_text")}
+    return a.select("block", F.col("__id.pos").alias("pos"), *[c.alias(x) for x, c in made.items()])
 
 
 def may_meet(ready: DataFrame) -> DataFrame:
@@ -292,14 +296,24 @@ def may_meet(ready: DataFrame) -> DataFrame:
     return at.select(node.alias("node")).join(roots, "node", "left").select("node.block", "node.pos", F.coalesce("root.pos", "node.pos").alias("root"))
 
 
-def canonical_anchors(anchors: DataFrame) -> DataFrame:
+def canonical_anchors(anchors: DataFrame, n: int | None = None) -> DataFrame:
     """block, pos (of the first member), the columns of ``ANCHOR``, evidence and members of each segment of anchors (block, pos, those, evidence).
 
-    Which anchor an earlier one has become decides what the next meets, so this is a fold in order of pos; it runs apart for each set of anchors
-    that may meet, and a task holds the segments of one such set at a time.  pos is unique within a block; nulls are empty."""
-    ready = segments_ready(anchors)
+    Which anchor an earlier one has become decides what the next meets, so this is a fold in order of pos.  Anchors are dealt out by block and kind once,
+    in n buckets, and anchors of different kinds never meet: those of a block and kind are one fold.  Where these are more than ``FOLD`` it runs
+    apart for each set of them that may meet.  A task holds the segments of one fold at a time.  pos is unique within a block; nulls are empty."""
+    n, of_kind = n or partitions(anchors), ["block", "kind"]
+    ready = bucketed(anchors.withColumn("kind", F.coalesce(F.col("kind").cast("string"), F.lit(""))), of_kind, n, "segments", segments_ready)
     types = dict(ready.dtypes)
-    rows = ready.join(may_meet(ready), ["block", "pos"]).drop("full_tok", "text_")
+    bare = ready.drop("full_tok", "text_")
+    large = ready.groupBy(*of_kind).agg(F.count("*").alias("n")).where(F.col("n") > FOLD).select(*of_kind)
+    if large.isEmpty():
+        parts = [bare.withColumn("root", F.lit(""))]
+    else:
+        large = staged(large, "large-blocks")
+        split = ready.join(large, of_kind, "left_semi")
+        rows = split.drop("full_tok", "text_").join(may_meet(split).hint("merge"), ["block", "pos"]).select(*bare.columns, F.to_json(F.struct("root")).alias("root"))
+        parts = [bare.join(large, of_kind, "left_anti").withColumn("root", F.lit("")), rows.repartition(n, *of_kind, "root")]
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def done(segments: list[Segment]) -> pd.DataFrame:
@@ -308,7 +322,7 @@ def canonical_anchors(anchors: DataFrame) -> DataFrame:
         at, held = None, []
         for b in batches:
             for row in b.to_dict("records"):
-                if (here := (row["block"], row["root"])) != at:
+                if (here := (row["block"], row["kind"], row["root"])) != at:
                     if held:
                         yield done(held)
                     at, held = here, []
@@ -317,7 +331,7 @@ def canonical_anchors(anchors: DataFrame) -> DataFrame:
             yield done(held)
 
     schema = f"block {types['block']}, pos {types['pos']}, " + ", ".join(f"{c} {'int' if c == 'members' else 'string'}" for c in _OUT)
-    return rows.repartition("block", "root").sortWithinPartitions("block", "root", "pos").mapInPandas(fold, schema)
+    return reduce(DataFrame.union, [p.sortWithinPartitions(*of_kind, "root", "pos").mapInPandas(fold, schema) for p in parts])
 
 
 # --- on the driver's tables: a line item is an anchor, an order a record -----------------------------------
@@ -392,4 +406,4 @@ def anchor_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def canonical_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The segments of each customer's line items, folded in order of key and line."""
-    return canonical_anchors(trip_anchors(spark, sf_dir).withColumnRenamed("anchor", "pos")).select(F.col("block").alias("trip"), "pos.l_orderkey", "pos.l_linenumber", "kind", "date", "departure_time", "departure", "arrival", "label", "members")
+    return canonical_anchors(trip_anchors(spark, sf_dir).withColumnRenamed("anchor", "pos"), partitions(table(spark, sf_dir, "lineitem"))).select(F.col("block").alias("trip"), "pos.l_orderkey", "pos.l_linenumber", "kind", "date", "departure_time", "departure", "arrival", "label", "members")

@@ -80,6 +80,15 @@ def test_split_fold_equals_one_fold(spark, anchors):
     assert X.canonical_anchors(none).count() == 0
 
 
+def test_small_folds_and_split_ones(spark, anchors, monkeypatch):
+    some = anchors.where("block < 'b3'")
+    want = X.canonical_anchors(some)
+    plan = want._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan  # a small fold needs no sets that may meet
+    monkeypatch.setattr(X, "FOLD", 2)
+    assert sorted(X.canonical_anchors(some).collect(), key=str) == sorted(want.collect(), key=str)
+
+
 def test_better_endpoints(spark):
     names = ["", "travel to Brno", "Brno", "Old Town", "VIE", "Praha hl nadrazi"]
     rows = spark.createDataFrame([(n,) for n in names], "x string").select(X.endpoint_quality(T.normalize(F.col("x")))).collect()

@@ -16,10 +16,12 @@ def legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_custkey").alias("trip"), F.col("o_orderkey").alias("leg"), F.to_date("o_orderdate").alias("arrive"), F.to_date(F.lead("o_orderdate").over(w)).alias("leave"))
 
 
-def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """trip, leg, day and what else an item has: line items with their order's customer."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("trip"))
+def items(spark: SparkSession, sf_dir: str, n: int | None = None, *of_order: str) -> DataFrame:
+    """trip, leg, day and what else an item has: line items with their order's customer, and more columns of it; with n dealt out by order into n parts."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("trip"), *of_order)
     i = table(spark, sf_dir, "lineitem").withColumn("day", F.to_date("l_shipdate"))
+    if n:
+        o, i = o.repartition(n, "o_orderkey"), i.repartition(n, "l_orderkey")
     return i.join(o, i["l_orderkey"] == o["o_orderkey"]).drop("o_orderkey")
 
 

@@ -3,12 +3,14 @@
 import datetime
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
 
 from tallyloom import registry
 from tallyloom.operators import coverage, resolve
+from tallyloom.plans import staging
 from tallyloom.streaming import windows
 
 registry.load_all()
@@ -234,3 +236,14 @@ def test_pairs_near_the_poles_and_the_date_line(spark):
     for radius in (300.0, 2500.0):
         got = sorted((r["a"], r["b"]) for r in geo.radius_pairs(df, radius, "label").collect())
         assert got == sorted((a[0], b[0]) for a in points for b in points if a[0] < b[0] and a[1] == b[1] and km(a, b) <= radius)
+
+
+@pytest.mark.parametrize("name", ["greedy_assignment", "best_unique_match"])
+def test_parts_grow_with_lines(spark, monkeypatch, name):
+    """Every exchange has as many parts as lines call for, so that a task's share stays."""
+    monkeypatch.setattr(staging, "ROWS", 500)
+    sf_dir = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // 500 + 1
+    plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"Exchange hashpartitioning\(.*, (\d+)\)", plan)
+    assert n > 4 and dealt and set(dealt) == {str(n)}

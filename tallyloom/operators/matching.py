@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.staging import partitions
 from ..plans.trips import ITEMS_SQL, LEGS_SQL, items, legs
 from ..registry import query
 from ..sources.tables import table
@@ -24,11 +25,14 @@ SELECT trip, day, l_orderkey, l_linestatus, home, max(score) AS score, CAST(coun
 def best_unique_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each candidate item the record of its trip and day that agrees best; none if several do.  The day agrees by the
     join (4), the kind (2) and the place (8) may; one of these must.  Records of a day and kind are one row: which is best depends
-    on no more."""
+    on no more.  Each join and group has as many parts as lines call for, so a task's share stays."""
+    n = partitions(table(spark, sf_dir, "lineitem"))
     home = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
     trip = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("trip"), "c_nationkey")
-    c = items(spark, sf_dir).join(home, "l_suppkey").join(trip, "trip").select("trip", "day", "l_orderkey", "l_linestatus", (F.col("s_nationkey") == F.col("c_nationkey")).alias("home")).distinct()
-    r = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("trip"), F.to_date("o_orderdate").alias("day"), "o_orderstatus").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("record"))
+    i = items(spark, sf_dir, n).select("trip", "day", "l_orderkey", "l_linestatus", "l_suppkey")
+    c = i.repartition(n, "l_suppkey").join(home, "l_suppkey").repartition(n, "trip").join(trip, "trip").select("trip", "day", "l_orderkey", "l_linestatus", (F.col("s_nationkey") == F.col("c_nationkey")).alias("home"))
+    c = c.repartition(n, "trip", "day").distinct()
+    r = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("trip"), F.to_date("o_orderdate").alias("day"), "o_orderstatus", "o_orderkey").repartition(n, "trip", "day").groupBy("trip", "day", "o_orderstatus").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("record"))
     same = F.col("o_orderstatus") == F.col("l_linestatus")
     score = F.lit(4) + F.when(same, 2).otherwise(0) + F.when(F.col("home"), 8).otherwise(0)
     candidate = ["trip", "day", "l_orderkey", "l_linestatus", "home"]

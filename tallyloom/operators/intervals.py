@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.staging import partitions, staged
 from ..plans.trips import ITEMS_SQL, LEGS_SQL, STAYS_SQL, items, legs, stays
 from ..registry import query
 from ..sources.tables import table
@@ -113,14 +114,19 @@ m AS (SELECT d.trip, d.l_orderkey, d.day, d.n, min(stay) AS stay FROM d JOIN sta
 SELECT stay, sum(n)::BIGINT AS n_items FROM m GROUP BY stay""")
 def stay_collision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items that fall in another order's stay, both ends counted; the first stay takes them.  Days meet the stays of their
-    stretch of ``STRETCH`` days only, and items their day's first stay, or if that is their own the first of the others."""
-    items_ = items(spark, sf_dir).groupBy("trip", "l_orderkey", "day").agg(F.count("*").alias("n"))
+    stretch of ``STRETCH`` days only, and items their day's first stay, or if that is their own the second.  Lines are dealt out once by
+    order, which gives items and stays, and all else has as many parts as lines call for."""
+    n = partitions(table(spark, sf_dir, "lineitem"))
+    all_ = items(spark, sf_dir, n, "o_orderdate").withColumn("check_in", F.to_date("o_orderdate")).groupBy("l_orderkey", "trip", "check_in", "day").agg(F.count("*").alias("n"))
+    all_ = staged(all_, "items")
     stretch = lambda c: F.floor(F.unix_date(c) / STRETCH)
-    s = stays(spark, sf_dir).where("check_in <= check_out").select("trip", "stay", "check_in", "check_out", F.explode(F.sequence(stretch("check_in"), stretch("check_out"))).alias("stretch"))
-    held = F.col("day").between(F.col("check_in"), F.col("check_out"))
-    days = items_.select("trip", "day", stretch("day").alias("stretch")).distinct()
-    first = days.join(s, ["trip", "stretch"]).where(held).groupBy("trip", "day").agg(F.min("stay").alias("stay"))
-    met = items_.join(first, ["trip", "day"])
-    own = met.where("stay = l_orderkey").select("trip", "day", "n", F.col("stay").alias("own"), stretch("day").alias("stretch"))
-    second = own.join(s, ["trip", "stretch"]).where(held & (F.col("stay") != F.col("own"))).groupBy("trip", "day", "own").agg(F.min("stay").alias("stay"), F.first("n").alias("n"))
-    return met.where("stay != l_orderkey").select("stay", "n").union(second.select("stay", "n")).groupBy("stay").agg(F.sum("n").alias("n_items"))
+    s = all_.repartition(n, "l_orderkey").groupBy("l_orderkey", "trip", "check_in").agg(F.max("day").alias("check_out")).where("check_in <= check_out")
+    s = s.select("trip", F.col("l_orderkey").alias("stay"), "check_in", "check_out", F.explode(F.sequence(stretch("check_in"), stretch("check_out"))).alias("stretch"))
+    items_ = all_.where("day is not null").select("trip", "l_orderkey", "day", "n")
+    days = items_.select("trip", "day", stretch("day").alias("stretch")).repartition(n, "trip", "stretch").distinct()
+    held = days.join(s.repartition(n, "trip", "stretch"), ["trip", "stretch"]).where(F.col("day").between(F.col("check_in"), F.col("check_out"))).select("trip", "stretch", "day", "stay")
+    two = held.withColumn("nth", F.dense_rank().over(W.partitionBy("trip", "stretch", "day").orderBy("stay"))).where("nth <= 2")
+    two = two.groupBy("trip", "stretch", "day").agg(F.min("stay").alias("stay"), F.max("stay").alias("next"))
+    met = items_.repartition(n, "trip", "day").join(two.select("trip", "day", "stay", "next").repartition(n, "trip", "day"), ["trip", "day"])
+    met = met.select(F.when(F.col("stay") != F.col("l_orderkey"), F.col("stay")).otherwise(F.col("next")).alias("stay"), "l_orderkey", "n").where("stay != l_orderkey")
+    return met.groupBy("stay").agg(F.sum("n").alias("n_items"))

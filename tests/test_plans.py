@@ -247,3 +247,9 @@ def test_parts_grow_with_lines(spark, monkeypatch, name):
     plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     dealt = re.findall(r"Exchange hashpartitioning\(.*, (\d+)\)", plan)
     assert n > 4 and dealt and set(dealt) == {str(n)}
+
+
+def test_stays_read_lines_once(spark):
+    """Items and stays come from lines that are dealt out and written once; the rest of the plan reads what was written."""
+    plan = registry.QUERIES["stay_collision"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem.parquet" not in plan and "orders.parquet" not in plan

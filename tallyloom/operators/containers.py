@@ -14,6 +14,8 @@ from .text_queries import TOKENS_SQL
 #: Words that say nothing of what is contained, and the least length of words that may differ by an edit.
 STOP = "a an and at explore for in inside of the visit with within".split()
 FUZZY_LENGTH = 6
+#: Up to so many candidates are sent to every task; beyond that their tokens and those of descriptions are sorted.
+FEW = 100_000
 
 
 def naming_tokens(c: Column) -> Column:
@@ -37,16 +39,23 @@ def names(own: Column, said: Column) -> Column:
 def named_in(candidates: DataFrame, descriptions: DataFrame) -> DataFrame:
     """candidate and container of every candidate (candidate, title) that a description (container, text) names; each pair once.
 
-    All of a candidate's tokens but one at most stand in the description, so of its two rarest one does: they are the keys of the join.  Ids
-    are unique; null and empty titles are named nowhere."""
+    All of a candidate's tokens but one at most stand in the description, so of its two rarest one does: they are the keys of the join.  Up to
+    ``FEW`` candidates' tokens are sent to every task, and a candidate of one token is named where that stands; only descriptions that
+    have a key of another are dealt out.  Ids are unique; null and empty titles are named nowhere."""
     c = staged(candidates.select("candidate", naming_tokens(F.col("title")).alias("own")).where(F.size("own") > 0), "titles")
     d = descriptions.select("container", naming_tokens(F.col("text")).alias("said"))
+    few = c.count() <= FEW
+    small = lambda df: F.broadcast(df) if few else df
     own, said = c.select("candidate", F.explode(F.array_distinct("own")).alias("token")), d.select("container", F.explode(F.array_distinct("said")).alias("token"))
-    seen = said.join(own.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("seen"))
+    seen = said.join(small(own.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count("*").alias("seen"))
     rare = own.join(seen, "token", "left").groupBy("candidate").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "token"))).alias("t"))
-    keys = staged(rare.select("candidate", F.explode(F.slice("t", 1, 2)["token"]).alias("token")), "rare-tokens")
-    near = keys.join(said.hint("merge"), "token").select("candidate", "container").distinct()
-    return near.join(c, "candidate").join(d, "container").where(names(F.col("own"), F.col("said"))).select("candidate", "container")
+    keys = rare.select("candidate", F.explode(F.slice("t", 1, 2)["token"]).alias("token")).join(c.select("candidate", (F.size("own") == 1).alias("alone")), "candidate")
+    keys = staged(keys, "rare-tokens")
+    near = said.join(F.broadcast(keys), "token") if few else keys.join(said.hint("merge"), "token")
+    alone = near.where("alone").select("candidate", "container")
+    near = near.where("not alone").select("candidate", "container").distinct()
+    both = near.join(d, "container").join(small(c), "candidate")
+    return alone.union(both.where(names(F.col("own"), F.col("said"))).select("candidate", "container"))
 
 
 _NAMING = "list_filter(" + TOKENS_SQL + ", lambda x: NOT list_contains([" + ", ".join(f"'{w}'" for w in STOP) + "], x))"

@@ -110,3 +110,10 @@ def test_radius_components_equal_plain_union(spark):
     want = {(b, i): c for b in {r[0] for r in rows if r[0]} for i, c in components([r[1:] for r in rows if r[0] == b], 2.0).items()}
     assert {(r["block"], r["index"]): r["component"] for r in got.collect()} == want
     assert max(want.values()) >= 2 and {want["four", i] for i in range(4)} == {0}
+
+
+def test_few_candidates_sort_no_tokens(spark):
+    """Tokens of descriptions meet few candidates where they are; none is dealt out by token to be joined."""
+    c, d = spark.range(3).selectExpr("id as candidate", "concat('inn ', id) as title"), spark.range(3).selectExpr("id as container", "concat('old inn ', id) as text")
+    plan = C.named_in(c, d)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(token" not in plan

@@ -93,3 +93,25 @@ def test_sections_read_documents_once(spark, monkeypatch):
             want[i, p] = plain(((i, p), c, cut(text)[0][1], c, section), spans)
     assert got == want
     assert {w[0] for w in want.values()} == {None, "exact_evidence", "exact_title_in_section", "source_block_tokens"}
+
+
+def test_three_tiers_read_documents_twice(spark, monkeypatch, tmp_path):
+    import duckdb
+
+    from tallyloom import registry
+
+    docs, items = documents(random.Random(5))
+    docs += [(200, "src0", None, "castle museum square dinner river bridge\nwhere one castle, a museum and the square are"), (201, "src0", None, "Nothing of it")]
+    items += [(200, "a museum, one castle and some square where nobody is tonight"), (201, "castle museum square dinner river bridge market")]
+    d, i = spark.createDataFrame(docs, "doc_id long, source string, lang string, text string"), spark.createDataFrame(items, "item_id long, text string")
+    con = duckdb.connect()
+    for df, name in ((d, "documents"), (i, "benchmark")):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    read, seen = counted(spark, d)
+    monkeypatch.setattr(resolve, "table", lambda spark, sf_dir, name: {"documents": read, "benchmark": i}[name])
+    got = resolve.align_three_tier(spark, "").select("item_id", "outcome", "doc_id").collect()
+    assert seen.value <= 2 * len(docs)
+    want = con.execute(f"SELECT item_id, outcome, doc_id FROM ({registry.ORACLE_SQL['align_three_tier']})").fetchall()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert {w[1] for w in want} == {"exact", "unresolved", "tokens", "none"}

@@ -7,10 +7,11 @@ judged by the whole ladder, once each."""
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -25,6 +26,9 @@ STOP = "and connection connecting final flight from home inbound leg outbound re
 #: Fixed value: the pattern of a label that names no place, or any.
 GENERIC = r"^(?:flight|train|bus|ferry|transfer|drive|transport)(?:\s+(?:to|from)\s+[a-z0-9 ]+)?$"
 ANCHOR = "kind date departure_time arrival_time number provider confirmation departure arrival label".split()
+#: What an anchor says of its route, and all that it says but for its number.
+ROUTE = ("label", "departure", "arrival")
+SAID = (*ROUTE, "provider", "confirmation")
 RUNGS = 8
 #: Pairs of a block and kind that are judged without a look at keys; larger blocks go by keys.
 PAIRS = 10_000
@@ -36,19 +40,30 @@ def tokens(normal: Column) -> Column:
     return F.filter(F.split(normal, " "), lambda x: (F.length(x) > 2) & ~x.isin(*STOP))
 
 
-def prepared(df: DataFrame, id_: str, p: str) -> DataFrame:
-    """Columns that the ladder needs, their names beginning with ``p``: of a table with block, ``id_`` and the columns of ``ANCHOR``."""
+def normalised(df: DataFrame, id_: str) -> DataFrame:
+    """block, ``id_``, the columns of ``ANCHOR`` without nulls and, as n_, their normalised forms where any is looked at."""
     d = df.select("block", id_, *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ANCHOR])
-    d = d.select("*", *[T.normalize(F.col(c)).alias(f"n_{c}") for c in ("kind", "date", "number", "provider", "confirmation", "departure", "arrival", "label")])
-    together = lambda *cols: F.concat_ws(" ", *[F.nullif(F.col(f"n_{c}"), F.lit("")) for c in cols])
-    route = ("label", "departure", "arrival")
-    d = d.select("*", together(*route).alias("route"), together(*route, "provider", "confirmation").alias("text"))
-    d = d.select("*", tokens(F.col("route")).alias("route_all"), tokens(F.col("text")).alias("text_all"))
+    return d.select("*", *[T.normalize(F.col(c)).alias(f"n_{c}") for c in ("kind", "date", "number", "provider", "confirmation", "departure", "arrival", "label")])
+
+
+def together(*cols: str) -> Column:
+    """The normalised values of these as one text."""
+    return F.concat_ws(" ", *[F.nullif(F.col(f"n_{c}"), F.lit("")) for c in cols])
+
+
+def names_no_place() -> Column:
+    """Does a label (n_label) tell no more than its kind (n_kind)?"""
     kind, label = F.col("n_kind"), F.col("n_label")
     vague = [kind, F.concat(kind, F.lit(" home")), F.concat(F.lit("return "), kind), F.concat(F.lit("return "), kind, F.lit(" home")), F.concat(kind, F.lit(" return")), F.concat(F.lit("home "), kind), F.concat(F.lit("final "), kind), F.concat(kind, F.lit(" to"))]
     openings = [F.concat(F.lit(w), kind, F.lit(e)) for w, e in (("return ", " "), ("home ", " "), ("final ", " "), ("", " to "), ("", " from "))]
-    generic = reduce(Column.__or__, [label == v for v in vague] + [label.startswith(o) for o in openings] + [label.rlike(GENERIC)]) & (label != "") & (kind != "")
-    made = {c: F.col(c) for c in (*ANCHOR, "n_date", "n_number", "n_confirmation", "n_departure", "n_arrival", "text")} | {"day": T.written_date(F.col("date")), "generic": generic}
+    return reduce(Column.__or__, [label == v for v in vague] + [label.startswith(o) for o in openings] + [label.rlike(GENERIC)]) & (label != "") & (kind != "")
+
+
+def prepared(df: DataFrame, id_: str, p: str) -> DataFrame:
+    """Columns that the ladder needs, their names beginning with ``p``: of a table with block, ``id_`` and the columns of ``ANCHOR``."""
+    d = normalised(df, id_).select("*", together(*ROUTE).alias("route"), together(*SAID).alias("text"))
+    d = d.select("*", tokens(F.col("route")).alias("route_all"), tokens(F.col("text")).alias("text_all"))
+    made = {c: F.col(c) for c in (*ANCHOR, "n_date", "n_number", "n_confirmation", "n_departure", "n_arrival", "text")} | {"day": T.written_date(F.col("date")), "generic": names_no_place()}
     made |= {"route_tok": F.array_distinct("route_all"), "specific": F.size("route_all") >= 2, "text_tok": F.array_distinct("text_all"), "full_tok": F.array_distinct(F.concat("text_all", tokens(F.col("n_number"))))}
     return d.select("block", id_, *[c.alias(f"{p}{n}") for n, c in made.items()])
 
@@ -143,6 +158,20 @@ def endpoint_quality(normal: Column) -> Column:
     return F.when(normal == "", 0).when(normal.rlike(VAGUE_ENDPOINT), 1).when(normal.rlike("^[a-z]{3}$") | normal.rlike(TERMINAL), 6).when(normal.contains(" "), 4).otherwise(3)
 
 
+_STOP = frozenset(STOP)
+
+
+def _words(*normal: str) -> list[str]:
+    return [t for n in normal for t in n.split() if len(t) > 2 and t not in _STOP]
+
+
+@lru_cache(1 << 14)
+def _route(*normal: str) -> tuple[frozenset[str], bool]:
+    """Tokens of a route, and whether they are two or more; many anchors say the same."""
+    route = _words(*normal)
+    return frozenset(route), len(route) >= 2
+
+
 class Segment:
     """An anchor as the fold holds it: its values, each with its normalised form."""
 
@@ -152,12 +181,25 @@ class Segment:
         self.look()
 
     def look(self) -> None:
-        words = lambda *cols: [t for c in cols for t in getattr(self, f"n_{c}").split() if len(t) > 2 and t not in STOP]
-        route = words("label", "departure", "arrival")
-        self.route, self.specific = set(route), len(route) >= 2
-        parts = ("label", "departure", "arrival", "provider", "confirmation")
-        self.words = set(words(*parts))
-        self.text = " ".join(filter(None, (getattr(self, f"n_{c}") for c in parts)))
+        self.route, self.specific = _route(self.n_label, self.n_departure, self.n_arrival)
+        self._text = self._words = None
+
+    @property
+    def text(self) -> str:
+        if self._text is None:
+            self._text = " ".join(filter(None, (self.n_label, self.n_departure, self.n_arrival, self.n_provider, self.n_confirmation)))
+        return self._text
+
+    @property
+    def words(self) -> frozenset[str]:
+        if self._words is None:
+            self._words = self.route.union(_words(self.n_provider, self.n_confirmation))
+        return self._words
+
+    @property
+    def numbered(self) -> frozenset[str]:
+        """Its words and those of its number."""
+        return self.words.union(_words(self.n_number)) if self.n_number else self.words
 
     def meets(self, other: Segment) -> bool:
         """Does this one, as an anchor, match the other as a record?"""
@@ -174,7 +216,7 @@ class Segment:
             return all(ends) if self.departure and self.arrival and other.departure and other.arrival else not specific or overlap >= 2
         if overlap >= 2 or (dep or arr) and any(ends):
             return True
-        return not specific and (bool(overlap) and other.generic or len((self.words | {t for t in self.n_number.split() if len(t) > 2 and t not in STOP}) & other.words) >= 2)
+        return not specific and (bool(overlap) and other.generic or len(self.numbered & other.words) >= 2)
 
     @property
     def has_identity(self) -> bool:
@@ -231,11 +273,32 @@ def same_day(a: Segment, b: Segment) -> bool:
 
 
 def same_segment(left: Segment, right: Segment) -> bool:
-    if left.kind != right.kind or left.date and right.date and not same_day(left, right):
+    """Does either, as an anchor, match the other as a record, or do equal confirmations of which one has a weak end?  But for numbers, generic labels
+    and a number's words the ladder is the same both ways, so each rung is looked at once; dates that disagree have ended it before."""
+    if left.kind != right.kind:
+        return False
+    dated = bool(left.date and right.date)
+    if dated and not same_day(left, right):
         return False
-    if left.confirmation and right.confirmation and left.n_confirmation == right.n_confirmation and (left.weak or right.weak):
+    confirmed = bool(left.confirmation and right.confirmation) and left.n_confirmation == right.n_confirmation
+    if confirmed and (left.weak or right.weak):
+        return True
+    dep, arr = bool(left.departure_time) and left.departure_time == right.departure_time, bool(left.arrival_time) and left.arrival_time == right.arrival_time
+    overlap = 0 if left.route.isdisjoint(right.route) else len(left.route & right.route)
+    if dep and arr or dated and overlap and (dep or arr):
+        return True
+    if left.n_number and left.n_number in right.text or right.n_number and right.n_number in left.text:
         return True
-    return left.meets(right) or right.meets(left)
+    specific = left.specific and right.specific
+    if confirmed:
+        if left.departure and left.arrival and right.departure and right.arrival:
+            return part_of(left.n_departure, right.n_departure) and part_of(left.n_arrival, right.n_arrival)
+        return not specific or overlap >= 2
+    if overlap >= 2 or (dep or arr) and (part_of(left.n_departure, right.n_departure) or part_of(left.n_arrival, right.n_arrival)):
+        return True
+    if specific:
+        return False
+    return bool(overlap) and (left.generic or right.generic) or len(left.numbered & right.words) >= 2 or len(right.numbered & left.words) >= 2
 
 
 def fold_segments(rows: list[Segment], into: list[Segment] | None = None) -> list[Segment]:
@@ -257,14 +320,13 @@ _OUT = [*ANCHOR, "evidence", "members"]
 def segments_ready(anchors: DataFrame) -> DataFrame:
     """Anchors with what the fold looks at: normalised values, days, and the worth of endpoints.  Those without a block or place are left out."""
     a = anchors.where(F.col("block").isNotNull() & F.col("pos").isNotNull())
-    a = prepared(a.withColumn("__id", F.struct("pos", F.coalesce(F.col("evidence").cast("string"), F.lit("")).alias("evidence"))), "__id", "a_")
-    ready = ("date", "number", "confirmation", "departure", "arrival")
-    n = {c: F.col(f"a_n_{c}") if c in ready else T.normalize(F.col(f"a_{c}")) for c in ANCHOR}
-    made = {**{c: F.col(f"a_{c}") for c in ANCHOR}, "evidence": F.col("__id.evidence"), **{f"n_{c}": x for c, x in n.items()}}
-    made |= {"iso": F.coalesce("a_day.iso", F.lit("")), "md": F.coalesce("a_day.md", F.lit(""))}
+    a = normalised(a.withColumn("__id", F.struct("pos", F.coalesce(F.col("evidence").cast("string"), F.lit("")).alias("evidence"))), "__id")
+    a = a.select("*", T.written_date(F.col("date")).alias("day"))
+    made = {**{c: F.col(c) for c in ANCHOR}, "evidence": F.col("__id.evidence"), **{f"n_{c}": F.col(f"n_{c}") for c in ("date", "number", *SAID)}}
+    made |= {"iso": F.coalesce("day.iso", F.lit("")), "md": F.coalesce("day.md", F.lit("")), "generic": names_no_place()}
     for x in ("departure", "arrival"):
-        made |= {f"q_{x}": endpoint_quality(n[x]), f"weak_{x}": (n[x] == "") | n[x].rlike(WEAK_ENDPOINT)}
-    made |= {"generic": F.col("a_generic"), "full_tok": F.col("a_full_tok"), "text_": F.col("a_text")}
+        n = F.col(f"n_{x}")
+        made |= {f"q_{x}": endpoint_quality(n), f"weak_{x}": (n == "") | n.rlike(WEAK_ENDPOINT)}
     return a.select("block", F.col("__id.pos").alias("pos"), *[c.alias(x) for x, c in made.items()])
 
 
@@ -277,9 +339,9 @@ def may_meet(ready: DataFrame) -> DataFrame:
     hub = F.array_compact(F.array(F.when(F.col("arrival") == "", F.col("kind"))))
     mark = lambda prefix, c: F.when(c != "", F.concat(F.lit(prefix), c))
     keys = F.array_compact(F.array(mark("d ", F.col("departure_time")), mark("a ", F.col("arrival_time")), F.when(F.col("confirmation") != "", F.concat(F.lit("c "), "n_confirmation"))))
-    words = F.transform(F.array_union("full_tok", hub), lambda x: F.concat(F.lit("w "), x))
+    words = F.transform(F.array_union(F.concat(tokens(F.col("text_")), tokens(F.col("n_number"))), hub), lambda x: F.concat(F.lit("w "), x))
     longest = F.array_max(F.transform(F.split("n_number", " "), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
-    at = ready.select("block", "pos", "kind", F.concat(keys, words).alias("keys"), longest.alias("number"), "text_")
+    at = ready.withColumn("text_", together(*SAID)).select("block", "pos", "kind", F.concat(keys, words).alias("keys"), longest.alias("number"), "text_")
     at = staged(at, "may-meet")
     node = F.struct("block", "pos")
     within = F.struct("block", "kind").alias("within")
@@ -301,37 +363,51 @@ def canonical_anchors(anchors: DataFrame, n: int | None = None) -> DataFrame:
 
     Which anchor an earlier one has become decides what the next meets, so this is a fold in order of pos.  Anchors are dealt out by block and kind once,
     in n buckets, and anchors of different kinds never meet: those of a block and kind are one fold.  Where these are more than ``FOLD`` it runs
-    apart for each set of them that may meet.  A task holds the segments of one fold at a time.  pos is unique within a block; nulls are empty."""
+    apart for each set of them that may meet.  A task holds the segments of one fold, and what it hands on, at a time.  pos is unique within a block; nulls are empty."""
     n, of_kind = n or partitions(anchors), ["block", "kind"]
     ready = bucketed(anchors.withColumn("kind", F.coalesce(F.col("kind").cast("string"), F.lit(""))), of_kind, n, "segments", segments_ready)
     types = dict(ready.dtypes)
-    bare = ready.drop("full_tok", "text_")
     large = ready.groupBy(*of_kind).agg(F.count("*").alias("n")).where(F.col("n") > FOLD).select(*of_kind)
+    # a place within the fold holds its rows together, in order, however files are read
+    placed = lambda df, *by: df.withColumn("at", F.row_number().over(W.partitionBy(*by).orderBy("pos")))
     if large.isEmpty():
-        parts = [bare.withColumn("root", F.lit(""))]
+        parts = [placed(ready, *of_kind)]
     else:
         large = staged(large, "large-blocks")
         split = ready.join(large, of_kind, "left_semi")
-        rows = split.drop("full_tok", "text_").join(may_meet(split).hint("merge"), ["block", "pos"]).select(*bare.columns, F.to_json(F.struct("root")).alias("root"))
-        parts = [bare.join(large, of_kind, "left_anti").withColumn("root", F.lit("")), rows.repartition(n, *of_kind, "root")]
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def done(segments: list[Segment]) -> pd.DataFrame:
-            return pd.DataFrame([[getattr(s, c) for c in ("block", "pos", *_OUT)] for s in segments], columns=["block", "pos", *_OUT])
-
-        at, held = None, []
-        for b in batches:
-            for row in b.to_dict("records"):
-                if (here := (row["block"], row["kind"], row["root"])) != at:
-                    if held:
-                        yield done(held)
-                    at, held = here, []
-                fold_segments([Segment(row)], held)
-        if held:
-            yield done(held)
-
+        rows = split.join(may_meet(split).hint("merge"), ["block", "pos"]).select(*ready.columns, F.to_json(F.struct("root")).alias("root"))
+        parts = [placed(ready.join(large, of_kind, "left_anti"), *of_kind), placed(rows.repartition(n, *of_kind, "root"), *of_kind, "root").drop("root")]
     schema = f"block {types['block']}, pos {types['pos']}, " + ", ".join(f"{c} {'int' if c == 'members' else 'string'}" for c in _OUT)
-    return reduce(DataFrame.union, [p.sortWithinPartitions(*of_kind, "root", "pos").mapInPandas(fold, schema) for p in parts])
+    return reduce(DataFrame.union, [p.mapInArrow(folded, schema) for p in parts])
+
+
+#: Segments that a fold hands on at a time, at least.
+HANDED = 10_000
+
+
+def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments of folds whose rows follow each other, ``at`` from 1 on; of many small folds together."""
+    held, done = [], []
+    for b in batches:
+        types = {"block": b.schema.field("block").type, "pos": b.schema.field("pos").type, "members": pa.int32()}
+
+        def handed() -> pa.RecordBatch:
+            columns = ["block", "pos", *_OUT]
+            return pa.RecordBatch.from_arrays([pa.array([getattr(s, c) for s in done], types.get(c, pa.string())) for c in columns], columns)  # noqa: B023
+
+        names = b.schema.names
+        for values in zip(*[c.to_numpy(zero_copy_only=False).tolist() if pa.types.is_string(c.type) else c.to_pylist() for c in b.columns]):
+            row = dict(zip(names, values))
+            if row["at"] == 1:
+                done += held
+                held = []
+                if len(done) >= HANDED:
+                    yield handed()
+                    done = []
+            fold_segments([Segment(row)], held)
+    done += held
+    if done:
+        yield handed()
 
 
 # --- on the driver's tables: a line item is an anchor, an order a record -----------------------------------

@@ -99,3 +99,44 @@ def test_better_endpoints(spark):
 def test_written_dates(spark, text, iso, md):
     r = spark.createDataFrame([(text,)], "x string").select(T.written_date(F.col("x")).alias("d")).first()["d"]
     assert (r["iso"], r["md"]) == (iso, md)
+
+
+def test_one_look_at_a_pair_is_both_ladders(anchors):
+    """Whether two are one segment, rung by rung once, is what either ladder says; also of what a fold has made."""
+    either = lambda a, b: a.kind == b.kind and not (a.date and b.date and not X.same_day(a, b)) and (bool(a.confirmation and b.confirmation and a.n_confirmation == b.n_confirmation and (a.weak or b.weak)) or a.meets(b) or b.meets(a))
+    found = set()
+    for rows in segments(anchors).values():
+        made = X.fold_segments([X.Segment(dict(r)) for r in rows])
+        for some_ in ([X.Segment(dict(r)) for r in rows], made):
+            for a in some_:
+                for b in some_:
+                    found.add(X.same_segment(a, b))
+                    assert X.same_segment(a, b) == bool(either(a, b)), (a.__dict__, b.__dict__)
+    assert found == {True, False}
+
+
+def test_many_small_folds_are_handed_on_together(spark, anchors):
+    """A batch for each fold costs more than the fold."""
+    ready = X.segments_ready(anchors).withColumn("at", F.row_number().over(X.W.partitionBy("block", "kind").orderBy("pos"))).orderBy("block", "kind", "pos").toArrow()
+    out = list(X.folded(iter(ready.to_batches(max_chunksize=100))))
+    assert len(out) == 1 and out[0].num_rows == X.canonical_anchors(anchors).count()
+
+
+def test_a_fold_is_whole_however_its_files_are_read(spark):
+    """A bucket's file of several row groups may be read by several tasks; the fold's rows stay together."""
+    n = 4000
+    rows = [(f"b{b % 40}", b // 40, "train", None, None, None, None, None, f"C{b % 40}", None, None, f"Ride {b}", "x" * (b % 7)) for b in range(n)]
+    hadoop, key = spark._jsc.hadoopConfiguration(), "parquet.block.size"
+    hadoop.set(key, "2048")
+    hadoop.set("parquet.page.size.row.check.min", "10")
+    hadoop.set("parquet.block.size.row.check.min", "10")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = X.canonical_anchors(spark.createDataFrame(rows, SCHEMA), 2).collect()
+    finally:
+        for k in (key, "parquet.page.size.row.check.min", "parquet.block.size.row.check.min"):
+            hadoop.unset(k)
+        for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+            spark.conf.unset(k)
+    assert [(r["block"], r["pos"], r["members"]) for r in sorted(got, key=lambda r: r["block"])] == sorted((f"b{b}", 0, n // 40) for b in range(40))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,13 +10,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..plans.staging import bucketed, partitions
+from ..plans.staging import bucketed, partitions, staged
 from ..registry import query
 from ..sources.tables import table
 
 #: Candidates of a window, windows of a trip, and what makes a day crowded.
 MEMBERS, WINDOWS, CROWDED, FIXED = 24, 30, 8, 2
 PROPOSAL, CITY_NOTE, CITY_REFERENCE = "grouping_proposal", "city_note_candidate", "city_reference"
+def _seq() -> Column:
+    """The order of candidates."""
+    return F.struct("stage", "item", "candidate")
 
 
 def _ready(candidates: DataFrame) -> DataFrame:
@@ -26,7 +30,7 @@ def _ready(candidates: DataFrame) -> DataFrame:
     labels = F.filter(F.array_distinct(F.transform(F.coalesce("labels", F.array().cast("array<string>")), T.normalize)), lambda x: x != "")
     return candidates.select(
         "block", "candidate", text("identity").alias("identity"), text("date").alias("date"), F.when(city == "", "unknown-city").otherwise(city).alias("city"), (text("city") != "").alias("placed"), T.normalize(F.col("title")).alias("title"), text("role").alias("role"), text("section_type").alias("section_type"),
-        *[flag(c) for c in ("has_time", "has_booking", "has_plan", "has_recommendation")], "stage", F.struct("stage", "item", "candidate").alias("seq"), F.coalesce("blocks", F.array().cast("array<string>")).alias("blocks"), labels.alias("labels"),
+        *[flag(c) for c in ("has_time", "has_booking", "has_plan", "has_recommendation")], "stage", "item", _seq().alias("seq"), F.coalesce("blocks", F.array().cast("array<string>")).alias("blocks"), labels.alias("labels"),
     )
 
 
@@ -62,16 +66,17 @@ def proposal_members(c: DataFrame, most: int, n: int) -> DataFrame:
     return others.union(itself)
 
 
-def windows(candidates: DataFrame, most: int = MEMBERS, total: int = WINDOWS, n: int | None = None) -> DataFrame:
+def windows(candidates: DataFrame, most: int = MEMBERS, total: int = WINDOWS, n: int | None = None, made: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
     """block, place (from 1), family, key and members (in order) of each trip's windows.
 
     Candidates have block, candidate, identity, date, city, title, role, section_type, has_time, has_booking, has_plan, has_recommendation, stage,
     item, blocks and labels.  Families, in order: a grouping proposal with its scope; a day and city of a source with a candidate whose role is
     open (of a city's reference or notes, a recommendation, or loose on a crowded day); two of a day and city that share a source block; a title
     on two days.  A window shows its first 24 (the rule's own), windows of the same members are one, and a trip has its first 30.
-    Candidate ids are unique within a block and not null; other nulls are empty.  Candidates are dealt out by block once, in n buckets."""
+    Candidate ids are unique within a block and not null; other nulls are empty.  Candidates are dealt out by block once, in n buckets; they may be
+    narrow rows with a block, of which ``made`` makes the columns above where they then lie."""
     n = n or partitions(candidates)
-    c = bucketed(candidates, ["block"], n, "candidates", _ready)
+    c = bucketed(candidates, ["block"], n, "candidates", lambda d: _ready(made(d)).drop("seq")).withColumn("seq", _seq())
     day = ["block", "identity", "date", "city"]
     name = F.concat_ws("|", "identity", F.when(F.col("date") == "", "undated").otherwise(F.col("date")), "city")
     rows = []
@@ -130,28 +135,42 @@ _CANDIDATES_SQL = f"""c AS MATERIALIZED (SELECT DISTINCT ON (o_custkey, {_ID}) o
   ORDER BY o_custkey, {_ID}, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate)"""
 
 
-def trip_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A customer's line items as candidates of its trip, their orders' priority as the source they come from."""
-    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+#: Keys of a line item; what a candidate's row says of it by yes or no, in this order, as one number.
+_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+_FLAGS = ["proposal", "note", "reference", "has_time", "has_booking", "has_plan", "has_recommendation"]
+
+
+def trip_lines(spark: SparkSession, sf_dir: str, n: int, hold: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
+    """A customer's line items in narrow rows, of which ``as_candidates`` makes candidates: these are what is dealt out.  ``hold`` may
+    write them before and after suppliers and parts are joined, so that what was shuffled until then need not stay."""
     by = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
-    # repeated line items go while they lie by order; then rows are narrow until they have all they need
-    li = table(spark, sf_dir, "lineitem").repartition("l_orderkey").groupBy(*keys).agg(F.min(F.struct(*by)).alias("by")).select(*keys, "by.*")
-    o = table(spark, sf_dir, "orders").repartition("o_orderkey").groupBy(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("block")).agg(F.min("o_orderpriority").alias("identity"))
-    role = F.when(F.col("l_quantity") >= 46, PROPOSAL).when(F.col("l_discount") >= 0.09, CITY_NOTE)
-    made = li.join(o, "l_orderkey").select(
-        "block", *keys, "identity", F.concat_ws("-", F.year("l_shipdate"), F.quarter("l_shipdate")).alias("date"), role.alias("role"), F.when(F.col("l_tax") >= 0.08, CITY_REFERENCE).alias("section_type"),
-        (F.col("l_tax") > 0.04).alias("has_time"), (F.col("l_returnflag") == "R").alias("has_booking"), (F.col("l_linestatus") == "O").alias("has_plan"), (F.col("l_discount") < 0.01).alias("has_recommendation"),
-    )
+    # repeated line items go while they lie by order
+    li = table(spark, sf_dir, "lineitem").repartition(n, "l_orderkey").groupBy(*_KEYS).agg(F.min(F.struct(*by)).alias("by")).select(*_KEYS, "by.*")
+    o = table(spark, sf_dir, "orders").repartition(n, "o_orderkey").groupBy(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("block")).agg(F.min("o_orderpriority").alias("identity"))
+    is_ = [F.col("l_quantity") >= 46, F.col("l_discount") >= 0.09, F.col("l_tax") >= 0.08, F.col("l_tax") > 0.04, F.col("l_returnflag") == "R", F.col("l_linestatus") == "O", F.col("l_discount") < 0.01]
+    flags = reduce(Column.__add__, [F.when(x, 1 << i).otherwise(0) for i, x in enumerate(is_)])
+    made = li.join(o, "l_orderkey").select("block", *_KEYS, "identity", (F.year("l_shipdate") * 10 + F.quarter("l_shipdate")).alias("quarter"), flags.alias("flags"))
+    made = hold(made)
     s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).groupBy(F.col("s_suppkey").alias("l_suppkey")).agg(F.min("n_name").alias("city"))
     p = table(spark, sf_dir, "part").groupBy(F.col("p_partkey").alias("l_partkey")).agg(F.min(F.struct("p_brand", "p_type")).alias("p"))
-    j = made.join(s, "l_suppkey").join(p, "l_partkey")
-    flags = ["has_time", "has_booking", "has_plan", "has_recommendation"]
-    return j.select(
-        "block", F.concat_ws("-", *keys).alias("candidate"), "identity", "date", "city", F.col("p.p_brand").alias("title"), "role", "section_type", *flags, F.col("l_orderkey").alias("stage"), F.col("l_linenumber").alias("item"),
-        F.array(F.concat(F.lit("s"), "l_suppkey")).alias("blocks"), F.array("p.p_type").alias("labels"),
+    return hold(made.join(s, "l_suppkey").join(p, "l_partkey").select("block", *_KEYS, "identity", "quarter", "flags", "city", "p.p_brand", "p.p_type"))
+
+
+def as_candidates(lines: DataFrame) -> DataFrame:
+    """Candidates of rows of ``trip_lines``."""
+    is_ = {x: F.col("flags").bitwiseAND(1 << i) != 0 for i, x in enumerate(_FLAGS)}
+    return lines.select(
+        "block", F.concat_ws("-", *_KEYS).alias("candidate"), "identity", F.concat_ws("-", F.floor(F.col("quarter") / 10), F.col("quarter") % 10).alias("date"), "city", F.col("p_brand").alias("title"),
+        F.when(is_["proposal"], PROPOSAL).when(is_["note"], CITY_NOTE).alias("role"), F.when(is_["reference"], CITY_REFERENCE).alias("section_type"), *[is_[x].alias(x) for x in _FLAGS if x.startswith("has_")],
+        F.col("l_orderkey").alias("stage"), F.col("l_linenumber").alias("item"), F.array(F.concat(F.lit("s"), "l_suppkey")).alias("blocks"), F.array("p_type").alias("labels"),
     )
 
 
+def trip_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's line items as candidates of its trip, their orders' priority as the source they come from."""
+    return as_candidates(trip_lines(spark, sf_dir, partitions(table(spark, sf_dir, "lineitem"))))
+
+
 _NAME = "identity || '|' || date || '|' || city"
 _WINDOWS_SQL = f"""WITH {_CANDIDATES_SQL},
 d AS (SELECT block, identity, date, city, count(*) AS n, count(*) FILTER (has_time OR has_booking OR has_plan) AS f FROM c GROUP BY ALL),
@@ -173,7 +192,8 @@ SELECT block AS trip, CAST(row_number() OVER (PARTITION BY block ORDER BY family
 @query(_WINDOWS_SQL)
 def candidate_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The windows of each customer's line items.  The city is always given, so a proposal's scope is its source's day and city."""
-    found = windows(trip_candidates(spark, sf_dir), n=partitions(table(spark, sf_dir, "lineitem")))
+    n = partitions(table(spark, sf_dir, "lineitem"))
+    found = windows(trip_lines(spark, sf_dir, n, lambda d: staged(d, "lines")), n=n, made=as_candidates)
     return found.select(F.col("block").alias("trip"), "place", "family", "key", F.array_join("members", ",").alias("members"))
 
 

@@ -2,8 +2,10 @@
 
 import random
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyloom.operators import resolution as R
 
@@ -103,3 +105,32 @@ def test_candidates_are_dealt_out_once(spark):
 def test_ambiguity_reads_only_what_it_looks_at(spark):
     plan = R.ambiguous_trips(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "o_orderpriority" not in plan and "has_plan" not in plan
+
+
+def test_nothing_shuffled_outlives_the_table_it_made(spark):
+    """A staged table's shuffle files go when it stands; the session's setting stays as it was."""
+    from tallyloom.plans import staging
+
+    def shuffled():
+        files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString(",")
+        return set(re.findall(r"shuffle_(\d+)_\d+_\d+\.data", files))
+
+    before = shuffled()
+    wide = spark.range(2000).select((F.col("id") % 7).alias("block"), "id")
+    made = [staging.bucketed(wide, ["block"], 3), staging.staged(wide.repartition(3, "block"))]
+    for _ in range(50):
+        if shuffled() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffled() <= before
+    assert [m.count() for m in made] == [2000, 2000]
+    assert spark.conf.get(staging.CLEANUP, None) in (None, "false")
+
+
+def test_narrow_lines_make_the_same_windows(spark):
+    """Lines dealt out narrow and made candidates where they lie, or candidates dealt out: the same windows."""
+    sf = "/root/testdata/sf0.001"
+    rows = lambda df: sorted(map(str, df.collect()))
+    lines = R.trip_lines(spark, sf, 3)
+    assert set(lines.columns) == {"block", *R._KEYS, "identity", "quarter", "flags", "city", "p_brand", "p_type"}
+    assert rows(R.windows(lines, n=3, made=R.as_candidates)) == rows(R.windows(R.trip_candidates(spark, sf), n=3)) != []

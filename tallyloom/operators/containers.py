@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +14,7 @@ from ..functions import text as T
 from ..plans.staging import staged
 from ..registry import query
 from ..sources.tables import table
+from .overlap import few
 from .text_queries import TOKENS_SQL
 
 #: Words that say nothing of what is contained, and the least length of words that may differ by an edit.
@@ -39,19 +45,145 @@ def names(own: Column, said: Column) -> Column:
 def named_in(candidates: DataFrame, descriptions: DataFrame) -> DataFrame:
     """candidate and container of every candidate (candidate, title) that a description (container, text) names; each pair once.
 
-    All of a candidate's tokens but one at most stand in the description, so of its two rarest one does: they are the keys of the join.  Up to
-    ``FEW`` candidates' tokens are sent to every task, and a candidate of one token is named where that stands; only descriptions that
-    have a key of another are dealt out.  Ids are unique; null and empty titles are named nowhere."""
+    All of a candidate's tokens but one at most stand in the description, so of any two one does.  Candidates whose tokens are few are
+    sent to every task, which reads descriptions once and deals none out; more are joined by their two rarest tokens.  Ids are unique;
+    null and empty titles are named nowhere."""
     c = staged(candidates.select("candidate", naming_tokens(F.col("title")).alias("own")).where(F.size("own") > 0), "titles")
+    return _named_within(c, descriptions) if few((c, "own")) else _named_by_rarest(c, descriptions)
+
+
+#: Tokens of candidates that are looked up at a time, unless one description alone asks for more.
+PLACES = 1 << 20
+
+
+def _one_edit(a: str, b: str) -> bool:
+    """Exactly one insertion, deletion or substitution apart."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > 1 or a == b:
+        return False
+    i = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    return a[i + (len(a) == len(b)) :] == b[i + 1 :]
+
+
+class _Alike(dict):
+    """word -> numbers of the candidates' words that it may stand for though they differ by an edit.  Cleared when over ``limit`` words."""
+
+    def __init__(self, words: list[str], limit: int = 300_000) -> None:
+        super().__init__()
+        self.limit, self.by_ends = limit, {}
+        for i, w in enumerate(words):
+            if len(w) >= FUZZY_LENGTH:
+                self.by_ends.setdefault((w[:2], w[-2:]), []).append((i, w))
+
+    def __missing__(self, word: str) -> list[int]:
+        if len(self) > self.limit:
+            self.clear()
+        of = self.by_ends.get((word[:2], word[-2:]), ()) if len(word) >= FUZZY_LENGTH and word not in STOP else ()
+        self[word] = found = [i for i, w in of if _one_edit(w, word)]
+        return found
+
+
+class _Titles:
+    """Candidates' tokens by number, for the descriptions of a batch at a time."""
+
+    def __init__(self, own: pa.Array) -> None:
+        flat, of = pc.list_flatten(own).cast(pa.large_string()).dictionary_encode(), pc.list_parent_indices(own).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.words = flat.dictionary
+        place = np.unique(of * len(self.words) + flat.indices.to_numpy(zero_copy_only=False))
+        self.of, self.word = np.divmod(place, max(len(self.words), 1))
+        self.size = np.bincount(self.of, minlength=len(own))
+        self.first = np.cumsum(self.size) - self.size
+        self.repeats = self.size < pc.list_value_length(own).to_numpy(zero_copy_only=False)
+        self.alike = _Alike(self.words.to_pylist())
+
+    def found(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows of ``texts`` (normalised) and candidates that may be named there: all tokens but one stand there, and for that one a word
+        an edit apart; and whether they are named for sure."""
+        parts = pc.split_pattern(texts.cast(pa.large_string()), " ")
+        row, coded = pc.list_parent_indices(parts).to_numpy(zero_copy_only=False).astype(np.int64), pc.list_flatten(parts).dictionary_encode()
+        code, known = coded.indices.to_numpy(zero_copy_only=False), pc.index_in(coded.dictionary, self.words).fill_null(-1).to_numpy(zero_copy_only=False)
+        n = max(len(self.words), 1)
+        place = known[code]
+        said = np.unique((row * n + place)[place >= 0])
+        alike = list(map(self.alike.__getitem__, coded.dictionary.to_pylist()))
+        many = np.array([len(x) for x in alike], dtype=np.int64)
+        of_word = np.array([i for x in alike for i in x], dtype=np.int64)
+        c = many[code]
+        nearly = np.unique(np.repeat(row, c) * n + of_word[np.repeat((np.cumsum(many) - many)[code] - np.cumsum(c) + c, c) + np.arange(c.sum())])
+        # the two tokens of each candidate that the fewest of these texts have
+        rank = np.bincount(said % n, minlength=n)[self.word]
+        order = np.lexsort((rank, self.of))
+        key = order[np.arange(len(order)) - self.first[self.of] < 2]
+        key = key[np.argsort(self.word[key], kind="stable")]
+        bounds = np.searchsorted(self.word[key], np.arange(n + 1))
+        at, of_word = np.divmod(said, n)
+        asks = bounds[of_word + 1] - bounds[of_word]
+        upto, lo = np.cumsum(asks), 0
+        edges = np.append(np.flatnonzero(np.diff(at, prepend=-1)), len(at))
+        while lo < len(at):
+            fits = np.searchsorted(upto, (upto[lo - 1] if lo else 0) + PLACES // 8, "right")
+            hi = edges[np.searchsorted(edges, fits, "right") - 1]
+            hi = hi if hi > lo else edges[np.searchsorted(edges, lo, "right")]
+            c = asks[lo:hi]
+            hit = key[np.repeat(bounds[of_word[lo:hi]] - np.cumsum(c) + c, c) + np.arange(c.sum())]
+            pair = np.unique(np.repeat(at[lo:hi], c) * len(self.size) + self.of[hit])
+            text, of = np.divmod(pair, len(self.size))
+            lo = hi
+            # its tokens, each there or not
+            c = self.size[of]
+            token = self.word[np.repeat(self.first[of] - np.cumsum(c) + c, c) + np.arange(c.sum())]
+            which = np.repeat(np.arange(len(of)), c)
+            there = _among(text[which] * n + token, said)
+            lacks = np.bincount(which[~there], minlength=len(of))
+            near = ~there & (lacks[which] == 1) & (c[which] >= 2)
+            near[near] = _among(text[which[near]] * n + token[near], nearly)
+            ok = lacks == 0
+            sure = ok & ~self.repeats[of]
+            ok[which[near]] = True
+            yield text[ok], of[ok], sure[ok]
+
+
+def _among(x: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
+    if not len(sorted_):
+        return np.zeros(len(x), dtype=bool)
+    return sorted_[np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)] == x
+
+
+def _named_within(c: DataFrame, descriptions: DataFrame) -> DataFrame:
+    """``named_in`` of few candidates (candidate, own): only what numbers of tokens leave open is compared word by word."""
+    sent = c.toArrow().combine_chunks()
+    kinds = f"candidate {dict(c.dtypes)['candidate']}, container {dict(descriptions.dtypes)['container']}"
+    if not len(sent):
+        return c.sparkSession.createDataFrame([], kinds)
+    ids, own = (sent.column(x).combine_chunks() for x in ("candidate", "own"))
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        titles = _Titles(own)
+        for b in batches:
+            for text, of, sure in titles.found(b.column("text")):
+                open_ = pa.array(sure)
+                said, its = b.column("text").take(pa.array(text)), own.take(pa.array(of))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(of)), b.column("container").take(pa.array(text)), pc.if_else(open_, pa.scalar(None, its.type), its), pc.if_else(open_, pa.scalar(None, said.type), said)], ["candidate", "container", "own", "said"])
+
+    # an & is normalised to a word that says nothing, so these are the description's tokens and such words
+    texts = descriptions.select("container", T.normalize(F.col("text")).alias("text")).where("text != ''")
+    found = texts.mapInArrow(pairs, f"{kinds}, own array<string>, said string")
+    return found.where(F.col("said").isNull() | names(F.col("own"), naming_tokens(F.col("said")))).select("candidate", "container")
+
+
+def _named_by_rarest(c: DataFrame, descriptions: DataFrame) -> DataFrame:
+    """``named_in`` by joins.  Up to ``FEW`` candidates are still sent to every task, and one of one token is named where that stands; only
+    descriptions that have a key of another are dealt out."""
     d = descriptions.select("container", naming_tokens(F.col("text")).alias("said"))
-    few = c.count() <= FEW
-    small = lambda df: F.broadcast(df) if few else df
+    so_few = c.count() <= FEW
+    small = lambda df: F.broadcast(df) if so_few else df
     own, said = c.select("candidate", F.explode(F.array_distinct("own")).alias("token")), d.select("container", F.explode(F.array_distinct("said")).alias("token"))
     seen = said.join(small(own.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count("*").alias("seen"))
     rare = own.join(seen, "token", "left").groupBy("candidate").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "token"))).alias("t"))
     keys = rare.select("candidate", F.explode(F.slice("t", 1, 2)["token"]).alias("token")).join(c.select("candidate", (F.size("own") == 1).alias("alone")), "candidate")
     keys = staged(keys, "rare-tokens")
-    near = said.join(F.broadcast(keys), "token") if few else keys.join(said.hint("merge"), "token")
+    near = said.join(F.broadcast(keys), "token") if so_few else keys.join(said.hint("merge"), "token")
     alone = near.where("alone").select("candidate", "container")
     near = near.where("not alone").select("candidate", "container").distinct()
     both = near.join(d, "container").join(small(c), "candidate")

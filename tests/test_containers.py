@@ -3,8 +3,10 @@
 import itertools
 import random
 
+import pyarrow as pa
+
 from tallyloom.operators import containers as C
-from tallyloom.operators import geo
+from tallyloom.operators import geo, overlap
 
 
 def edit(a, b):
@@ -117,3 +119,38 @@ def test_few_candidates_sort_no_tokens(spark):
     c, d = spark.range(3).selectExpr("id as candidate", "concat('inn ', id) as title"), spark.range(3).selectExpr("id as container", "concat('old inn ', id) as text")
     plan = C.named_in(c, d)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(token" not in plan
+
+
+def words_by_chance(seed, n):
+    rng = random.Random(seed)
+    words = ["castle", "castles", "castlle", "caastle", "museum", "musseum", "old", "town", "the", "within", "wiithin", "square", "squaare", "inn", "a&b"]
+    return [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 7)))) for i in range(n)]
+
+
+def test_descriptions_are_not_dealt_out_for_few_candidates(spark, monkeypatch):
+    """Few candidates are found within the tasks that read descriptions; many by joins: the same pairs."""
+    c, d = spark.createDataFrame(words_by_chance(1, 80), "candidate long, title string"), spark.createDataFrame(words_by_chance(2, 300), "container long, text string")
+    found = C.named_in(c, d)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    within = {tuple(r) for r in found.collect()}
+    monkeypatch.setattr(overlap, "FEW", 0)
+    for few in (C.FEW, 0):
+        monkeypatch.setattr(C, "FEW", few)
+        rows = [tuple(r) for r in C.named_in(c, d).collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == within
+    assert len(within) > 100
+
+
+def test_places_looked_up_in_parts(monkeypatch):
+    own = pa.array([t.replace("&", " ").split() for _, t in words_by_chance(3, 60)])
+    texts = pa.array([t.replace("&", " and ") for _, t in words_by_chance(4, 200)] + [""])
+    pairs = lambda: [x for part in C._Titles(own).found(texts) for x in zip(*(a.tolist() for a in part))]
+    whole = pairs()
+    monkeypatch.setattr(C, "PLACES", 8)
+    assert pairs() == whole and len(whole) == len({x[:2] for x in whole}) > 100
+
+
+def test_one_edit():
+    for a, b in itertools.product(["castle", "castles", "castel", "acastle", "caste", "cas", ""], repeat=2):
+        assert C._one_edit(a, b) == edit(a, b)

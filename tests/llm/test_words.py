@@ -250,3 +250,14 @@ def test_search_empty(spark):
 @pytest.mark.parametrize("sf", SF)
 def test_search_sql(same, sf):
     same(bm25.op9_bm25, bm25.SQL, sf)
+
+
+def test_statistics_come_from_the_index(spark):
+    """Documents, mean length and frequencies of asked terms are read off the shards' indexes; no text is read for them again."""
+    texts = ["Red fox", "red red dog", None, "", "blue dog dog", "fox"]
+    index = bm25._index(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), "bigint")
+    terms = {w: int(bm25._terms(bm25.WordHashes(), w).view("int64")[0]) for w in ("red", "dog", "fox", "absent")}
+    found, n, mean = bm25._frequencies(index, spark.createDataFrame([(t,) for t in terms.values()], "term bigint"))
+    got = {r["term"]: r["df"] for r in found.collect()}
+    assert {w: got.get(t) for w, t in terms.items()} == {"red": 2, "dog": 2, "fox": 2, "absent": None}
+    assert (n, mean) == (6, 9 / 6)
